@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .base import REGISTRY
 
-MODULES = ("q_windows", "q_timeline", "q_ranking")
+MODULES = ("q_windows", "q_timeline", "q_ranking", "q_audit")
 
 
 def load():

@@ -1,7 +1,7 @@
 """Query registry: each entry pairs a Spark query with its SQL twin and one output shape.
 
-`cols` lists the output as "name:kind" with kinds i (bigint), r (double, 6 digits), d (date as
-text) and s (text). The same shape is applied on both sides, so results compare value by value.
+`cols` lists the output as "name:kind" with kinds i (bigint), r (double, 6 digits), h (double,
+10 digits), d (date as text) and s (text). The same shape is applied on both sides, so results compare value by value.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ def shape(df: DataFrame, cols: str) -> DataFrame:
     cast = {
         "i": lambda c: F.col(f"`{c}`").cast("bigint"),
         "r": lambda c: F.round(F.col(f"`{c}`").cast("double"), 6),
+        "h": lambda c: F.round(F.col(f"`{c}`").cast("double"), 10),
         "d": lambda c: F.date_format(f"`{c}`", "yyyy-MM-dd"),
         "s": lambda c: F.col(f"`{c}`").cast("string"),
     }
@@ -42,6 +43,7 @@ def shape_sql(sql: str, cols: str) -> str:
     cast = {
         "i": 'CAST("{c}" AS BIGINT)',
         "r": 'round(CAST("{c}" AS DOUBLE), 6) + 0.0',
+        "h": 'round(CAST("{c}" AS DOUBLE), 10) + 0.0',
         "d": "strftime(CAST(\"{c}\" AS DATE), '%Y-%m-%d')",
         "s": 'CAST("{c}" AS VARCHAR)',
     }

@@ -151,9 +151,9 @@ def _(spark, d):
 
 
 @query("e10_grid_thresholds", "threshold:r precision:r recall:r f1:r best:i",
-       f"""{WITH}, grid AS (SELECT i / 100.0::DOUBLE AS th FROM generate_series(1, 99) AS t(i)),
+       f"""{WITH}, steps AS (SELECT i / 100.0::DOUBLE AS th FROM generate_series(1, 99) AS t(i)),
        c AS (SELECT th, sum(CASE WHEN score > th THEN label ELSE 0 END) AS tp, sum(CASE WHEN score > th THEN 1 ELSE 0 END) AS fl,
-                    sum(label) AS p FROM scored, grid GROUP BY th),
+                    sum(label) AS p FROM scored, steps GROUP BY th),
        m AS (SELECT th AS threshold, coalesce(tp / CAST(nullif(fl, 0) AS DOUBLE), 0) AS precision,
                     coalesce(tp / CAST(nullif(p, 0) AS DOUBLE), 0) AS recall, coalesce(2 * tp / CAST(nullif(fl + p, 0) AS DOUBLE), 0) AS f1 FROM c)
        SELECT *, CASE WHEN row_number() OVER (ORDER BY f1 DESC, threshold) = 1 THEN 1 ELSE 0 END AS best FROM m""")
@@ -229,7 +229,7 @@ def lead_rows(spark, d):
         (F.col("score") >= T).cast("int").alias("flag"), (F.col("score_b") >= 0.6).cast("int").alias("flag_b"))
 
 
-@query("e17_lead_time_curve", "lead:i n:i mean_score:r mean_score_b:r flag_rate:r flag_rate_b:r",
+@query("e17_lead_time_curve", "lead:i n:i mean_score:h mean_score_b:h flag_rate:h flag_rate_b:h",
        f"""{WITH}, {_LEAD} SELECT lead, count(*) AS n, avg(score) AS mean_score, avg(score_b) AS mean_score_b,
        avg(CAST(flag AS DOUBLE)) AS flag_rate, avg(CAST(flag_b AS DOUBLE)) AS flag_rate_b FROM lead_rows GROUP BY lead""")
 def _(spark, d):

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .expr import digest
 
 BUCKETS = 64
@@ -131,6 +132,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     hist = (long_form(df, columns).where(F.col("value").isNotNull())
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
     if cuts is None:
+        hist = settle(hist)                     # read twice below, by two jobs
         cuts = split_points(hist, "value", by=["column"])
     totals = hist.groupBy(F.col("column").alias("_c")).agg(F.sum("n").alias("_total"))
     run = running_totals(hist, bucket_of(F.col("value"), cuts, F.col("column")), [F.col("value")],
