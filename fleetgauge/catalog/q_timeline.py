@@ -80,8 +80,9 @@ def _(spark, d):
 @query("w29_live_windows", "day:d live:i",
        f"""WITH {SUPPLY_SQL}, {census_sql(30)}, {tiles_sql(SS)},
        bounds AS (SELECT first_day + CAST(start AS INTEGER) AS a, first_day + CAST(start + 30 AS INTEGER) AS b FROM tiles),
-       steps AS (SELECT a AS day, 1 AS s FROM bounds UNION ALL SELECT b, -1 FROM bounds)
-       SELECT DISTINCT day, sum(s) OVER (ORDER BY day RANGE UNBOUNDED PRECEDING) AS live FROM steps""")
+       span AS (SELECT CAST(unnest(generate_series(min(a), max(b) - 1, INTERVAL 1 DAY)) AS DATE) AS day FROM bounds)
+       SELECT span.day, count(bounds.a) AS live FROM span LEFT JOIN bounds ON span.day >= a AND span.day < b
+       GROUP BY span.day""")
 def _(spark, d):
     tiles = windows.tile_windows(cal.census(supply_days(spark, d)), SS)
     return timeline.live_windows(windows.window_dates(tiles, SS))

@@ -53,3 +53,8 @@ def bin_index(value: Column, lo: float, hi: float, bins: int) -> Column:
     """1-based equal-width bin; the upper edge falls into the last bin."""
     raw = F.floor((value - F.lit(lo)) / F.lit(hi - lo) * F.lit(bins)).cast("int") + 1
     return F.least(F.greatest(raw, F.lit(1)), F.lit(bins))
+
+
+def fixed(c: Column, digits: int) -> Column:
+    """Text with a fixed number of decimals, rounded on the exact binary value as C and Python do."""
+    return F.call_function("format_number", c, F.lit("0." + "0" * digits))

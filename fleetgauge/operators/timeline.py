@@ -63,14 +63,17 @@ def weekday_spread(timeline: DataFrame) -> DataFrame:
 
 
 def live_windows(windows: DataFrame) -> DataFrame:
-    """How many windows are open on each day that the number changes (sweep line)."""
+    """How many windows are open on every day from the first start to the last end (sweep line)."""
     steps = windows.select(F.explode(F.array(
         F.struct(F.col("start_day").alias("day"), F.lit(1).alias("step")),
         F.struct(F.date_add("end_day", 1).alias("day"), F.lit(-1).alias("step")))).alias("s"))
     # At most one row per calendar day reaches the single ordered window.
     per_day = steps.groupBy("s.day").agg(F.sum("s.step").alias("step"))
-    order = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return per_day.select("day", F.sum("step").over(order).alias("live"))
+    order = Window.orderBy("day")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = per_day.select(F.sum("step").over(so_far).alias("live"), "day", F.lead("day").over(order).alias("next"))
+    return runs.where(F.col("next").isNotNull()).select(
+        F.explode(F.sequence("day", F.date_sub("next", 1))).alias("day"), "live")
 
 
 def split_coverage(drives: DataFrame, spec: WindowSpec) -> DataFrame:

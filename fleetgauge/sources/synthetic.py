@@ -1,0 +1,36 @@
+"""A replayable synthetic fleet over given drive ids, for tests and demonstrations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.expr import draw, unit_draw
+from ..settings import SEED
+
+
+def synthetic_fleet(ids: DataFrame, failure_rate: float = 0.06, min_days: int = 60, max_days: int = 400,
+                    gap_prob: float = 0.02, ramp_days: int = 45, start: str = "2022-01-01", seed: int = SEED) -> DataFrame:
+    """(drive, day, failure, smart_5_raw, smart_9_raw, smart_194_raw, smart_197_raw) for every id.
+
+    Record lengths, gaps and failures are md5 draws of the id, so any engine and any partitioning gives
+    the same fleet. A failing drive's sector counts climb over its last `ramp_days` days; failure is
+    set on its last day, which is always kept.
+    """
+    d = F.col("drive")
+    drives = ids.select(F.col(ids.columns[0]).alias("drive")).select(
+        "drive", (min_days + F.pmod(draw(F.lit(seed), d, F.lit("length")), F.lit(max_days - min_days))).cast("int").alias("n"),
+        F.pmod(draw(F.lit(seed), d, F.lit("begin")), F.lit(30)).cast("int").alias("begin"),
+        (unit_draw(F.lit(seed), d, F.lit("fails")) < failure_rate).cast("int").alias("fails"),
+        F.pmod(draw(F.lit(seed), d, F.lit("worn")), F.lit(20)).alias("worn"))
+    rows = drives.withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    last = F.col("pos") == F.col("n") - 1
+    rows = rows.where(last | (unit_draw(F.lit(seed), d, F.col("pos"), F.lit("gap")) >= gap_prob))
+    ramp = F.col("fails") * F.greatest(F.col("pos") - (F.col("n") - 1 - ramp_days), F.lit(0))
+    return rows.select(
+        "drive", F.date_add(F.lit(start).cast("date"), F.col("begin") + F.col("pos")).alias("day"),
+        (F.col("fails") * last.cast("int")).alias("failure"),
+        (F.col("worn") + ramp * 3).cast("double").alias("smart_5_raw"),
+        (F.col("pos") * 24 + F.col("worn") * 100).cast("double").alias("smart_9_raw"),
+        (25 + F.pmod(draw(F.lit(seed), d, F.col("pos"), F.lit("heat")), F.lit(15))).cast("double").alias("smart_194_raw"),
+        ramp.cast("double").alias("smart_197_raw"))
