@@ -58,7 +58,8 @@ def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         headers = []
         for path in batch["path"]:
-            store, name = fs.FileSystem.from_uri(path)
+            uri = path if "://" in path else path.replace("file:", "file://", 1)
+            store, name = fs.FileSystem.from_uri(uri)
             with store.open_input_stream(name) as f:
                 line = f.read(HEADER_BYTES).decode("utf-8-sig", errors="replace").split("\n", 1)[0]
             headers.append([c.strip() for c in next(csv.reader([line.rstrip("\r")]), [])])
@@ -81,7 +82,7 @@ def read_daily_csvs(spark: SparkSession, folder: str, wanted: Sequence[str]) ->
     if not groups:
         raise FileNotFoundError(f"no daily CSV under {folder}")
     parts = []
-    for g in sorted(groups, key=lambda g: g["header"]):
+    for g in sorted((g for g in groups if g["header"]), key=lambda g: g["header"]):
         schema = T.StructType([T.StructField(c, T.StringType()) for c in g["header"]])
         part = spark.read.csv(sorted(g["paths"]), header=True, schema=schema)
         parts.append(part.select(*[c for c in wanted if c in g["header"]]))

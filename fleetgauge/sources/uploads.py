@@ -144,7 +144,7 @@ def parse_tool_json(docs: DataFrame, column: str = "value", ids: Sequence[int] |
     d = F.from_json(column, TOOL_SCHEMA)
     rows = docs.withColumn("_d", d).withColumn("_t", F.col("_d.ata_smart_attributes.table"))
     serial = F.trim(F.coalesce("_d.serial_number", F.lit("")))
-    named = F.coalesce(F.nullif(F.trim("_d.model_name"), F.lit("")), F.trim("_d.model_family"), F.lit(""))
+    named = F.trim(F.coalesce(F.nullif("_d.model_name", F.lit("")), "_d.model_family", F.lit("")))
     rows = rows.where((F.size("_t") > 0) & (serial != ""))
 
     def value(i: int) -> Column:
