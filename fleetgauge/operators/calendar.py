@@ -16,10 +16,15 @@ from pyspark.sql import functions as F
 from ..functions.expr import log_level
 from ..settings import WindowSpec
 
-BY_DRIVE = Window.partitionBy("drive")
 SO_FAR = (Window.unboundedPreceding, Window.currentRow)
 
 
+def by_drive(*order: str | Column):
+    """The one partitioning every drive-keyed window shares."""
+    w = Window.partitionBy("drive")
+    return w.orderBy(*order) if order else w
+
+
 def telemetry(df: DataFrame, drive: str, day: str, failure: str | None = None, model: str | None = None,
               attrs: Sequence[str] | dict[str, str] = ()) -> DataFrame:
     """Map any frame onto the canonical columns: drive, day, failure, model, attributes."""
@@ -74,8 +79,8 @@ def densify(readings: DataFrame, spec: WindowSpec, carry: Sequence[str] = (), di
     pos, n_days, observed, failure, next_fail (position of the first failure at or after this day),
     levels, `<attr>_d<lag>`.
     """
-    ordered = BY_DRIVE.orderBy("day")
-    newest_first = BY_DRIVE.orderBy(F.col("day").desc())
+    ordered = by_drive("day")
+    newest_first = by_drive(F.col("day").desc())
     failed_on = F.when(F.col("failure") == 1, F.col("day"))
 
     def level(a: str) -> Column:
@@ -84,8 +89,8 @@ def densify(readings: DataFrame, spec: WindowSpec, carry: Sequence[str] = (), di
     rows = readings.select("drive", *carry, "day", "failure", *[level(a).alias(a) for a in spec.attrs])
     rows = rows.select(
         "drive", *carry, "day", "failure",
-        F.min("day").over(BY_DRIVE).alias("first_day"),
-        F.max("day").over(BY_DRIVE).alias("last_day"),
+        F.min("day").over(by_drive()).alias("first_day"),
+        F.max("day").over(by_drive()).alias("last_day"),
         F.lead("day").over(ordered).alias("next_day"),
         F.min(failed_on).over(newest_first.rowsBetween(*SO_FAR)).alias("fail_from_here"),
         F.min(failed_on).over(newest_first.rowsBetween(Window.unboundedPreceding, -1)).alias("fail_later"),
@@ -109,7 +114,7 @@ def densify(readings: DataFrame, spec: WindowSpec, carry: Sequence[str] = (), di
 
 def with_differences(dense: DataFrame, spec: WindowSpec) -> DataFrame:
     """`<attr>_d<lag>`: change over `lag` calendar days, NULL on the first `lag` days."""
-    order = BY_DRIVE.orderBy("pos")
+    order = by_drive("pos")
     return dense.select("*", *[(F.col(a) - F.lag(a, k).over(order)).alias(f"{a}_d{k}")
                                for k in spec.lags for a in spec.attrs])
 

@@ -15,8 +15,13 @@ from ..functions.expr import fixed, ratio
 from ..session import settle
 from ..settings import GAP_METRICS, OverfitRule
 
-RUN = Window.partitionBy("variation")
-BY_EPOCH = RUN.orderBy("epoch")
+
+def by_run():
+    return Window.partitionBy("variation")
+
+
+def by_epoch():
+    return by_run().orderBy("epoch")
 
 
 def gap_pct(train: Column, val: Column, higher_is_better: bool) -> Column:
@@ -54,19 +59,19 @@ def _divergence_starts(epochs: DataFrame, metrics: Sequence[str], rule: OverfitR
         sign = 1.0 if GAP_METRICS[m] else -1.0
         return sign * F.col(f"train_{m}"), sign * F.col(f"val_{m}")
 
-    rows = epochs.select("*", *[F.max(signed(m)[1]).over(RUN).alias(f"_top_{m}") for m in metrics])
+    rows = epochs.select("*", *[F.max(signed(m)[1]).over(by_run()).alias(f"_top_{m}") for m in metrics])
     # First epoch that reaches the run's best validation value.
-    rows = rows.select("*", *[F.min(F.when(signed(m)[1] == F.col(f"_top_{m}"), F.col("epoch"))).over(RUN).alias(f"_from_{m}")
+    rows = rows.select("*", *[F.min(F.when(signed(m)[1] == F.col(f"_top_{m}"), F.col("epoch"))).over(by_run()).alias(f"_from_{m}")
                               for m in metrics])
 
     def diverging(m: str) -> Column:
         t, v = signed(m)
-        wider = (t - v) > F.lag(t - v).over(BY_EPOCH)
-        step = (F.col("epoch") > F.col(f"_from_{m}")) & (t >= F.lag(t).over(BY_EPOCH)) & wider
+        wider = (t - v) > F.lag(t - v).over(by_epoch())
+        step = (F.col("epoch") > F.col(f"_from_{m}")) & (t >= F.lag(t).over(by_epoch())) & wider
         return F.coalesce(step, F.lit(False)).cast("int").alias(f"_d_{m}")
 
     rows = rows.select("*", *[diverging(m) for m in metrics])
-    ahead = BY_EPOCH.rowsBetween(0, rule.min_consecutive - 1)
+    ahead = by_epoch().rowsBetween(0, rule.min_consecutive - 1)
     starts = [F.when(F.sum(f"_d_{m}").over(ahead) == rule.min_consecutive, F.col("epoch")).alias(f"_div_{m}") for m in metrics]
     return rows.select(*epochs.columns, *starts)
 
@@ -90,8 +95,8 @@ def diagnose(epochs: DataFrame, select_by: str = "pr_auc", rule: OverfitRule = O
     have = [m for m in GAP_METRICS if f"{m}_gap_pct" in flagged.columns]
     rows = _divergence_starts(flagged, have, rule)
     key = F.col(f"val_{select_by}") if GAP_METRICS[select_by] else -F.col(f"val_{select_by}")
-    best = F.max(F.when(key.isNotNull(), F.struct(key.alias("k"), (-F.col("epoch")).alias("e")))).over(RUN)
-    rows = rows.withColumn("_last", F.max("epoch").over(RUN)).withColumn("_best", best)
+    best = F.max(F.when(key.isNotNull(), F.struct(key.alias("k"), (-F.col("epoch")).alias("e")))).over(by_run())
+    rows = rows.withColumn("_last", F.max("epoch").over(by_run())).withColumn("_best", best)
     rows = rows.withColumn("best_epoch", -F.col("_best.e")).where(F.col("best_epoch").isNotNull())
     at_best, at_last = F.col("epoch") == F.col("best_epoch"), F.col("epoch") == F.col("_last")
     got = rows.groupBy("variation", "best_epoch").agg(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import bin_index, log_level, ratio
 from ..functions.order import long_form
-from .calendar import BY_DRIVE
+from .calendar import by_drive
 
 
 def fleet_summary(readings: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def missingness(parts: Sequence[DataFrame], attrs: Sequence[str]) -> DataFrame:
 def _day_counts(readings: DataFrame) -> DataFrame:
     """(drive, day, n, gap): gap to the drive's previous reported day. At most one row per calendar day."""
     per = readings.groupBy("drive", "day").agg(F.count(F.lit(1)).alias("n"))
-    return per.withColumn("gap", F.datediff("day", F.lag("day").over(BY_DRIVE.orderBy("day"))))
+    return per.withColumn("gap", F.datediff("day", F.lag("day").over(by_drive("day"))))
 
 
 def gap_distribution(readings: DataFrame) -> DataFrame:

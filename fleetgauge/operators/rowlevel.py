@@ -12,14 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .calendar import BY_DRIVE, SO_FAR
-
-BY_TIME = BY_DRIVE.orderBy("day")
+from .calendar import SO_FAR, by_drive
 
 
 def with_lagged_deltas(readings: DataFrame, attrs: Sequence[str], lags: Sequence[int], suffix: str = "_d{lag}") -> DataFrame:
     """Change since the reading `lag` rows earlier; NULL without that much history."""
-    return readings.select("*", *[(F.col(a) - F.lag(a, k).over(BY_TIME)).alias(a + suffix.format(lag=k))
+    return readings.select("*", *[(F.col(a) - F.lag(a, k).over(by_drive("day"))).alias(a + suffix.format(lag=k))
                                   for k in lags for a in attrs])
 
 
@@ -33,7 +31,7 @@ def with_rolling_stats(readings: DataFrame, attrs: Sequence[str], width: int) ->
     block = Window.partitionBy("drive", "_block")
     ahead = block.orderBy("_pos").rowsBetween(*SO_FAR)
     behind = block.orderBy(F.col("_pos").desc()).rowsBetween(*SO_FAR)
-    rows = readings.withColumn("_pos", F.row_number().over(BY_TIME) - 1)
+    rows = readings.withColumn("_pos", F.row_number().over(by_drive("day")) - 1)
     rows = rows.withColumn("_block", F.floor(F.col("_pos") / width))
 
     def parts(w, tag: str) -> list[Column]:
@@ -46,7 +44,7 @@ def with_rolling_stats(readings: DataFrame, attrs: Sequence[str], width: int) ->
 
     both = rows.select("*", *parts(ahead, "p"), *parts(behind, "s"))
     tails = [f"_s{k}_{a}" for a in attrs for k in "nmvx"]
-    both = both.select("*", *[F.lag(c, width - 1).over(BY_DRIVE.orderBy("_pos")).alias(f"l{c}") for c in tails])
+    both = both.select("*", *[F.lag(c, width - 1).over(by_drive("_pos")).alias(f"l{c}") for c in tails])
     # A window that starts on a block boundary is the prefix alone.
     split = ((F.col("_pos") + 1) % width != 0) & (F.col("_pos") >= width)
 
@@ -69,9 +67,9 @@ def with_context(readings: DataFrame, width: int, capacity: str | None = None) -
     """Readings so far, calendar days the last `width` readings span, age in days, capacity in TB."""
     extra = [(F.col(capacity) / 1e12).alias("capacity_tb")] if capacity else []
     return readings.select(
-        "*", F.row_number().over(BY_TIME).alias("readings_so_far"),
-        F.datediff("day", F.lag("day", width).over(BY_TIME)).alias("window_span_days"),
-        F.datediff("day", F.min("day").over(BY_TIME.rowsBetween(*SO_FAR))).alias("drive_age_days"), *extra)
+        "*", F.row_number().over(by_drive("day")).alias("readings_so_far"),
+        F.datediff("day", F.lag("day", width).over(by_drive("day"))).alias("window_span_days"),
+        F.datediff("day", F.min("day").over(by_drive("day").rowsBetween(*SO_FAR))).alias("drive_age_days"), *extra)
 
 
 def one_hot(readings: DataFrame, column: str = "model", categories: Sequence[str] | None = None) -> DataFrame:
@@ -99,7 +97,7 @@ def full_window_report(features: DataFrame, width: int, tolerance: int = 5) -> D
 
 def with_target(readings: DataFrame, horizon: int) -> DataFrame:
     """days_to_failure (against the drive's last failure day) and target = 1 inside [0, horizon]."""
-    fail = F.max(F.when(F.col("failure") == 1, F.col("day"))).over(BY_DRIVE)
+    fail = F.max(F.when(F.col("failure") == 1, F.col("day"))).over(by_drive())
     left = F.datediff(fail, "day")
     return readings.select("*", left.alias("days_to_failure"),
                            F.coalesce(left.between(0, horizon), F.lit(False)).cast("int").alias("target"))
@@ -139,7 +137,7 @@ def row_features(readings: DataFrame, attrs: Sequence[str], lags: Sequence[int]
 def latest_row_features(readings: DataFrame, attrs: Sequence[str], lags: Sequence[int] = (7, 30, 90), width: int = 90,
                         capacity: str | None = None) -> DataFrame:
     """The same features for each drive's newest reading, from its last width + 1 readings only."""
-    recent = readings.withColumn("_back", F.row_number().over(BY_DRIVE.orderBy(F.col("day").desc()))).where(
+    recent = readings.withColumn("_back", F.row_number().over(by_drive(F.col("day").desc()))).where(
         F.col("_back") <= width + 1)
     return row_features(recent, attrs, lags, width, capacity).where("_back = 1").drop("_back")
 
@@ -157,7 +155,7 @@ def risk_action(band: Column) -> Column:
 
 def window_change(readings: DataFrame, attrs: Sequence[str], width: int) -> DataFrame:
     """(drive, attribute, first, last, delta) over the last width + 1 readings, where both ends are present."""
-    back = F.row_number().over(BY_DRIVE.orderBy(F.col("day").desc()))
+    back = F.row_number().over(by_drive(F.col("day").desc()))
     recent = readings.withColumn("_back", back).where(F.col("_back") <= width + 1)
     ends = recent.groupBy("drive").agg(*[F.min_by(F.col(a).cast("double"), "day").alias(f"f_{a}") for a in attrs],
                                        *[F.max_by(F.col(a).cast("double"), "day").alias(f"l_{a}") for a in attrs])

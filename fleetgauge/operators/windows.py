@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import draw, unit_draw
 from ..functions.order import grouped_hash_order
 from ..settings import SEED, WindowSpec
-from .calendar import BY_DRIVE, SO_FAR, census
+from .calendar import SO_FAR, by_drive, census
 
 MAX_START = "max_start"
 
@@ -170,7 +170,7 @@ def window_metadata(windows: DataFrame, dense: DataFrame, spec: WindowSpec) -> D
     window costs two lookups instead of `days` rows.
     """
     run = dense.select(F.col("drive").alias("_d"), F.col("pos").alias("_p"), F.sum("observed").over(
-        BY_DRIVE.orderBy("pos").rowsBetween(*SO_FAR)).alias("seen"))
+        by_drive("pos").rowsBetween(*SO_FAR)).alias("seen"))
     keyed = windows.withColumn("_last", F.least(F.col("start") + spec.days, F.col("n_days")) - 1)
     ends = keyed.select("*", F.explode(F.array(
         F.struct(F.col("_last").alias("at"), F.lit(1).alias("sign")),
@@ -205,7 +205,7 @@ def shuffled_tiles(drives: DataFrame, spec: WindowSpec, epoch: int = 0, block: i
 
 def last_days(readings: DataFrame, lengths: DataFrame | int) -> DataFrame:
     """The last n readings of each drive; `lengths` is one n or a (drive, n) frame."""
-    rows = readings.withColumn("_back", F.row_number().over(BY_DRIVE.orderBy(F.col("day").desc())))
+    rows = readings.withColumn("_back", F.row_number().over(by_drive(F.col("day").desc())))
     if isinstance(lengths, int):
         return rows.where(F.col("_back") <= lengths).drop("_back")
     return rows.join(lengths, "drive").where(F.col("_back") <= F.col("n")).drop("_back", "n")

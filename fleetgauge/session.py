@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -44,3 +46,8 @@ def settle(df: DataFrame) -> DataFrame:
     """Write `df` to the checkpoint folder so that several jobs can read it and none recompute it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(module: str) -> None:
+    """Send this module's functions to Python workers by value, so workers need no copy of the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import clean_number
+from ..session import ship
 from ..settings import DEFAULT_SMART_IDS
 
 HEADER_BYTES = 1 << 16
@@ -177,3 +178,6 @@ def chunk_summary(readings: DataFrame, size: int, full_days: int = 30) -> DataFr
         F.count(F.lit(1)).alias("drives"), F.sum("f").alias("failures"),
         F.sum((F.col("n") >= full_days).cast("bigint")).alias("full_drives"))
     return got.join(F.broadcast(days), F.col("chunk") == F.col("_c")).drop("_c")
+
+
+ship(__name__)

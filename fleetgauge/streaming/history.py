@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.rowlevel import risk_action, risk_band
+from ..session import ship
 
 KEEP = 60
 EPOCH = dt.date(1970, 1, 1)
@@ -83,3 +84,6 @@ def with_band(scored: DataFrame, score: str, threshold: float) -> DataFrame:
     """Risk band and action for each scored reading."""
     band = risk_band(F.col(score), threshold)
     return scored.withColumn("risk", band).withColumn("action", risk_action(band))
+
+
+ship(__name__)
