@@ -261,29 +261,29 @@ def _(spark, d):
     return windows.trailing_windows(supply_census(spark, d), SS, 45)
 
 
-_PAD = replace(ES, attrs=("n_click", "n_view"), days=45, min_days=10, lags=(1,), log_attrs=(), pad_short=True)
+_PAD = replace(ES, attrs=("n_click", "n_view"), days=20, min_days=10, lags=(1,), log_attrs=(), pad_short=True)
 
 
 def _padded(agg: str, c: str) -> str:
     last = f"coalesce(max(CASE WHEN pos = n_days - 1 THEN {c} END), 0)"
-    first = f"CASE WHEN max(n_days) < 45 THEN 0 ELSE coalesce(max(CASE WHEN pos = start THEN {c} END), 0) END"
+    first = f"CASE WHEN max(n_days) < 20 THEN 0 ELSE coalesce(max(CASE WHEN pos = start THEN {c} END), 0) END"
     whole = f"count({c}) = count(*)"
     return {
         "last": last, "delta": f"{last} - {first}",
-        "mean": f"CASE WHEN {whole} THEN sum({c}) / 45.0 ELSE 0 END",
-        "min": f"CASE WHEN {whole} THEN least(min({c}), CASE WHEN max(n_days) < 45 THEN 0 END) ELSE 0 END",
-        "max": f"CASE WHEN {whole} THEN greatest(max({c}), CASE WHEN max(n_days) < 45 THEN 0 END) ELSE 0 END",
+        "mean": f"CASE WHEN {whole} THEN sum({c}) / 20.0 ELSE 0 END",
+        "min": f"CASE WHEN {whole} THEN least(min({c}), CASE WHEN max(n_days) < 20 THEN 0 END) ELSE 0 END",
+        "max": f"CASE WHEN {whole} THEN greatest(max({c}), CASE WHEN max(n_days) < 20 THEN 0 END) ELSE 0 END",
     }[agg]
 
 
 @query("w22_padded_latest", "drive:i start:i n_padded:i n_real:i n_click__last:r n_click__mean:r n_click__min:r "
        "n_click__max:r n_click__delta:r observed__mean:r",
        f"""WITH {EVENTS_SQL}, {dense_sql(_PAD)},
-       latest AS (SELECT *, greatest(n_days - 45, 0) AS start FROM chan WHERE pos >= n_days - 45)
-       SELECT drive, max(start) AS start, greatest(45 - max(n_days), 0) AS n_padded, sum(observed) AS n_real,
+       latest AS (SELECT *, greatest(n_days - 20, 0) AS start FROM chan WHERE pos >= n_days - 20)
+       SELECT drive, max(start) AS start, greatest(20 - max(n_days), 0) AS n_padded, sum(observed) AS n_real,
               {", ".join(f'{_padded(a, "n_click")} AS n_click__{a}' for a in ("last", "mean", "min", "max"))},
-              {_padded("last", "n_click")} - min({"CASE WHEN n_days < 45 THEN 0 WHEN pos = start THEN n_click END"}) AS n_click__delta,
-              sum(observed) / 45.0 AS observed__mean
+              {_padded("last", "n_click")} - min({"CASE WHEN n_days < 20 THEN 0 WHEN pos = start THEN n_click END"}) AS n_click__delta,
+              sum(observed) / 20.0 AS observed__mean
        FROM latest GROUP BY drive""")
 def _(spark, d):
     dense = cal.densify(events_days(spark, d), _PAD)
