@@ -3,13 +3,12 @@ the metrics are fixed arithmetic of the day's events, so the log grows with the
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import experiments as ex
 from ..operators import ranking as rk
+from ..session import work_folder
 from .base import query
 from .q_ranking import conf_sql
 from .views import EVENTS_SQL, SCORED_SQL, events_days, scored_windows
@@ -216,15 +215,6 @@ def _(spark, d):
     return log.add(runs)                    # the second add replaces the even runs
 
 
-def work_folder(spark) -> str:
-    """A new folder under the cluster's checkpoint folder; a temp folder only where that is unset (tests)."""
-    import uuid
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/fleetgauge-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="fleetgauge-")
-
-
 _M = ("precision", "recall", "f1", "balanced_accuracy", "base_rate")
 
 

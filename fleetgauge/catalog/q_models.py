@@ -13,10 +13,9 @@ from ..operators.experiments import head_to_head
 from ..operators.scaling import Contract, fit_window_scaling
 from ..plans import fleet
 from ..plans.archive import run_archive, window_table
-from ..session import settle
+from ..session import settle, work_folder
 from ..settings import WindowSpec
 from .base import query
-from .q_experiments import work_folder
 from .q_rows import _scaled_sql, _stats_sql
 from .q_timeline import split_drives
 from .views import (EVENT_SPEC, EVENTS_SQL, SUPPLY_SPEC, SUPPLY_SQL, aggregate_sql, dense_sql, events_days, supply_days,

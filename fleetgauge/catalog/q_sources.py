@@ -9,8 +9,8 @@ from ..operators import calendar as cal
 from ..sources import archive, cohorts, sinks, synthetic, uploads
 from ..streaming import history, ingest
 from ..streaming import windows as stream_windows
+from ..session import work_folder
 from .base import query
-from .q_experiments import work_folder
 from .views import EVENTS_SQL, SUPPLY_SQL, census_sql, events_days, supply_days, table
 
 WITH = f"WITH {EVENTS_SQL}"

@@ -87,23 +87,25 @@ def densify(readings: DataFrame, spec: WindowSpec, carry: Sequence[str] = (), di
         return log_level(a) if a in spec.log_attrs else F.col(a).cast("double")
 
     rows = readings.select("drive", *carry, "day", "failure", *[level(a).alias(a) for a in spec.attrs])
+    # Running frames in day order and in reverse order; a frame over the whole record is never buffered.
     rows = rows.select(
-        "drive", *carry, "day", "failure",
-        F.min("day").over(by_drive()).alias("first_day"),
-        F.max("day").over(by_drive()).alias("last_day"),
+        "drive", "day", "failure",
+        *[F.first(c, ignorenulls=True).over(newest_first.rowsBetween(*SO_FAR)).alias(c) for c in carry],
+        F.min("day").over(ordered.rowsBetween(*SO_FAR)).alias("first_day"),
+        F.max("day").over(newest_first.rowsBetween(*SO_FAR)).alias("last_day"),
         F.lead("day").over(ordered).alias("next_day"),
         F.min(failed_on).over(newest_first.rowsBetween(*SO_FAR)).alias("fail_from_here"),
         F.min(failed_on).over(newest_first.rowsBetween(Window.unboundedPreceding, -1)).alias("fail_later"),
         *[F.last(a, ignorenulls=True).over(ordered.rowsBetween(*SO_FAR)).alias(a) for a in spec.attrs],
     ).withColumn("n_days", F.datediff("last_day", "first_day") + 1)
     rows = rows.where(F.col("n_days") >= spec.shortest_record)
-    until = F.coalesce(F.date_sub("next_day", 1), F.col("day"))
-    rows = rows.withColumn("cal_day", F.explode(F.sequence("day", until)))
-    seen = F.col("cal_day") == F.col("day")
+    gap = F.coalesce(F.datediff("next_day", "day") - 1, F.lit(0))
+    rows = rows.withColumn("after", F.explode(F.sequence(F.lit(0), gap)))
+    seen = F.col("after") == 0
     next_fail = F.when(seen, F.col("fail_from_here")).otherwise(F.col("fail_later"))
     dense = rows.select(
-        "drive", *carry, F.col("cal_day").alias("day"),
-        F.datediff("cal_day", "first_day").alias("pos"), "n_days",
+        "drive", *carry, F.date_add("day", F.col("after")).alias("day"),
+        (F.datediff("day", "first_day") + F.col("after")).alias("pos"), "n_days",
         seen.cast("int").alias("observed"),
         F.when(seen, F.col("failure")).otherwise(F.lit(0)).alias("failure"),
         F.datediff(next_fail, "first_day").alias("next_fail"),

@@ -18,14 +18,14 @@ def _starts_of_row(spec: WindowSpec, cover: str) -> Column:
     if cover == "latest":
         return F.array(F.when(pos >= last, last))
     stride = spec.days if cover == "tile" else spec.stride
-    low = F.greatest(F.ceil((pos - spec.days + 1) / stride), F.lit(0)).cast("int")
-    high = F.floor(F.least(pos, last) / stride).cast("int")
+    high = F.floor(F.least(pos, last) / stride).cast("int") * stride
+    extra = F.when((last % stride != 0) & (pos >= last), last)
+    if cover == "tile":
+        return F.array(F.when(high > pos - stride, high), extra)
+    low = F.greatest(F.ceil((pos - spec.days + 1) / stride), F.lit(0)).cast("int") * stride
     none = F.array().cast("array<int>")
-    aligned = F.when(low <= high, F.transform(F.sequence(low, F.greatest(high, low)), lambda k: k * stride)).otherwise(none)
-    if cover == "tile" or spec.include_last:
-        extra = F.when((last % stride != 0) & (pos >= last), F.array(last)).otherwise(none)
-        return F.concat(aligned, extra)
-    return aligned
+    aligned = F.when(low <= high, F.sequence(low, F.greatest(high, low), F.lit(stride))).otherwise(none)
+    return F.concat(aligned, F.array(extra)) if spec.include_last else aligned
 
 
 def window_aggregates(dense: DataFrame, spec: WindowSpec, cover: str = "tile",
@@ -47,8 +47,7 @@ def window_aggregates(dense: DataFrame, spec: WindowSpec, cover: str = "tile",
             F.sum("observed").cast("int").alias("n_real"),
             F.max(F.when(at_start, F.col("day"))).alias("start_day"),
             F.max(F.when(at_end, F.col("day"))).alias("end_day"),
-            F.count(F.lit(1)).cast("int").alias("_rows"),
-            *[F.max(c).alias(c) for c in carry]]
+            F.count(F.lit(1)).cast("int").alias("_rows")]
     need = {a for a in aggregates}
     for c in channels:
         v = F.col(c).cast("double")
@@ -63,7 +62,8 @@ def window_aggregates(dense: DataFrame, spec: WindowSpec, cover: str = "tile",
             aggs.append(F.min(v).alias(f"_min_{c}"))
         if "max" in need:
             aggs.append(F.max(v).alias(f"_max_{c}"))
-    got = rows.groupBy("drive", "start").agg(*aggs)
+    # Carried columns are constant per drive, so they ride along as keys; text could not be hash-aggregated.
+    got = rows.groupBy("drive", "start", *carry).agg(*aggs)
     padded = F.col("_rows") < spec.days
     zero = F.lit(0.0)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -28,24 +29,32 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; fall back to a temp folder in local mode only."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; a temp folder only in local mode, as in tests."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="fleetgauge-ckpt-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder before running on a cluster")
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder before running on a cluster")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="fleetgauge-"))
+        configured = sc.getCheckpointDir()
+    return configured.rstrip("/")
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new, unused folder name below the shared folder."""
+    return f"{shared_folder(spark)}/fleetgauge-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder so that several jobs can read it and none recompute it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` once as a table in the shared folder and read it back.
+
+    Several jobs can then read it, each only the columns it needs, and a lost executor costs a re-read
+    instead of the whole lineage.
+    """
+    path = work_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ship(module: str) -> None:
