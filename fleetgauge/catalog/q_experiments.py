@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import experiments as ex
 from ..operators import ranking as rk
-from ..session import work_folder
+from ..session import settle, work_folder
 from .base import query
 from .q_ranking import conf_sql
 from .views import EVENTS_SQL, SCORED_SQL, events_days, scored_windows
@@ -224,7 +224,7 @@ _M = ("precision", "recall", "f1", "balanced_accuracy", "base_rate")
        l AS ({" UNION ALL ".join(f"SELECT '{m}' AS metric, round(a.{m}, 4) AS first, round(b.{m}, 4) AS second FROM a, b" for m in _M)})
        SELECT *, CASE WHEN first > second THEN 'trees' WHEN first < second THEN 'network' ELSE 'Tie' END AS winner FROM l""")
 def _(spark, d):
-    rows = scored_windows(spark, d)
+    rows = settle(scored_windows(spark, d).select("label", "score", "score_b"))
     a = rk.confusion(rows, 0.35).select(*_M)
     b = rk.confusion(rows, 0.6, score="score_b").select(*_M)
     return ex.head_to_head(a, b, ("trees", "network"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import calendar as cal
 from ..operators import ranking as rk
+from ..session import settle
 from .base import query
 from .views import (DRIVE_SCORES_SQL, SCORED_SQL, SUPPLY_SPEC, SUPPLY_SQL, census_sql, scored_windows, supply_days)
 
@@ -16,10 +17,19 @@ _CONF = """count(*) FILTER (WHERE score {op} {t} AND label = 1) AS tp, count(*)
  count(*) FILTER (WHERE NOT score {op} {t} AND label = 1) AS fn, count(*) FILTER (WHERE NOT score {op} {t} AND label = 0) AS tn"""
 
 
+def settled_windows(spark, d, *cols):
+    """Scored windows written once, for queries that pass over them several times."""
+    return settle(scored_windows(spark, d).select("drive", "start", "model", "label", "score", "score_b", "n_real", *cols))
+
+
 def drives(spark, d):
     return rk.drive_scores(scored_windows(spark, d), ("score", "score_b"))
 
 
+def settled_drives(spark, d):
+    return settle(drives(spark, d))
+
+
 @query("flagship_worst_window_precision_at_k", "k:i k_effective:i hits:i precision:r recall:r best_possible:r lift:r",
        f"""{WITH_DRIVES}, r AS (SELECT label, row_number() OVER (ORDER BY score DESC, md5(CAST(drive AS VARCHAR)), drive) AS rn
                                 FROM drive_scores),
@@ -31,7 +41,7 @@ def drives(spark, d):
               (hits / CAST(k_effective AS DOUBLE)) / nullif(p / CAST(n AS DOUBLE), 0) AS lift FROM h""")
 def flagship(spark, d):
     """Rank drives by their worst window; precision at K."""
-    return rk.precision_at_k(drives(spark, d), rk.DEFAULT_KS, ["drive"])
+    return rk.precision_at_k(settled_drives(spark, d), rk.DEFAULT_KS, ["drive"])
 
 
 _CONF_COLS = "tp:i fp:i fn:i tn:i n:i n_pos:i precision:r recall:r f1:r base_rate:r accuracy:r balanced_accuracy:r always_healthy_accuracy:r"
@@ -102,21 +112,21 @@ def _cut_sql(ks: str) -> str:
               least(k_effective, p) / CAST(k_effective AS DOUBLE) AS best_possible,
               (hits / CAST(k_effective AS DOUBLE)) / (p / CAST(n AS DOUBLE)) AS lift FROM h""")
 def _(spark, d):
-    return rk.precision_at_k(scored_windows(spark, d), (10, 25, 50, 100, 250, 1000), ["drive", "start"])
+    return rk.precision_at_k(settled_windows(spark, d), (10, 25, 50, 100, 250, 1000), ["drive", "start"])
 
 
 @query("e5_precision_at_fraction", "k:i hits:i precision:r recall:r lift:r",
        _cut_sql("SELECT greatest(CAST(floor(n * f) AS BIGINT), 1) AS k FROM t, "
                 "(VALUES (0.001::DOUBLE), (0.005), (0.01), (0.02), (0.05), (0.10)) fr(f)"))
 def _(spark, d):
-    return rk.precision_at_cuts(scored_windows(spark, d), ["drive", "start"], fractions=rk.FRACTIONS)
+    return rk.precision_at_cuts(settled_windows(spark, d), ["drive", "start"], fractions=rk.FRACTIONS)
 
 
 @query("e6_precision_at_k_and_positives", "k:i hits:i precision:r recall:r lift:r",
        _cut_sql("SELECT least(k, n) AS k FROM t, (VALUES (10), (25), (50), (100), (250), (500)) v(k) "
                 "UNION ALL SELECT least(greatest(p, 1), n) FROM t"))
 def _(spark, d):
-    return rk.precision_at_cuts(scored_windows(spark, d), ["drive", "start"], fixed=(10, 25, 50, 100, 250, 500),
+    return rk.precision_at_cuts(settled_windows(spark, d), ["drive", "start"], fixed=(10, 25, 50, 100, 250, 500),
                                 at_positives=True)
 
 
@@ -136,7 +146,7 @@ t AS (SELECT sum(label) AS p, count(*) AS n FROM scored)"""
        f"{WITH}, {_CUM} SELECT score AS threshold, 2 * tp / CAST(fl + p AS DOUBLE) AS f1 FROM cu, t "
        "ORDER BY f1 DESC, threshold DESC LIMIT 1")
 def _(spark, d):
-    return rk.best_threshold(scored_windows(spark, d))
+    return rk.best_threshold(settled_windows(spark, d))
 
 
 @query("e9_best_quantile_threshold", "threshold:r f1:r",
@@ -147,7 +157,7 @@ def _(spark, d):
               / CAST(sum(CASE WHEN score >= th THEN 1 ELSE 0 END) + max(p) AS DOUBLE) AS f1
        FROM scored, q, p GROUP BY th ORDER BY f1 DESC, th LIMIT 1""")
 def _(spark, d):
-    return rk.best_quantile_threshold(scored_windows(spark, d))
+    return rk.best_quantile_threshold(settled_windows(spark, d))
 
 
 @query("e10_grid_thresholds", "threshold:r precision:r recall:r f1:r best:i",
@@ -158,7 +168,7 @@ def _(spark, d):
                     coalesce(tp / CAST(nullif(p, 0) AS DOUBLE), 0) AS recall, coalesce(2 * tp / CAST(nullif(fl + p, 0) AS DOUBLE), 0) AS f1 FROM c)
        SELECT *, CASE WHEN row_number() OVER (ORDER BY f1 DESC, threshold) = 1 THEN 1 ELSE 0 END AS best FROM m""")
 def _(spark, d):
-    return rk.grid_thresholds(scored_windows(spark, d))
+    return rk.grid_thresholds(settled_windows(spark, d))
 
 
 @query("e11_top_drives", "rank:i drive:i score:r label:i",
@@ -202,7 +212,7 @@ def _(spark, d):
               max(recall_at_n_pos) AS recall_at_n_pos, max(mean_rank_of_failures) AS mean_rank_of_failures
        FROM r, t, a, (VALUES (5), (10), (25), (50), (100)) ks(k) WHERE k <= n AND p > 0 AND p < n GROUP BY k""")
 def _(spark, d):
-    return rk.ranking_quality(drives(spark, d))
+    return rk.ranking_quality(settled_drives(spark, d))
 
 
 @query("e16_model_agreement", "n:i both:i only_first:i only_second:i spearman:r",
@@ -212,7 +222,7 @@ def _(spark, d):
               count(*) FILTER (WHERE score >= {T} AND score_b < 0.6) AS only_first,
               count(*) FILTER (WHERE score < {T} AND score_b >= 0.6) AS only_second, corr(ra, rb) AS spearman FROM mr""")
 def _(spark, d):
-    return rk.agreement(scored_windows(spark, d), T, 0.6)
+    return rk.agreement(settled_windows(spark, d), T, 0.6)
 
 
 _LEAD = f"""lead_rows AS (SELECT s.drive, s.n_days - 1 - (s.start + 29) AS lead, s.score, s.score_b,
@@ -250,7 +260,7 @@ def _(spark, d):
        f"""{WITH}, {_CUM} SELECT score, tp / CAST(p AS DOUBLE) AS recall, tp / CAST(fl AS DOUBLE) AS precision,
        (fl - tp) / CAST(n - p AS DOUBLE) AS fpr FROM cu, t""")
 def _(spark, d):
-    return rk.curve_points(scored_windows(spark, d))
+    return rk.curve_points(settled_windows(spark, d))
 
 
 @query("e29_score_histogram", "label:i bin:i n:i density:r",
@@ -280,7 +290,7 @@ def _(spark, d):
               CASE WHEN roc_auc IS NOT NULL THEN c.precision END AS precision, CASE WHEN roc_auc IS NOT NULL THEN c.recall END AS recall
        FROM auc JOIN c ON c.model = auc.model JOIN dr ON dr.model = auc.model""")
 def _(spark, d):
-    return rk.family_breakdown(scored_windows(spark, d), T)
+    return rk.family_breakdown(settled_windows(spark, d), T)
 
 
 @query("e32_alignment", "windows:i only_first:i only_second:i label_mismatch:i",
@@ -289,7 +299,7 @@ def _(spark, d):
               count(*) FILTER (WHERE a.label IS NULL) AS only_second, count(*) FILTER (WHERE a.label <> b.label) AS label_mismatch
        FROM scored a FULL OUTER JOIN b ON a.drive = b.drive AND a.start = b.start""")
 def _(spark, d):
-    a = scored_windows(spark, d)
+    a = settled_windows(spark, d)
     b = a.where("score_b >= 0.2").withColumn("label", F.when(F.col("n_real") == 30, 1 - F.col("label")).otherwise(F.col("label")))
     return rk.alignment(a, b)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.order import score_rank, unit_cuts
 from ..operators import calendar as cal
 from ..operators import splits, timeline, windows
+from ..session import settle
 from .base import query
 from .views import (DRIVE_SCORES_SQL, EVENTS_SQL, SCORED_SQL, SUPPLY_SPEC, SUPPLY_SQL, census_sql, dense_sql,
                     events_days, label_sql, scored_windows, supply_days, supply_dense, tiles_sql)
@@ -175,7 +176,7 @@ def _(spark, d):
        WHERE rank IN (SELECT CAST(floor(i * (SELECT max(n) - 1 FROM r) / 11.0) AS BIGINT) + 1
                       FROM generate_series(0, 11) AS t(i))""")
 def _(spark, d):
-    per = scored_windows(spark, d).groupBy("drive").agg(F.max("score").alias("score"))
+    per = settle(scored_windows(spark, d).groupBy("drive").agg(F.max("score").alias("score")))
     return windows.spread_picks(score_rank(per, "score", [F.col("drive")], unit_cuts()), 12)
 
 

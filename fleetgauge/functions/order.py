@@ -21,10 +21,10 @@ BUCKETS = 64
 HASH_CELL = 3          # hex digits: at most 4,096 cells per group
 
 
-def unit_cuts(n: int = BUCKETS) -> list[float]:
-    """Even cuts of [0, 1]; right for scores kept to a fixed number of digits, where a bucket's
-    distinct values are bounded whatever the row count."""
-    return [i / n for i in range(1, n)]
+def unit_cuts(n: int = BUCKETS) -> int:
+    """Even cuts of [0, 1], given as their number; right for scores kept to a fixed number of digits,
+    where a bucket's distinct values are bounded whatever the row count."""
+    return n
 
 
 def split_points(df: DataFrame, value: str, by: Sequence[str] = (), n: int = BUCKETS):
@@ -39,7 +39,10 @@ def split_points(df: DataFrame, value: str, by: Sequence[str] = (), n: int = BUC
 
 
 def bucket_of(value: Column, cuts, by: Column | None = None) -> Column:
-    """Number of cuts at or below `value`: an ordered bucket id, NULL for NULL."""
+    """An ordered bucket id. `cuts` is a list of split points, a dict of such lists per group, or the
+    number of even buckets of [0, 1]."""
+    if isinstance(cuts, int):
+        return F.least(F.greatest(F.floor(value * cuts).cast("int"), F.lit(0)), F.lit(cuts - 1))
     if isinstance(cuts, dict):
         if not cuts:
             return F.lit(0)
@@ -55,7 +58,8 @@ def running_totals(hist: DataFrame, bucket: Column, order: Sequence[Column], sum
                    by: Sequence[str] = ()) -> DataFrame:
     """Add `sums[name]`, the total of column `name` over all rows up to and including this one.
 
-    `hist` has one row per distinct order key. `bucket` must not decrease along `order`.
+    `hist` has one row per distinct order key. `bucket` must not decrease along `order`. `by` names a
+    small, fixed set of groups (families, columns, boosting rounds), never drives.
     """
     by = list(by)
     cells = hist.withColumn("_bucket", bucket)
@@ -137,17 +141,22 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     totals = hist.groupBy(F.col("column").alias("_c")).agg(F.sum("n").alias("_total"))
     run = running_totals(hist, bucket_of(F.col("value"), cuts, F.col("column")), [F.col("value")],
                          {"n": "upto"}, by=["column"])
-    targets = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
-    # One row per column and probability asked for.
-    wanted = totals.select("_c", "_total", targets).withColumn("_at", F.col("prob") * (F.col("_total") - 1))
-    low, high = F.floor("_at"), F.ceil("_at")
+    # One row per column, with the positions asked for; a row keeps only those that fall on it.
+    at = F.array(*[F.struct(F.lit(float(p)).alias("prob"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("at"))
+                   for p in probs])
+    j = run.join(F.broadcast(totals.select("_c", at.alias("_at"))), F.col("column") == F.col("_c"))
     first, last = F.col("upto") - F.col("n"), F.col("upto") - 1
-    hit = run.join(F.broadcast(wanted), F.col("column") == F.col("_c"))
-    near = hit.where(((first <= low) & (low <= last)) | ((first <= high) & (high <= last)))
-    at_low = F.max(F.when((first <= low) & (low <= last), F.col("value")))
-    at_high = F.max(F.when((first <= high) & (high <= last), F.col("value")))
-    frac = F.max(F.col("_at") - low)
-    return near.groupBy("column", "prob").agg((at_low + (at_high - at_low) * frac).alias("value"))
+
+    def covers(p: Column) -> Column:
+        return (first <= p) & (p <= last)
+
+    mine = F.filter("_at", lambda t: covers(F.floor(t["at"])) | covers(F.ceil(t["at"])))
+    near = j.select("column", "value", first.alias("_first"), last.alias("_last"), F.explode(mine).alias("t"))
+    low, high = F.floor("t.at"), F.ceil("t.at")
+    at_low = F.max(F.when((F.col("_first") <= low) & (low <= F.col("_last")), F.col("value")))
+    at_high = F.max(F.when((F.col("_first") <= high) & (high <= F.col("_last")), F.col("value")))
+    frac = F.max(F.col("t.at") - low)
+    return near.groupBy("column", F.col("t.prob").alias("prob")).agg((at_low + (at_high - at_low) * frac).alias("value"))
 
 
 def grouped_hash_order(df: DataFrame, group: str, order: Sequence[str], seed: Sequence, out: str = "seq") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Exact signed feature contributions for a sum of trees.
+"""A boosted ensemble taken apart: scores after each round, and exact signed feature contributions.
 
 For one tree, a leaf pays its value to the features on its path: the Shapley value of the game in
 which a known feature lets a row reach the leaf or not, and an unknown one lets through the share of
@@ -41,6 +41,53 @@ def ensemble_paths(model) -> list[tuple[float, list]]:
     return [(value * weight, path) for tree, weight in zip(model.trees, model.treeWeights) for value, path in leaf_paths(tree)]
 
 
+def tree_arrays(tree) -> tuple[np.ndarray, ...]:
+    """A fitted tree as arrays: feature, threshold, left, right, value. A leaf points at itself."""
+    rows: list[list] = []
+
+    def add(node) -> int:
+        at = len(rows)
+        rows.append([0, np.inf, at, at, node.prediction()])
+        if node.subtreeDepth() > 0:
+            split = node.split()
+            rows[at][:2] = [split.featureIndex(), split.threshold()]
+            rows[at][2] = add(node.leftChild())
+            rows[at][3] = add(node.rightChild())
+        return at
+
+    add(tree._java_obj.rootNode())
+    kinds = (np.int64, float, np.int64, np.int64, float)
+    return tuple(np.array(c, dtype=k) for c, k in zip(zip(*rows), kinds))
+
+
+def staged_margins(x: np.ndarray, trees: Sequence, weights: Sequence[float], depth: int, rounds: Sequence[int]) -> np.ndarray:
+    """(rows, rounds): the weighted tree sum after each of `rounds` trees."""
+    margin, out, at = np.zeros(len(x)), [], np.arange(len(x))
+    for i, (feature, threshold, left, right, value) in enumerate(trees[:max(rounds)], start=1):
+        node = np.zeros(len(x), dtype=np.int64)
+        for _ in range(depth):
+            node = np.where(x[at, feature[node]] <= threshold[node], left[node], right[node])
+        margin = margin + weights[i - 1] * value[node]
+        if i in rounds:
+            out.append(margin)
+    return np.column_stack(out)
+
+
+def staged_scores(model, rows: DataFrame, features: Sequence[str], rounds: Sequence[int]) -> DataFrame:
+    """(label, round, score): a boosted classifier's probability after each of `rounds` rounds."""
+    trees, weights = [tree_arrays(t) for t in model.trees], list(model.treeWeights)
+    names, wanted, depth = list(features), sorted(rounds), max(t.depth for t in model.trees)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            p = 1 / (1 + np.exp(-2 * staged_margins(batch[names].to_numpy(dtype=float), trees, weights, depth, wanted)))
+            yield pd.DataFrame({"label": np.repeat(batch["label"].to_numpy(), len(wanted)),
+                                "round": np.tile(np.array(wanted, dtype=np.int32), len(batch)), "score": p.ravel()})
+
+    slim = rows.select(F.col("label").cast("int").alias("label"), *[F.col(f).cast("double").alias(f) for f in names])
+    return slim.mapInPandas(run, "label int, round int, score double")
+
+
 def contributions(x: np.ndarray, leaves: Sequence) -> tuple[np.ndarray, float]:
     """(rows, features) contributions and the base value."""
     phi, base = np.zeros_like(x, dtype=float), 0.0

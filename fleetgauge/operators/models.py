@@ -20,8 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import unit_draw
+from ..session import settle
 from ..settings import SEED, OverfitRule
 from .experiments import with_gaps
+from .explain import staged_scores
 from .ranking import confusion, ranking_metrics
 
 # Full-size training settings (fixed values); queries and tests pass smaller ones.
@@ -53,28 +55,17 @@ class BoostedFit:
     features: list[str] = field(default_factory=list)
 
 
-def staged_scores(gbt, rows: DataFrame, rounds: Sequence[int]) -> DataFrame:
-    """(round, label, score): the score after each of `rounds` boosting rounds, from prefixes of the tree sum."""
-    out, kept = rows, list(rows.columns)
-    for i, tree in enumerate(gbt.trees[:max(rounds)]):
-        out = tree.setPredictionCol(f"_t{i}").transform(out)
-    weights = gbt.treeWeights
-    margin, stages = F.lit(0.0), []
-    for i in range(max(rounds)):
-        margin = margin + F.col(f"_t{i}") * F.lit(float(weights[i]))
-        if i + 1 in rounds:
-            stages.append(F.struct(F.lit(i + 1).alias("round"), (1 / (1 + F.exp(-2 * margin))).alias("score")))
-    return out.select(*[c for c in kept if c != "features"], F.explode(F.array(*stages)).alias("s")).select(
-        "label", "s.round", "s.score")
+def round_history(gbt, features: Sequence[str], train: DataFrame, val: DataFrame, every: int = 1,
+                  rule: OverfitRule = OverfitRule()) -> DataFrame:
+    """Per boosting round (variation, epoch): train and validation PR-AUC, ROC-AUC and log loss, with gap flags.
 
-
-def round_history(gbt, train: DataFrame, val: DataFrame, every: int = 1, rule: OverfitRule = OverfitRule()) -> DataFrame:
-    """Per boosting round (variation, epoch): train and validation PR-AUC, ROC-AUC and log loss, with gap flags."""
+    Only every `every`-th round is scored; `train` should be a probe of about the size of `val`.
+    """
     n = gbt.getNumTrees
     rounds = sorted({*range(every, n + 1, every), n})
 
     def metrics(rows: DataFrame, tag: str) -> DataFrame:
-        staged = staged_scores(gbt, rows, rounds)
+        staged = settle(staged_scores(gbt, rows, features, rounds))       # loss and ranking read it
         p = F.least(F.greatest(F.col("score"), F.lit(1e-15)), F.lit(1 - 1e-15))
         loss = staged.groupBy(F.col("round").alias("_r")).agg(
             F.avg(-F.when(F.col("label") == 1, F.log(p)).otherwise(F.log(1 - p))).alias(f"{tag}_loss"))
@@ -88,20 +79,21 @@ def round_history(gbt, train: DataFrame, val: DataFrame, every: int = 1, rule: O
 
 def fit_boosted(train: DataFrame, val: DataFrame, features: Sequence[str], rounds: int = 3000, step: float = 0.05,
                 depth: int = 8, min_child: int = 5, subsample: float = 0.8, patience: int = 100, every: int = 10,
-                weight: str | None = None, seed: int = SEED) -> BoostedFit:
+                weight: str | None = None, probe: DataFrame | None = None, seed: int = SEED) -> BoostedFit:
     """Boosted trees; the number of rounds is the prefix with the best validation PR-AUC.
 
     The loss-based stop of the trainer would favour another count, so the prefix is chosen here and
     the model refitted to it (same seed, so the same trees). `patience` rounds without a gain end the scan.
+    `probe` holds the training rows the curves are drawn on; all of them by default.
     """
     def fit(n: int):
         gbt = GBTClassifier(labelCol="label", featuresCol="features", maxIter=n, maxDepth=depth, stepSize=step,
                             minInstancesPerNode=min_child, subsamplingRate=subsample, seed=seed, featureSubsetStrategy="0.8")
         return (gbt.setWeightCol(weight) if weight else gbt).fit(train_v)
 
-    train_v, val_v = vectors(train, features), vectors(val, features)
+    train_v = vectors(train, features)
     gbt = fit(rounds)
-    history = round_history(gbt, train_v, val_v, every)
+    history = settle(round_history(gbt, features, train if probe is None else probe, val, every))
     curve = sorted((r["epoch"], r["val_pr_auc"]) for r in history.select("epoch", "val_pr_auc").collect())
     best, at = float("-inf"), rounds
     for n, value in curve:

@@ -124,8 +124,7 @@ def _at_thresholds(rows: DataFrame, thresholds: DataFrame, cuts) -> DataFrame:
 def best_quantile_threshold(rows: DataFrame, grid: int = 200, cuts=CUTS) -> DataFrame:
     """One row: best F1 (>=) over `grid` evenly spaced score quantiles; ties take the lowest threshold."""
     probs = [i / (grid - 1) for i in range(grid)]
-    by_column = {"score": list(cuts)}
-    quantiles = exact_quantiles(rows, ["score"], probs, cuts=by_column)
+    quantiles = exact_quantiles(rows, ["score"], probs, cuts=cuts)
     cand = quantiles.select(F.round("value", 9).alias("threshold")).distinct()
     at = _at_thresholds(rows.withColumn("score", F.round("score", 9)), cand, cuts)
     f1 = _f1(F.col("tp"), F.col("flagged"), F.col("n_pos"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.order import exact_quantiles
+from ..session import settle
 from ..settings import OBSERVED, WindowSpec
 
 TINY_STD = 1e-6
@@ -60,6 +61,7 @@ def fit_scaling(rows: DataFrame, channels: Sequence[str], exact: bool = True) ->
     hundreds of billions of rows. `observed` is left as it is. Only the statistics reach the driver.
     """
     fitted = [c for c in channels if c != OBSERVED]
+    rows = settle(rows.select(*[F.col(c).cast("double").alias(c) for c in fitted]))     # two or three passes
     if exact:
         got = exact_quantiles(rows, fitted, [0.5]).collect()
         medians = {r["column"]: r["value"] for r in got}

@@ -12,7 +12,7 @@ from ..operators import leakage, models, ranking, timeline
 from ..operators.calendar import census, dedupe_days, densify
 from ..operators.features import window_aggregates
 from ..operators.scaling import Contract, fit_window_scaling
-from ..operators.splits import grouped_split, whole_drive_sample
+from ..operators.splits import grouped_split, train_probe, whole_drive_sample
 from ..session import settle
 from ..settings import LeakageRules, WindowSpec
 
@@ -52,7 +52,8 @@ def run_archive(readings: DataFrame, spec: WindowSpec, rules: LeakageRules = Lea
     scaling, feats = window_table(readings, split, spec, exact_medians)
     table = settle(feats)                                       # read by the fit, the threshold and the test
     parts = {s: table.where(F.col("split") == s) for s in ("train", "val", "test")}
-    fit = models.fit_boosted(parts["train"], parts["val"], spec.feature_names, **boosting)
+    probe = parts["train"].join(train_probe(split).select("drive"), "drive", "left_semi")
+    fit = models.fit_boosted(parts["train"], parts["val"], spec.feature_names, probe=probe, **boosting)
     threshold = ranking.best_threshold(models.probability(fit.model, parts["val"])).first()["threshold"]
     scores = settle(models.probability(fit.model, parts["test"]).select(
         "drive", "start", "model", "start_day", "end_day", "label", "score"))

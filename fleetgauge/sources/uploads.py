@@ -104,7 +104,8 @@ def convert_log(df: DataFrame, order_by: Sequence[str], id_column: str | None =
         else F.try_to_timestamp(F.col(date).cast("string"))
     rows = df.select(
         F.trim(F.col(ident).cast("string")).alias("serial_number"), F.to_date(when).alias("date"),
-        F.struct(*[F.col(c) for c in order_by]).alias("_at"),
+        # A plain column keeps the aggregate in a hash table; several need a struct.
+        (F.col(order_by[0]) if len(order_by) == 1 else F.struct(*[F.col(c) for c in order_by])).alias("_at"),
         *[F.col(c).alias(n) for n, c in extras.items()], *[clean_number(c).alias(a) for a, c in attrs.items()])
     rows = rows.dropna(subset=["serial_number", "date"])
 
