@@ -51,6 +51,12 @@ def shape_sql(sql: str, cols: str) -> str:
     return f"SELECT {items} FROM ({sql}) AS result"
 
 
+def corr_sql(a: str, b: str) -> str:
+    """Correlation that is NULL, not NaN, when a side does not vary."""
+    c = f"corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))"
+    return f"CASE WHEN NOT isnan({c}) THEN {c} END"
+
+
 def query(name: str, cols: str | Callable[[], str], sql: str | None = None):
     """Register a Spark query under `name`."""
     def wrap(fn):

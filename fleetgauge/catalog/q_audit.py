@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import calendar as cal
 from ..operators import features, leakage, profile
 from ..settings import LeakageRules
-from .base import query
+from .base import corr_sql, query
 from .views import (EVENT_ATTRS, EVENT_SPEC, EVENTS_SQL, SUPPLY_ATTRS, SUPPLY_SPEC, SUPPLY_SQL, events_days,
                     supply_days, table)
 
@@ -89,7 +89,8 @@ def _(spark, d):
 
 @query("p7_attribute_histogram", "failure:i bin:i n:i density:r",
        f"""{WITH}, x AS (SELECT failure, ln(1 + greatest(m_view, 0)) AS x FROM dd WHERE m_view IS NOT NULL),
-       e AS (SELECT failure, min(x) AS lo, max(x) AS hi, count(*) AS total FROM x GROUP BY failure),
+       e AS (SELECT failure, min(x) - CASE WHEN min(x) = max(x) THEN 0.5 ELSE 0 END AS lo,
+                    max(x) + CASE WHEN min(x) = max(x) THEN 0.5 ELSE 0 END AS hi, count(*) AS total FROM x GROUP BY failure),
        b AS (SELECT x.failure, least(CAST(floor((x - lo) / (hi - lo) * 40) AS INTEGER) + 1, 40) AS bin, count(*) AS n,
                     max(total) AS total, max(hi - lo) AS w FROM x JOIN e ON e.failure = x.failure GROUP BY 1, 2)
        SELECT failure, bin, n, n * 40.0::DOUBLE / (total * w) AS density FROM b""")
@@ -102,7 +103,7 @@ _P8 = ("n_click", "m_error", "m_view", "m_purchase", "failure")
 
 @query("p8_correlations", "a:s b:s corr:r",
        f"{WITH} " + " UNION ALL ".join(
-           f"SELECT '{a}' AS a, '{b}' AS b, corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS corr FROM dd" for a in _P8 for b in _P8))
+           f"SELECT '{a}' AS a, '{b}' AS b, {corr_sql(a, b)} AS corr FROM dd" for a in _P8 for b in _P8))
 def _(spark, d):
     return profile.correlations(events_days(spark, d), _P8)
 
@@ -144,7 +145,7 @@ def _association_sql(src: str, columns, y: str, level: str) -> str:
     def one(c: str) -> str:
         return f"""SELECT '{c}' AS "column", '{level}' AS level, b.*, a.* FROM
         (SELECT count({c}) / CAST(count(*) AS DOUBLE) AS coverage, count(DISTINCT {c}) AS n_unique,
-                corr(CAST({c} AS DOUBLE), CAST({y} AS DOUBLE)) AS corr_raw,
+                {corr_sql(c, y)} AS corr_raw,
                 sum({y}) FILTER (WHERE {c} IS NOT NULL) AS p, count({c}) - sum({y}) FILTER (WHERE {c} IS NOT NULL) AS q,
                 (count(*) - count({c})) / CAST(count(*) AS DOUBLE) AS null_rate,
                 CASE WHEN count(*) = count({c}) THEN 0 ELSE sum({y}) FILTER (WHERE {c} IS NULL) / CAST(nullif(sum({y}), 0) AS DOUBLE) END AS nf0,

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import calendar as cal
 from ..operators import rowlevel as rl
 from ..operators import scaling as sc
-from .base import query
+from ..functions.expr import pair_corr
+from .base import corr_sql, query
 from .q_timeline import BASE, split_drives
 from .views import (DRIVE_SCORES_SQL, EVENTS_SQL, SCORED_SQL, SUPPLY_SPEC, SUPPLY_SQL, events_days, scored_windows,
                     supply_days)
@@ -150,7 +151,7 @@ _FEATS = [f"{a}{s}" for a in A for s in ("", "_d7", "_d30", "_d90", "_mean90", "
 
 @query("r13_importance_by_stat", "stat:s gain:r share_pct:r",
        f"""{WITH}, {_TARGET}, f AS (SELECT target, q, n, {_deltas(A, LAGS)}, {_rolling(A)}, {_CONTEXT} FROM tgt),
-       g AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, abs(corr(CAST({c} AS DOUBLE), CAST(target AS DOUBLE))) AS gain FROM f" for c in _FEATS)}),
+       g AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, abs({corr_sql(c, "target")}) AS gain FROM f" for c in _FEATS)}),
        s AS (SELECT CASE WHEN feature IN ('window_span_days', 'drive_age_days') THEN 'window context'
                          WHEN feature LIKE '%\\_d7' ESCAPE '\\' THEN 'delta 7d' WHEN feature LIKE '%\\_d30' ESCAPE '\\' THEN 'delta 30d'
                          WHEN feature LIKE '%\\_d90' ESCAPE '\\' THEN 'delta 90d' WHEN feature LIKE '%mean90' THEN 'mean over 90d'
@@ -159,7 +160,7 @@ _FEATS = [f"{a}{s}" for a in A for s in ("", "_d7", "_d30", "_d90", "_mean90", "
        SELECT stat, gain, 100.0::DOUBLE * gain / (SELECT sum(gain) FROM s) AS share_pct FROM s""")
 def _(spark, d):
     feats = rl.row_features(rl.with_target(supply_days(spark, d), 30), A, LAGS, W)
-    gains = feats.agg(*[F.abs(F.corr(F.col(c).cast("double"), F.col("target").cast("double"))).alias(c) for c in _FEATS])
+    gains = feats.agg(*[F.abs(pair_corr(c, "target")).alias(c) for c in _FEATS])
     return rl.importance_by_stat(gains.unpivot([], _FEATS, "feature", "gain"), W, LAGS)
 
 

@@ -58,3 +58,10 @@ def bin_index(value: Column, lo: float, hi: float, bins: int) -> Column:
 def fixed(c: Column, digits: int) -> Column:
     """Text with a fixed number of decimals, rounded on the exact binary value as C and Python do."""
     return F.call_function("format_number", c, F.lit("0." + "0" * digits))
+
+
+def pair_corr(a: str | Column, b: str | Column) -> Column:
+    """Correlation over rows where both are present; NULL when either does not vary (`corr` would divide by 0)."""
+    x, y = col(a).cast("double"), col(b).cast("double")
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

@@ -13,7 +13,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import bin_index, log_level, ratio
+from ..functions.expr import bin_index, log_level, pair_corr, ratio
 from ..functions.order import long_form
 from .calendar import by_drive
 
@@ -94,8 +94,11 @@ def attribute_histogram(readings: DataFrame, attr: str, bins: int = 40) -> DataF
     rows = readings.select("failure", log_level(attr).alias("x")).where(F.col("x").isNotNull())
     edges = rows.groupBy(F.col("failure").alias("_f")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"),
                                                           F.count(F.lit(1)).alias("total"))
+    # A class with a single value gets a unit range around it.
+    flat = F.when(F.col("hi") == F.col("lo"), 0.5).otherwise(0.0)
+    edges = edges.withColumn("_flat", flat).withColumn("lo", F.col("lo") - F.col("_flat")).withColumn("hi", F.col("hi") + F.col("_flat"))
     j = rows.join(F.broadcast(edges), F.col("failure") == F.col("_f"))      # one row per class
-    width = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(F.lit(1.0))
+    width = F.col("hi") - F.col("lo")
     at = bin_index((F.col("x") - F.col("lo")) / width, 0, 1, bins)
     return (j.groupBy("failure", at.alias("bin"), "total", width.alias("width")).agg(F.count(F.lit(1)).alias("n"))
             .select("failure", "bin", "n", (F.col("n") * bins / (F.col("total") * F.col("width"))).alias("density")))
@@ -107,7 +110,7 @@ def correlations(readings: DataFrame, columns: Sequence[str], per_pass: int = 30
     parts = []
     for i in range(0, len(pairs), per_pass):
         chunk = pairs[i:i + per_pass]
-        wide = readings.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{j}")
+        wide = readings.agg(*[pair_corr(a, b).alias(f"c{j}")
                               for j, (a, b) in enumerate(chunk)])
         cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{j}").alias("corr"))
                           for j, (a, b) in enumerate(chunk)])

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import ratio
 from .calendar import SO_FAR, by_drive
 
 
@@ -187,4 +188,4 @@ def importance_by_stat(importance: DataFrame, width: int, lags: Sequence[int]) -
     """(stat, gain, share) from a (feature, gain) table, one row per feature."""
     per = importance.groupBy(window_stat_of(F.col("feature"), width, lags).alias("stat")).agg(F.sum("gain").alias("gain"))
     total = per.agg(F.sum("gain").alias("_t"))
-    return per.crossJoin(F.broadcast(total)).select("stat", "gain", (100 * F.col("gain") / F.col("_t")).alias("share_pct"))
+    return per.crossJoin(F.broadcast(total)).select("stat", "gain", (100 * ratio(F.col("gain"), F.col("_t"))).alias("share_pct"))
