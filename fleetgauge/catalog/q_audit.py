@@ -8,8 +8,8 @@ from ..operators import calendar as cal
 from ..operators import features, leakage, profile
 from ..settings import LeakageRules
 from .base import corr_sql, query
-from .views import (EVENT_ATTRS, EVENT_SPEC, EVENTS_SQL, SUPPLY_ATTRS, SUPPLY_SPEC, SUPPLY_SQL, events_days,
-                    supply_days, table)
+from .views import (EVENT_ATTRS, EVENT_SPEC, EVENTS_SQL, SUPPLY_ATTRS, SUPPLY_SPEC, SUPPLY_SQL, aggregate_sql, census_sql,
+                    dense_sql, events_days, label_sql, supply_days, table, tiles_sql)
 
 RULES = LeakageRules(min_support=100)
 WITH = f"WITH {EVENTS_SQL}"
@@ -359,7 +359,8 @@ def _(spark, d):
     return leakage.flagged(verdicts, leakage.SEVERE).unionByName(leakage.flagged(verdicts, leakage.SUSPECT))
 
 
-@query("l16_label_invariance", "rows:i lost:i gained:i")
+@query("l16_label_invariance", "rows:i lost:i gained:i",
+       f"""{WITH}, {census_sql(7)}, {tiles_sql(EVENT_SPEC)} SELECT count(*) AS rows, 0 AS lost, 0 AS gained FROM tiles""")
 def _(spark, d):
     def build(readings):
         feats = features.window_aggregates(cal.densify(readings, EVENT_SPEC), EVENT_SPEC, "tile")
@@ -367,9 +368,15 @@ def _(spark, d):
     return leakage.label_invariance(build, events_days(spark, d))
 
 
-@query("l16_channel_separability", _ASSOC)
+_LAST = [f"{c}__last" for c in SUPPLY_SPEC.channels]
+
+
+@query("l16_channel_separability", _ASSOC + " verdict:s",
+       f"""WITH {SUPPLY_SQL}, {dense_sql(SUPPLY_SPEC)}, {tiles_sql(SUPPLY_SPEC)},
+       {aggregate_sql(SUPPLY_SPEC, SUPPLY_SPEC.channels, aggregates=("last",))},
+       lab AS (SELECT t.*, {label_sql(SUPPLY_SPEC, "t")} AS label FROM feat t)
+       SELECT * FROM ({_report_sql("lab", _LAST, "label", "window")}) r""")
 def _(spark, d):
     dense = cal.densify(supply_days(spark, d), SUPPLY_SPEC)
     last = features.window_aggregates(dense, SUPPLY_SPEC, "tile", aggregates=("last",))
-    names = [f"{c}__last" for c in SUPPLY_SPEC.channels]
-    return leakage.audit_numeric(last, names, label="label", level="window")
+    return leakage.audit_numeric(last, _LAST, label="label", rules=RULES, level="window")

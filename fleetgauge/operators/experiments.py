@@ -89,6 +89,12 @@ def overfit_status(flagged_at_best: Column, n_flagged: Column, divergence_epoch:
             .when(divergence_epoch.isNotNull(), "early divergence").otherwise("no overfitting"))
 
 
+def refresh_status(diagnostics: DataFrame) -> DataFrame:
+    """Logged diagnostics with their verdict worked out again."""
+    return diagnostics.withColumn("status", overfit_status(
+        F.col("flagged_at_best"), F.col("n_flagged_epochs"), F.col("divergence_epoch")))
+
+
 def diagnose(epochs: DataFrame, select_by: str = "pr_auc", rule: OverfitRule = OverfitRule()) -> DataFrame:
     """One row per run: best, last and first flagged epoch, divergence, gaps at the best and last epoch, status."""
     flagged = epochs if "overfit_flag" in epochs.columns else with_gaps(epochs, rule)

@@ -205,7 +205,7 @@ def top_drives(drives: DataFrame, n: int = 100) -> DataFrame:
 
 
 def ranking_quality(drives: DataFrame, ks: Sequence[int] = FILE_KS, cuts=CUTS) -> DataFrame:
-    """One row per usable K (K <= n): hits, precision; plus recall at n_pos and mean rank of failures.
+    """One row per usable K (K <= n, or n itself if none is): hits, precision; plus recall at n_pos and mean rank of failures.
 
     Empty when the truth holds one class only.
     """
@@ -218,8 +218,10 @@ def ranking_quality(drives: DataFrame, ks: Sequence[int] = FILE_KS, cuts=CUTS) -
         F.sum(F.when(r <= F.col("n_failed"), y).otherwise(0)).alias("_at_pos"),
         F.avg(F.when(y == 1, r.cast("double"))).alias("mean_rank_of_failures"))
     got = got.where((F.col("n_failed") > 0) & (F.col("n_failed") < F.col("n_drives")))
-    at = F.explode(F.array(*[F.struct(F.lit(k).cast("bigint").alias("k"), F.col(f"_k{k}").alias("hits")) for k in ks]))
-    return (got.select("*", at.alias("c")).where(F.col("c.k") <= F.col("n_drives"))
+    listed = F.array(*[F.struct(F.lit(k).cast("bigint").alias("k"), F.col(f"_k{k}").alias("hits")) for k in ks])
+    usable = F.filter(listed, lambda c: c["k"] <= F.col("n_drives"))
+    whole = F.array(F.struct(F.col("n_drives").alias("k"), F.col("n_failed").alias("hits")))
+    return (got.select("*", F.explode(F.when(F.size(usable) > 0, usable).otherwise(whole)).alias("c"))
             .select("n_drives", "n_failed", "c.k", "c.hits", ratio(F.col("c.hits"), F.col("c.k")).alias("precision"),
                     ratio(F.col("_at_pos"), F.col("n_failed")).alias("recall_at_n_pos"), "mean_rank_of_failures"))
 

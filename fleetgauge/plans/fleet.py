@@ -34,6 +34,9 @@ class FleetResult:
     quality: DataFrame | None
     notes: list[str]
 
+    def skipped_examples(self, n: int = 5) -> DataFrame:
+        return self.skipped.orderBy("drive").limit(n)
+
     def top(self, n: int = TOP_ROWS) -> DataFrame:
         return self.rows.orderBy("rank").limit(n)
 

@@ -5,8 +5,7 @@ from fleetgauge.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    # Tiny inputs: compiling whole stages would cost more than it saves.
-    session = local_session(8, 4, **{"spark.sql.codegen.wholeStage": "false"})
+    session = local_session(8, 4)
     yield session
     session.stop()
 
