@@ -13,8 +13,9 @@ from ..operators.experiments import head_to_head
 from ..operators.scaling import Contract, fit_window_scaling
 from ..plans import fleet
 from ..plans.archive import run_archive, window_table
+from ..plans.rows import run_rows
 from ..session import settle, work_folder
-from ..settings import WindowSpec
+from ..settings import WindowSpec, cohort_spec
 from .base import query
 from .q_rows import _scaled_sql, _stats_sql
 from .q_timeline import split_drives
@@ -142,6 +143,17 @@ def _(spark, d):
     return run_archive(supply_days(spark, d), spec, **SMALL).metrics
 
 
+@query("plan_cohort_run", "tp:i fp:i fn:i tn:i precision:r recall:r f1:r roc_auc:r pr_auc:r")
+def _(spark, d):
+    spec = cohort_spec(("n", "disc"), horizon=30, stride=30, lags=(7,))
+    return run_archive(supply_days(spark, d), spec, cover="stride", **SMALL).metrics
+
+
+@query("plan_row_run", "tp:i fp:i fn:i tn:i precision:r recall:r f1:r roc_auc:r pr_auc:r")
+def _(spark, d):
+    return run_rows(supply_days(spark, d), ("q", "n"), (7,), 30, tolerance=400, life_rounds=4, **SMALL).metrics
+
+
 # ---- fleet scoring -------------------------------------------------------------------------------
 
 WIN = 20

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..session import settle
 from .expr import digest
 
-BUCKETS = 64
+BUCKETS, MAX_CUTS = 256, 512
 HASH_CELL = 3          # hex digits: at most 4,096 cells per group
 
 
@@ -27,8 +27,12 @@ def unit_cuts(n: int = BUCKETS) -> int:
     return n
 
 
-def split_points(df: DataFrame, value: str, by: Sequence[str] = (), n: int = BUCKETS):
-    """Near-equal-count cuts of `value`, per group when `by` is given (n-1 numbers per group)."""
+def split_points(df: DataFrame, value: str, by: Sequence[str] = (), n: int | None = None):
+    """Near-equal-count cuts of `value`, per group when `by` is given (n-1 numbers per group).
+
+    The number of buckets follows the session's shuffle partitions, between 32 and 512.
+    """
+    n = n or min(MAX_CUTS, max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     probs = [i / n for i in range(1, n)]
     agg = F.percentile_approx(value, probs, F.lit(2000)).alias("cuts")
     if not by:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..functions.expr import ratio
 from ..functions.order import bucket_of, long_form, running_totals, split_points
 from ..session import settle
-from ..settings import LeakageRules
+from ..settings import LeakageRules, WindowSpec
 
 SEVERE, SUSPECT, CLEAN = "SEVERE LEAK", "suspect", "clean"
 DRIVE_PROBES = ("record_length_days", "still_reporting_at_export_end", "days_from_record_end_to_export_end")
@@ -262,3 +262,30 @@ def label_invariance(build, readings: DataFrame, seed: int = 42) -> DataFrame:
     gone = real.exceptAll(fake).agg(F.count(F.lit(1)).alias("lost"))
     new = fake.exceptAll(real).agg(F.count(F.lit(1)).alias("gained"))
     return real.agg(F.count(F.lit(1)).alias("rows")).crossJoin(F.broadcast(gone)).crossJoin(F.broadcast(new))
+
+
+def verify_no_label(readings: DataFrame, spec: WindowSpec, rules: LeakageRules = LeakageRules(), seed: int = 42) -> DataFrame:
+    """The whole proof that the label cannot be read out of the windows; raises when a check fails.
+
+    No channel is named after the label, window features do not move when labels become noise, and no
+    channel's last value separates the window label at `severe_auc`. Returns the channel scores.
+    """
+    from .calendar import densify
+    from .features import window_aggregates
+
+    named = [c for c in spec.channels if "fail" in c.lower()]
+    if named:
+        raise ValueError(f"channels named after the label: {named}")
+
+    def build(rows: DataFrame) -> DataFrame:
+        return window_aggregates(densify(rows, spec), spec, "tile").select("drive", "start", *spec.feature_names)
+
+    moved = label_invariance(build, readings, seed).first()
+    if moved["lost"] or moved["gained"]:
+        raise ValueError(f"{moved['lost']} windows changed with the labels")
+    last = settle(window_aggregates(densify(readings, spec), spec, "tile", aggregates=("last",)))
+    scores = audit_numeric(last, [f"{c}__last" for c in spec.channels], "label", rules, "window")
+    worst = scores.agg(F.max("auc_directional")).first()[0]
+    if worst is not None and worst >= rules.severe_auc:
+        raise ValueError(f"a channel separates the label at AUC {worst:.3f}")
+    return scores

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import bin_index, digest, ratio
+from ..functions.expr import bin_index, digest, ratio, unit_draw
 from ..functions.order import bucket_of, exact_quantiles, running_totals, score_rank, unit_cuts
 
 CUTS = unit_cuts()
@@ -77,11 +77,16 @@ def ranking_metrics(rows: DataFrame, by: Sequence[str] = (), cuts=CUTS, score: s
                       F.when(both, F.col("_steps") / p).alias("pr_auc"))
 
 
-def curve_points(rows: DataFrame, cuts=CUTS) -> DataFrame:
-    """One point per distinct score: recall, precision, false positive rate."""
+def curve_points(rows: DataFrame, cuts=CUTS, max_points: int | None = None) -> DataFrame:
+    """One point per distinct score: recall, precision, false positive rate.
+
+    `max_points` thins the points evenly, for drawing only; the totals behind each point stay whole.
+    """
     counts = score_counts(rows)
-    total = counts.agg(F.sum("pos").alias("_p"), F.sum("n").alias("_n"))
+    total = counts.agg(F.sum("pos").alias("_p"), F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_d"))
     run = descending_totals(counts, cuts=cuts).crossJoin(F.broadcast(total))
+    if max_points is not None:
+        run = run.where(unit_draw(F.col("score")) * F.col("_d") < max_points)
     return run.select("score", ratio(F.col("tp"), F.col("_p")).alias("recall"),
                       ratio(F.col("tp"), F.col("flagged")).alias("precision"),
                       ratio(F.col("flagged") - F.col("tp"), F.col("_n") - F.col("_p")).alias("fpr"))

@@ -30,18 +30,20 @@ class ArchiveResult:
     precision: DataFrame
 
 
-def window_table(readings: DataFrame, split: DataFrame, spec: WindowSpec, exact: bool = True):
-    """(scaling, scaled tile features with split). Scaling is fitted on observed training days only."""
+def window_table(readings: DataFrame, split: DataFrame, spec: WindowSpec, exact: bool = True, cover: str = "tile"):
+    """(scaling, scaled window features with split). Scaling is fitted on observed training days only."""
     dense = densify(dedupe_days(readings), spec, carry=("model",))
     tagged = dense.join(split.select("drive", "split"), "drive")
     scaling = fit_window_scaling(tagged.where("split = 'train'"), spec, exact)
-    feats = window_aggregates(scaling.apply(tagged), spec, "tile", carry=("model", "split"))
+    feats = window_aggregates(scaling.apply(tagged), spec, cover, carry=("model", "split"))
     return scaling, feats
 
 
 def run_archive(readings: DataFrame, spec: WindowSpec, rules: LeakageRules = LeakageRules(), audit_drives: int = 15000,
-                categorical: Sequence[str] = (), select: bool = True, exact_medians: bool = False, **boosting) -> ArchiveResult:
-    """From clean readings to an evaluated model. The threshold is frozen on validation before test is scored."""
+                categorical: Sequence[str] = (), select: bool = True, exact_medians: bool = False, cover: str = "tile",
+                **boosting) -> ArchiveResult:
+    """From clean readings to an evaluated model. `cover` is "tile" for archives and "stride" for cohorts
+    (with `settings.cohort_spec`). The threshold is frozen on validation before test is scored."""
     sample = whole_drive_sample(readings, audit_drives)
     report = leakage.audit(sample, spec.attrs, categorical, rules, spec.days)
     if select:
@@ -49,7 +51,7 @@ def run_archive(readings: DataFrame, spec: WindowSpec, rules: LeakageRules = Lea
         spec = replace(spec, attrs=tuple(chosen), log_attrs=tuple(a for a in spec.log_attrs if a in chosen))
     leakage.assert_unblocked(spec.channels, report.blocklist)
     split = settle(grouped_split(census(readings).where(F.col("n_days") >= spec.shortest_record)))
-    scaling, feats = window_table(readings, split, spec, exact_medians)
+    scaling, feats = window_table(readings, split, spec, exact_medians, cover)
     table = settle(feats)                                       # read by the fit, the threshold and the test
     parts = {s: table.where(F.col("split") == s) for s in ("train", "val", "test")}
     probe = parts["train"].join(train_probe(split).select("drive"), "drive", "left_semi")

@@ -137,3 +137,12 @@ def test_search_configs():
     assert grid == [{"a": 1, "b": 3}, {"a": 2, "b": 3}]
     assert models.random_configs({"a": range(9)}, 4) == models.random_configs({"a": range(9)}, 4)
     assert [c["variation"] for c in models.one_knob_variations({"a": 1}, {"a": (1, 2, 3)})] == ["base", "a=2", "a=3"]
+
+
+def test_windows_cannot_carry_the_label(spark):
+    from dataclasses import replace
+    days = V.events_days(spark, "/root/testdata/sf0.001")
+    spec = replace(V.EVENT_SPEC, attrs=("n_click", "n_view"), log_attrs=())
+    assert leakage.verify_no_label(days, spec).count() == len(spec.channels)
+    with pytest.raises(ValueError):
+        leakage.verify_no_label(days.withColumn("failures", F.col("failure")), replace(spec, attrs=("failures",)))
