@@ -308,22 +308,40 @@ def _(spark, d):
     return spark.read.parquet(f"{folder}/table")
 
 
-@query("t3_drive_history", "drive:i day:d prior_day:d n_click:r n_click_delta7:r m_view_delta7:r",
-       f"""{WITH}, c AS (SELECT a.drive, a.day, b.day AS prior_day, a.n_click, a.n_click - b.n_click AS n_click_delta7, a.m_view - b.m_view AS m_view_delta7,
+_T3 = f"""{WITH}, c AS (SELECT a.drive, a.day, b.day AS prior_day, a.n_click, a.n_click - b.n_click AS n_click_delta7, a.m_view - b.m_view AS m_view_delta7,
             row_number() OVER (PARTITION BY a.drive, a.day ORDER BY abs(datediff('day', b.day, a.day) - 7), b.day) AS rn
-            FROM dd a LEFT JOIN dd b ON b.drive = a.drive AND datediff('day', b.day, a.day) BETWEEN 6 AND 8)
-       SELECT * FROM c WHERE rn = 1""")
-def _(spark, d):
+            FROM dd a LEFT JOIN dd b ON b.drive = a.drive AND datediff('day', b.day, a.day) BETWEEN 6 AND 8)"""
+
+
+def drive_history(spark, d, shape=lambda df: df):
+    """The drive-days replayed as a stream through per-drive history state."""
     folder = work_folder(spark)
     days = events_days(spark, d).withColumn("seq", F.lit(0).cast("bigint")).select("drive", "day", "seq", "n_click", "m_view")
     days.repartition("drive").sortWithinPartitions("drive", "day").write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(days.schema).parquet(f"{folder}/in")
-    out = history.history_deltas(stream, ["n_click", "m_view"])
+    out = shape(history.history_deltas(stream, ["n_click", "m_view"]))
     ingest.run_available(out.writeStream.format("parquet").option("path", f"{folder}/out")
                          .option("checkpointLocation", f"{folder}/checkpoint"))
     return spark.read.parquet(f"{folder}/out")
 
 
+@query("t3_drive_history", "drive:i day:d prior_day:d n_click:r n_click_delta7:r m_view_delta7:r", f"{_T3} SELECT * FROM c WHERE rn = 1")
+def _(spark, d):
+    return drive_history(spark, d)
+
+
+@query("t3_drive_history_risk", "drive:i day:d score:r risk:s action:s",
+       f"""{_T3}, s AS (SELECT drive, day, round(1 / (1 + exp(-(n_click + coalesce(n_click_delta7, 0)))), 6) AS score FROM c WHERE rn = 1),
+       b AS (SELECT *, CASE WHEN score < 0.6 THEN 'LOW' WHEN score >= 0.9 THEN 'CRITICAL' WHEN score >= 0.7 THEN 'HIGH' ELSE 'MEDIUM' END AS risk FROM s)
+       SELECT *, CASE risk WHEN 'CRITICAL' THEN 'inspect or replace now' WHEN 'HIGH' THEN 'schedule inspection soon'
+                 WHEN 'MEDIUM' THEN 'monitor closely' ELSE 'none' END AS action FROM b""")
+def _(spark, d):
+    # A delta that is not known yet is filled as at serving: with the training median, here 0.
+    z = F.col("n_click") + F.coalesce("n_click_delta7", F.lit(0.0))
+    return drive_history(spark, d, lambda df: history.with_band(
+        df.withColumn("score", F.round(1 / (1 + F.exp(-z)), 6)), "score", 0.6))
+
+
 def _windowed(spark, d, **kw):
     folder = work_folder(spark)
     readings = events_stream(spark, d).select(F.col("user_id").alias("drive"), "ts", "value")

@@ -29,12 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def until_terminal(days: DataFrame) -> DataFrame:
-    """Cut each record at its first `hit` day and mark that day as the failure."""
-    first_hit = F.min(F.when(F.col("hit"), F.col("day"))).over(Window.partitionBy("drive"))
-    return (days.withColumn("_end", first_hit)
-            .where(F.col("_end").isNull() | (F.col("day") <= F.col("_end")))
-            .withColumn("failure", F.coalesce((F.col("day") == F.col("_end")).cast("int"), F.lit(0)))
-            .drop("_end", "hit"))
+    """Cut each record after its first `hit` day and mark that day as the failure.
+
+    A running frame in day order, so the sort is the one the calendar needs anyway.
+    """
+    before = Window.partitionBy("drive").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    return (days.withColumn("_over", F.coalesce(F.max("hit").over(before), F.lit(False))).where(~F.col("_over"))
+            .withColumn("failure", F.col("hit").cast("int")).drop("_over", "hit"))
 
 
 def events_days(spark: SparkSession, sf_dir: str) -> DataFrame:
