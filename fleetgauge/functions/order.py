@@ -18,6 +18,7 @@ from ..session import settle
 from .expr import digest
 
 BUCKETS, MAX_CUTS = 256, 512
+ONE_TASK_ROWS = 2_000_000   # distinct values that may be ordered without cutting them first
 HASH_CELL = 3          # hex digits: at most 4,096 cells per group
 
 
@@ -42,20 +43,28 @@ def split_points(df: DataFrame, value: str, by: Sequence[str] = (), n: int | Non
     return {row[key]: sorted(set(row["cuts"] or [])) for row in df.groupBy(key).agg(agg).collect()}
 
 
+def auto_cuts(counts: DataFrame, value: str, by: Sequence[str] = ()):
+    """Cuts for a settled table of distinct values: none while they all fit one task, else split points."""
+    return [] if counts.count() <= ONE_TASK_ROWS else split_points(counts, value, by)
+
+
 def bucket_of(value: Column, cuts, by: Column | None = None) -> Column:
     """An ordered bucket id. `cuts` is a list of split points, a dict of such lists per group, or the
     number of even buckets of [0, 1]."""
     if isinstance(cuts, int):
         return F.least(F.greatest(F.floor(value * cuts).cast("int"), F.lit(0)), F.lit(cuts - 1))
+    if not cuts:
+        return F.lit(0)
     if isinstance(cuts, dict):
-        if not cuts:
-            return F.lit(0)
         table = F.create_map(*[x for k, v in cuts.items()
                                for x in (F.lit(k), F.array(*[F.lit(float(c)) for c in v]).cast("array<double>"))])
         edges = F.coalesce(table[by], F.array().cast("array<double>"))
     else:
         edges = F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>")
-    return F.size(F.filter(edges, lambda c: c <= value))
+    # How many edges lie below the value: its place once it is sorted in among them. (A lambda over the
+    # edges would do too, but Spark may carry a lambda into a filter inferred for the other join side.)
+    v = value.cast("double")
+    return (F.array_position(F.sort_array(F.array_append(edges, v)), v) - 1).cast("int")
 
 
 def running_totals(hist: DataFrame, bucket: Column, order: Sequence[Column], sums: dict[str, str],
@@ -141,7 +150,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
     if cuts is None:
         hist = settle(hist)                     # read twice below, by two jobs
-        cuts = split_points(hist, "value", by=["column"])
+        cuts = auto_cuts(hist, "value", by=["column"])
     totals = hist.groupBy(F.col("column").alias("_c")).agg(F.sum("n").alias("_total"))
     run = running_totals(hist, bucket_of(F.col("value"), cuts, F.col("column")), [F.col("value")],
                          {"n": "upto"}, by=["column"])

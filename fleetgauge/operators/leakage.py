@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import ratio
-from ..functions.order import bucket_of, long_form, running_totals, split_points
+from ..functions.order import auto_cuts, bucket_of, long_form, running_totals
 from ..session import settle
 from ..settings import LeakageRules, WindowSpec
 
@@ -30,7 +30,7 @@ def value_counts(rows: DataFrame, columns: Sequence[str], label: str = "failure"
         F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("pos"))
 
 
-def column_association(counts: DataFrame, cuts: dict) -> DataFrame:
+def column_association(counts: DataFrame, cuts) -> DataFrame:
     """Per column: coverage, n_unique, corr, auc, auc_directional, balanced_acc and the missingness gap."""
     seen = F.col("value").isNotNull()
     n, pos = F.col("n").cast("double"), F.col("pos").cast("double")
@@ -95,7 +95,7 @@ def with_verdict(report: DataFrame, rules: LeakageRules = LeakageRules()) -> Dat
 def audit_numeric(rows: DataFrame, columns: Sequence[str], label: str = "failure",
                   rules: LeakageRules = LeakageRules(), level: str = "drive-day") -> DataFrame:
     counts = settle(value_counts(rows, columns, label))             # read by the cuts and by the report
-    cuts = split_points(counts.where(F.col("value").isNotNull()), "value", by=["column"])
+    cuts = auto_cuts(counts.where(F.col("value").isNotNull()), "value", by=["column"])
     report = column_association(counts, cuts).withColumn("level", F.lit(level))
     return with_verdict(report, rules)
 

@@ -122,7 +122,8 @@ def random_windows(drives: DataFrame, spec: WindowSpec, per_drive: int = 1, epoc
         negative = F.filter(every, lambda s: ~F.exists("fail_pos", lambda f: (f >= s) & (f <= s + spec.reach)))
         picked = _array_pick(negative, draw(*key, F.lit("start")))
         fallback = F.when(F.size("fail_pos") == 0, uniform).when(F.size(negative) > 0, picked).otherwise(near)
-    chosen = F.when(forced, near).otherwise(fallback)
+    # Exploding the one value keeps its lambda out of filters that Spark may infer for later joins on start.
+    chosen = F.explode(F.array(F.when(forced, near).otherwise(fallback)))
     return _labelled(draws.withColumn("start", chosen), spec).select(
         "drive", "i", "start", "label", "n_days", MAX_START, "first_day")
 
