@@ -308,7 +308,7 @@ def _(spark, d):
        f"""WITH {SUPPLY_SQL}, {census_sql()} SELECT sum(has_failure) AS failures, sum(n_days) / 365.25::DOUBLE AS drive_years,
        sum(has_failure) / (sum(n_days) / 365.25::DOUBLE) AS annual_failure_rate FROM cal""")
 def _(spark, d):
-    return rk.annual_failure_rate(cal.census(supply_days(spark, d)))
+    return rk.annual_failure_rate(cal.census(supply_days(spark, d), single_pass=True))
 
 
 @query("e34_risk_tone", "drive:i score:r tone:s",

@@ -244,7 +244,7 @@ def _(spark, d):
        r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY size_mb, file) AS rn FROM m WHERE n_days >= 365)
        SELECT model, file, failures, size_mb FROM r WHERE rn = 1 ORDER BY CASE WHEN failures = 0 THEN 1 ELSE 0 END, size_mb, model LIMIT 6""")
 def _(spark, d):
-    per = cal.census(supply_days(spark, d))
+    per = cal.census(supply_days(spark, d), single_pass=True)
     manifest = per.select(F.concat(F.lit("L"), F.col("drive") % 9).alias("model"), F.concat(F.lit("f"), F.col("drive")).alias("file"),
                           F.col("first_day").alias("window_start"), F.col("last_day").alias("window_end"),
                           F.col("n_fail").alias("failures"), (F.col("n_obs") / 10.0).alias("size_mb"))

@@ -40,7 +40,7 @@ timeline AS (
 
 
 def split_drives(spark, d):
-    drives = cal.census(supply_days(spark, d)).where(F.col("n_days") >= SS.days)
+    drives = cal.census(supply_days(spark, d), single_pass=True).where(F.col("n_days") >= SS.days)
     return splits.grouped_split(drives)
 
 
@@ -85,7 +85,7 @@ def _(spark, d):
        SELECT span.day, count(bounds.a) AS live FROM span LEFT JOIN bounds ON span.day >= a AND span.day < b
        GROUP BY span.day""")
 def _(spark, d):
-    tiles = windows.tile_windows(cal.census(supply_days(spark, d)), SS)
+    tiles = windows.tile_windows(cal.census(supply_days(spark, d), single_pass=True), SS)
     return timeline.live_windows(windows.window_dates(tiles, SS))
 
 
@@ -112,7 +112,7 @@ _DRAW = "CAST(('0x' || substr(md5('42|0|' || c.drive || '|' || i || '|{w}'), 1,
               (SELECT avg(p / CAST(n AS DOUBLE)) FROM per) AS expected_rate,
               r AS measured_rate, CASE WHEN r > 0 THEN (1 - r) / r END AS pos_weight FROM m""")
 def _(spark, d):
-    return timeline.positive_rate(cal.census(supply_days(spark, d)), SS)
+    return timeline.positive_rate(cal.census(supply_days(spark, d), single_pass=True), SS)
 
 
 @query("w31_positive_rate_forced", "enumerated_rate:r expected_rate:r",
@@ -123,7 +123,7 @@ def _(spark, d):
        SELECT sum(p) / CAST(sum(n) AS DOUBLE) AS enumerated_rate,
               avg(CAST(CASE WHEN p = 0 THEN 0 WHEN p < n THEN 0.25 ELSE 1 END AS DOUBLE)) AS expected_rate FROM per""")
 def _(spark, d):
-    return timeline.positive_rate(cal.census(supply_days(spark, d)), SS, positive_ratio=0.25)
+    return timeline.positive_rate(cal.census(supply_days(spark, d), single_pass=True), SS, positive_ratio=0.25)
 
 
 @query("w32_train_probe", "drive:i has_failure:i windows:i",

@@ -17,7 +17,7 @@ SUPPLY_CENSUS = f"WITH {SUPPLY_SQL}, {census_sql(SS.days)}"
 
 
 def supply_census(spark, d):
-    return cal.census(supply_days(spark, d))
+    return cal.census(supply_days(spark, d), single_pass=True)
 
 
 @query("v1_events_days", "drive:i day:d model:s failure:i n_click:i n_error:i m_error:r m_view:r",
@@ -302,7 +302,7 @@ def _(spark, d):
                 AS failure_offset FROM lab""")
 def _(spark, d):
     days = supply_days(spark, d)
-    wins = windows.enumerate_windows(cal.census(days), SS).select(
+    wins = windows.enumerate_windows(cal.census(days, single_pass=True), SS).select(
         "drive", "start", "label", "n_days", "first_day", "fail_pos")
     return windows.window_metadata(wins, cal.densify(days, SS, diffs=False), SS)
 

@@ -36,18 +36,24 @@ def telemetry(df: DataFrame, drive: str, day: str, failure: str | None = None, m
     return df.select(*cols, *[F.col(src).alias(name) for name, src in attrs.items()])
 
 
-def census(readings: DataFrame) -> DataFrame:
+def census(readings: DataFrame, single_pass: bool = False) -> DataFrame:
     """One row per drive: span, counts, failure positions.
 
-    The counts aggregate in a hash table on the map side. Failure days are gathered from the failure
-    rows alone (a filter the scan can push down), since a collected set would force a sort of every row.
+    On a stored table the counts aggregate in a hash table on the map side, and the failure days are
+    gathered from the failure rows alone (a filter the scan pushes down), since a collected set would
+    force a sort of every row. `single_pass` gathers both at once: better for readings that are
+    themselves the result of a query, which the two-branch form would compute twice.
     """
-    counts = readings.groupBy("drive").agg(
-        F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count(F.lit(1)).alias("n_obs"),
-        F.sum("failure").cast("bigint").alias("n_fail"))
-    fails = readings.where(F.col("failure") == 1).groupBy("drive").agg(F.array_sort(F.collect_set("day")).alias("fail_days"))
+    counts = [F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count(F.lit(1)).alias("n_obs"),
+              F.sum("failure").cast("bigint").alias("n_fail")]
+    fail_days = F.array_sort(F.collect_set(F.when(F.col("failure") == 1, F.col("day")))).alias("fail_days")
+    if single_pass:
+        rows = readings.groupBy("drive").agg(*counts, fail_days)
+    else:
+        fails = readings.where(F.col("failure") == 1).groupBy("drive").agg(fail_days)
+        rows = readings.groupBy("drive").agg(*counts).join(fails, "drive", "left")
     days = F.coalesce("fail_days", F.array().cast("array<date>"))
-    return (counts.join(fails, "drive", "left").withColumn("n_days", F.datediff("last_day", "first_day") + 1)
+    return (rows.withColumn("n_days", F.datediff("last_day", "first_day") + 1)
             .withColumn("has_failure", (F.col("n_fail") > 0).cast("int"))
             .withColumn("fail_pos", F.transform(days, lambda d: F.datediff(d, F.col("first_day"))))
             .drop("fail_days"))

@@ -94,6 +94,11 @@ def test_labels_from_every_route_agree(spark, fleet):
     assert negative == {k for k, v in want.items() if not v}
 
 
+def test_both_census_forms_agree(fleet):
+    key = lambda df: sorted(map(str, df.select("drive", "first_day", "last_day", "n_obs", "n_fail", "n_days", "fail_pos").collect()))
+    assert key(cal.census(fleet)) == key(cal.census(fleet, single_pass=True))
+
+
 def test_counts_and_tiling_cover(spark, fleet):
     drives = cal.census(fleet)
     lengths = {r.drive: r.n_days for r in drives.collect()}
