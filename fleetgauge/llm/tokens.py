@@ -5,8 +5,8 @@ one token `t` ending there for which merging (last token before `t`) + `t` on it
 is right exactly if every two neighbours are. So the table answers "how many tokens has this prefix" and "which is the longest
 prefix within this budget" without encoding anything again.
 
-No merge crosses the chunks: a text is cut before every run of word-start marks, and around every character that occurs in no
-piece but its own. A document's prefix counts are its chunks' counts summed up, plus the table of the chunk that is cut through.
+No merge crosses the chunks: a text is cut before every run of word-start marks, around every character that occurs in no piece but
+its own, and after letters that another sign follows, if no piece of the vocabulary goes on like that. A document's prefix counts are its chunks' counts summed up, plus the table of the chunk that is cut through.
 Distinct chunks are kept per worker, up to `MEMO` of them.
 
 Null counts as empty: no tokens. Repeated rows get a row each; an empty table gives an empty result; other columns are not read.
@@ -34,9 +34,14 @@ class PieceCounter:
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         plain = [i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
         self.rank = {sp.id_to_piece(i): sp.get_score(i) for i in plain}
-        joined = sorted({c for piece in self.rank if len(piece) > 1 for c in piece} - {MARK})
-        inside = re.escape("".join(joined))
-        self.cut = re.compile(f"{MARK}*[{inside}]+|{MARK}+|[^{inside}{MARK}]")
+        joined = {c for piece in self.rank if len(piece) > 1 for c in piece} - {MARK}
+        pairs = {p for piece in self.rank for p in zip(piece, piece[1:])}
+        letters = {c for c in joined if c.isalpha()}
+        if any(a in letters and b not in letters for a, b in pairs):       # some piece goes on after a letter with another sign
+            letters = set()
+        some = lambda chars: f"[{re.escape(''.join(sorted(chars)))}]" if chars else "(?!)"                       # noqa: E731
+        word, sign = some(letters), some(joined - letters)
+        self.cut = re.compile(f"{MARK}*{sign}*{word}+|{MARK}*{sign}+|{MARK}+|[^{MARK}]")
         self.longest = max(map(len, self.rank))
         self.pairs: dict[tuple[str, str], bool] = {}
         self.memo: dict[str, int] = {}
@@ -57,25 +62,24 @@ class PieceCounter:
 
     def stand(self, before: str, token: str) -> bool:
         """Whether `token` stays whole, and stays apart from the token before it."""
-        key = before, token
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) > MEMO:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(before + token) == ([before, token] if before else [token])
-        return known
+        if len(self.pairs) > MEMO:
+            self.pairs.clear()
+        found = self.pairs[before, token] = self.merged(before + token) == ([before, token] if before else [token])
+        return found
 
     def prefix_counts(self, chunk: str) -> list[int]:
         """The number of tokens of chunk[:i], for every i."""
-        rank, stand, longest = self.rank, self.stand, self.longest
+        rank, stand, known, longest = self.rank, self.stand, self.pairs.get, self.longest
         last, count = [""], [0]
         for end in range(1, len(chunk) + 1):
-            for start in range(max(0, end - longest), end):
+            for start in range(end - longest if end > longest else 0, end):
                 token = chunk[start:end]
-                if (token in rank or end - start == 1) and stand(last[start], token):
-                    last.append(token)
-                    count.append(count[start] + (1 if token in rank else len(token.encode())))
-                    break
+                if token in rank or end - start == 1:
+                    whole = known((last[start], token))
+                    if whole or whole is None and stand(last[start], token):
+                        last.append(token)
+                        count.append(count[start] + (1 if token in rank else len(token.encode())))
+                        break
         return count
 
     def chunks(self, text: str) -> list[str]:
