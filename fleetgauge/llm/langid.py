@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.session import ship
+from fleetgauge.session import settle, ship
 
 from .common import map_rows, per_batch, pick
 
@@ -49,28 +49,32 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 class Model:
-    """Log frequencies by language. tables[0] has words, tables[n] n-grams of length n."""
+    """Log frequencies by language: a row of `matrix` for each known word (`tables[0]`) and n-gram of length n (`tables[n]`)."""
 
     def __init__(self, langs: list[str], counts: list[tuple[int, str, str, int]]) -> None:
         self.langs = langs
-        at = {lang: i for i, lang in enumerate(langs)}
-        self.tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-        for n, gram, lang, count in counts:
-            self.tables[n].setdefault(gram, np.zeros(len(langs)))[at[lang]] = count
+        self.tables: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        rows, at = [], {lang: i for i, lang in enumerate(langs)}
+        for n, gram, lang, _ in counts:
+            rows.append(self.tables[n].setdefault(gram, sum(map(len, self.tables))))
+        matrix = np.zeros((sum(map(len, self.tables)), len(langs)))
+        for row, (_, _, lang, count) in zip(rows, counts):
+            matrix[row, at[lang]] = count
         for table in self.tables:
-            if table:
-                total = sum(table.values()) + 0.5 * (len(table) + 1)
-                for gram, row in table.items():
-                    table[gram] = np.log((row + 0.5) / total)
+            own = list(table.values())
+            total = matrix[own].sum(axis=0) + 0.5 * (len(own) + 1)
+            matrix[own] = np.log((matrix[own] + 0.5) / total)
+        self.matrix = matrix.astype(np.float32)
 
     def score(self, word: str) -> np.ndarray:
         known = self.tables[0].get(word)
         if known is not None:
-            return known
+            return self.matrix[known]
         for n in range(LONGEST, 0, -1):
-            rows = [self.tables[n][g] for g in grams(word, n) if g in self.tables[n]]
+            table = self.tables[n]
+            rows = [table[g] for g in grams(word, n) if g in table]
             if rows:
-                return sum(rows) / len(rows)
+                return self.matrix[rows].mean(axis=0)
         return np.zeros(len(self.langs))
 
 
@@ -124,7 +128,7 @@ def gram_counts(batch) -> dict:
     return out
 
 
-def learn(labelled: DataFrame, fit_rows: int = 40_000, keep: int = 60_000, id_col: str = "doc_id", text_col: str = "text",
+def learn(labelled: DataFrame, fit_rows: int = 20_000, keep: int = 30_000, id_col: str = "doc_id", text_col: str = "text",
           lang_col: str = "lang") -> Model:
     """Fit on about `fit_rows` of the rows with a language."""
     rows = labelled.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
@@ -132,12 +136,14 @@ def learn(labelled: DataFrame, fit_rows: int = 40_000, keep: int = 60_000, id_co
     total = rows.count()
     if total > fit_rows:
         rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / total))
-    counts = (per_batch(rows, lambda: gram_counts, "n int, gram string, lang string, count bigint", rows=10_000)
-              .groupBy("n", "gram", "lang").agg(F.sum("count").alias("count")))
-    per_gram = counts.groupBy("n", "gram").agg(F.sum("count").alias("total"), F.collect_list(F.struct("lang", "count")).alias("by"))
-    kept = [row for n in range(LONGEST + 1)
-            for row in per_gram.filter(F.col("n") == n).orderBy(F.desc("total"), "gram").limit(keep).collect()] if total else []
-    flat = [(r["n"], r["gram"], b["lang"], b["count"]) for r in kept for b in r["by"]]
+    counts = settle(per_batch(rows, lambda: gram_counts, "n int, gram string, lang string, count bigint", rows=10_000)
+                    .groupBy("n", "gram", "lang").agg(F.sum("count").alias("count")))
+    totals = counts.groupBy("n", "gram").agg(F.sum("count").alias("total"))
+    flat: list[tuple[int, str, str, int]] = []
+    for n in range(LONGEST + 1):
+        common = totals.filter(F.col("n") == n).orderBy(F.desc("total"), "gram").limit(keep).select("gram")
+        of_n = counts.filter(F.col("n") == n).join(F.broadcast(common), "gram")         # at most `keep` rows
+        flat += of_n.select("n", "gram", "lang", "count").toArrow().to_pandas().itertuples(index=False, name=None)
     return Model(sorted({f[2] for f in flat}), flat)
 
 
