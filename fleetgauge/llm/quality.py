@@ -17,29 +17,49 @@ import zlib
 from operator import eq
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.session import settle, ship
 
-from .common import per_batch, pick
+from .common import per_batch, pick, worker_memo
 
 GOOD, BAD, NONE = "1", "0", "-"
+LABELLERS = 10
 BUCKETS = 1 << 15
 MEMO = 300_000
-SYMBOLS = re.compile(r"[#$%&*|~^=<>{}\[\]\\_@+]+")
-CAPITALS = re.compile(r"[A-Z]+")
-DIGITS = re.compile(r"[0-9]+")
-BOILER = re.compile(r"click here|lorem ipsum|subscribe|cookie|javascript|all rights reserved|sign up", re.I)
-SENTENCE = re.compile(r"[.!?][\"')\]]*(?=\s|$)")
+SYMBOLS = b"#$%&*|~^=<>{}[]\\_@+"
+CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+DIGITS = b"0123456789"
+BOILER = ("click here", "lorem ipsum", "subscribe", "cookie", "javascript", "all rights reserved", "sign up")
+SYMBOL = re.compile(r"[#$%&*|~^=<>{}\[\]\\_@+]")
 PLAIN = re.compile(r"[\"'(]?[^\W\d_]+(?:['-][^\W\d_]+)*[.,;:!?)\"']?")
 DOUBLED = re.compile(r"[!?]{2,}")
-LABELLERS = 10
+END = re.compile(r"[.!?][\"')\]]*$")
+FIELD = 32
+
+
+class Words(dict):
+    """Word to four packed counters: holds a symbol, is plain, ends a sentence, doubles its marks. Emptied when it holds MEMO words."""
+
+    def __missing__(self, word: str) -> int:
+        marks_ = (SYMBOL.search(word), PLAIN.fullmatch(word), END.search(word), DOUBLED.search(word))
+        value = self[word] = sum(1 << FIELD * i for i, m in enumerate(marks_) if m)
+        return value
+
+    def shares(self, words: list[str]) -> list[float]:
+        if len(self) > MEMO:
+            self.clear()
+        total = sum(map(self.__getitem__, words))
+        return [(total >> FIELD * i & (1 << FIELD) - 1) / len(words) for i in range(4)]
+
 
+def known_words() -> Words:
+    return worker_memo("quality words", Words)
 
-def share(pattern: re.Pattern, text: str) -> float:
-    return sum(map(len, pattern.findall(text))) / len(text)
+
+def share(chars: bytes, data: bytes) -> float:
+    return 1 - len(data.translate(None, chars)) / len(data)
 
 
 def repeats(words: list[str]) -> float:
@@ -47,22 +67,23 @@ def repeats(words: list[str]) -> float:
     return sum(map(eq, words, words[1:])) / len(words)
 
 
-def votes(text: str, words: list[str]) -> str:
-    """One character per labeller: symbols, words with symbols, capitals, plain words, sentences, doubled marks, repeated words,
-    repeated pairs of words, repeated lines, boilerplate."""
+def look(text: str, known: Words) -> tuple[str, list[str], list[str]]:
+    """(votes, words, marks) of a text. The labellers: symbols, words with symbols, capitals, plain words, sentences, doubled marks,
+    repeated words, repeated pairs of words, repeated lines, boilerplate. Marks are stylistic features, hashed like words."""
+    words = text.split()
     n = len(words)
     if n == 0:
-        return NONE * 3 + BAD + NONE * (LABELLERS - 4)
+        return NONE * 3 + BAD + NONE * (LABELLERS - 4), words, ["\0empty"]
     say = lambda bad, good: BAD if bad else GOOD if good else NONE                                               # noqa: E731
-    symbols, capitals = share(SYMBOLS, text), share(CAPITALS, text)
-    odd = sum(SYMBOLS.search(w) is not None for w in words) / n
-    plain = sum(PLAIN.fullmatch(w) is not None for w in words) / n
-    sentences = n / max(1, len(SENTENCE.findall(text)))
-    doubled = len(DOUBLED.findall(text)) / n
+    data = text.encode()
+    symbols, capitals, digits = (share(c, data) for c in (SYMBOLS, CAPITALS, DIGITS))
+    odd, plain, ends, doubled = known.shares(words)
+    sentences = 1 / max(ends, 1 / n)
     again = repeats(words)
     pairs = len(set(zip(words, words[1:]))) / max(1, n - 1)
     lines = [x for x in text.split("\n") if x.strip()]
-    return "".join([
+    small = text.lower()
+    found = "".join([
         say(symbols > 0.04, symbols < 0.01),
         say(odd > 0.15, odd < 0.05),
         say(capitals > 0.3, capitals < 0.15),
@@ -72,16 +93,10 @@ def votes(text: str, words: list[str]) -> str:
         say(again > 0.1, again < 0.02),
         say(n > 20 and pairs < 0.5, pairs > 0.8),
         say(len(lines) > 5 and len(set(lines)) < 0.5 * len(lines), False),
-        say(BOILER.search(text) is not None, False),
+        say(any(b in small for b in BOILER), False),
     ])
-
-
-def marks(text: str, words: list[str]) -> list[str]:
-    """Stylistic features: rounded shares, hashed like words."""
-    if not words:
-        return ["\0empty"]
-    parts = {"symbols": share(SYMBOLS, text), "capitals": share(CAPITALS, text), "digits": share(DIGITS, text), "repeats": repeats(words)}
-    return [f"\0{k}{min(9, int(v * 50))}" for k, v in parts.items()]
+    parts = {"symbols": symbols, "capitals": capitals, "digits": digits, "repeats": again, "pairs": 1 - pairs, "odd": odd}
+    return found, words, [f"\0{k}{min(9, int(v * 50))}" for k, v in parts.items()]
 
 
 def bucket(word: str) -> int:
@@ -110,9 +125,8 @@ def estimate(counts: dict[str, int], rounds: int = 100) -> tuple[dict[str, float
     return dict(zip(patterns, good.tolist())), rates
 
 
-def features(text: str) -> tuple[str, np.ndarray]:
-    words = text.split()
-    return votes(text, words), np.unique([bucket(w) for w in set(words)] + [bucket(m) for m in marks(text, words)])
+def features(words: list[str], marks: list[str]) -> np.ndarray:
+    return np.unique([bucket(w) for w in set(words)] + [bucket(m) for m in marks])
 
 
 def fit(rows: list[np.ndarray], target: np.ndarray, steps: int = 60, rate: float = 2.0, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -142,7 +156,8 @@ def score_quality(docs: DataFrame, threshold: float = 0.5, fit_rows: int = 6000,
     texts = pick(docs, id_col, text_col)
 
     def count_votes():
-        return lambda batch: {"doc_id": batch.column("doc_id"), "votes": [votes(t, t.split()) for t in batch.column("text").to_pylist()]}
+        known = known_words()
+        return lambda batch: {"doc_id": batch.column("doc_id"), "votes": [look(t, known)[0] for t in batch.column("text").to_pylist()]}
 
     voted = settle(per_batch(texts, count_votes, VOTES))
     counted = {r["votes"]: r["n"] for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()}     # at most 3 ** LABELLERS
@@ -150,9 +165,11 @@ def score_quality(docs: DataFrame, threshold: float = 0.5, fit_rows: int = 6000,
     total = sum(counted.values())
 
     def example():
+        known = known_words()
+
         def work(batch):
-            both = [features(t) for t in batch.column("text").to_pylist()]
-            return {"votes": [v for v, _ in both], "at": pa.array([f.tolist() for _, f in both], pa.list_(pa.int32()))}
+            seen = [look(t, known) for t in batch.column("text").to_pylist()]
+            return {"votes": [v for v, _, _ in seen], "at": [features(w, m).tolist() for _, w, m in seen]}
         return work
     drawn = texts if total <= fit_rows else texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / total))
     sample = per_batch(drawn, example, "votes string, at array<int>").collect()      # about fit_rows rows of at most BUCKETS numbers
@@ -160,23 +177,22 @@ def score_quality(docs: DataFrame, threshold: float = 0.5, fit_rows: int = 6000,
     shared = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias, chances))
 
     def score():
-        table, start, known = shared.value
-        memo: dict[str, int] = {}
+        table, start, chance = shared.value
+        known, memo = known_words(), {}
 
         def work(batch):
             out = {"doc_id": batch.column("doc_id"), "votes": [], "good_chance": [], "score": []}
             for text in batch.column("text").to_pylist():
-                words = text.split()
+                found, words, marks = look(text, known)
                 if len(memo) > MEMO:
                     memo.clear()
                 kinds = set(words)
                 for w in kinds.difference(memo):
                     memo[w] = bucket(w)
-                at = np.unique([memo[w] for w in kinds] + [bucket(m) for m in marks(text, words)])
+                at = np.unique([memo[w] for w in kinds] + [bucket(m) for m in marks])
                 margin = float(table[at].sum()) / np.sqrt(len(at)) + start
-                v = votes(text, words)
-                out["votes"].append(v)
-                out["good_chance"].append(known[v])
+                out["votes"].append(found)
+                out["good_chance"].append(chance[found])
                 out["score"].append(float(1 / (1 + np.exp(-np.clip(margin, -60, 60)))))
             return out | {"keep": [s >= threshold for s in out["score"]]}
         return work
