@@ -36,8 +36,9 @@ def split_round(rows: DataFrame, start: int, width: int) -> DataFrame:
     """One radix round: `rows` with their new group, whether they are alone in it, and the text only where the group stays open."""
     digit = F.substring(normalised().cast("binary"), start + 1, width)
     keyed = rows.withColumn("digit", digit)
-    groups = (keyed.groupBy("group", "digit").agg(F.count("*").alias("n"), F.min("rid").alias("next"))
-              .filter("n > 1").drop("n"))
+    # A table of their own: a join against it has an exchange of its own on either side, which skew handling can split.
+    groups = settle(keyed.groupBy("group", "digit").agg(F.count("*").alias("n"), F.min("rid").alias("next"))
+                    .filter("n > 1").drop("n"))
     found = keyed.join(groups, ["group", "digit"], "left")
     alone = F.col("next").isNull()
     still = ~alone & (F.col("n_bytes") > start + width)
@@ -67,7 +68,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                                           F.lit(True).alias("kept"), "sha", "payload")
     shared = final.filter(~F.col("alone"))
     best = F.min(F.struct((-F.col("n_chars")).alias("c"), F.col("id").isNull().alias("z"), "id", "rid"))
-    keepers = shared.groupBy("group").agg(F.count("*").alias("group_size"), best.alias("best"))
+    keepers = settle(shared.groupBy("group").agg(F.count("*").alias("group_size"), best.alias("best")))
     grouped = shared.join(keepers, "group").select("id", F.col("best.id").alias("keep_id"), "group_size",
                                                    (F.col("rid") == F.col("best.rid")).alias("kept"), "sha", "payload")
     return single.unionByName(grouped)
