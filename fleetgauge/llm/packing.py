@@ -29,7 +29,7 @@ from fleetgauge.session import settle, ship
 from .common import per_batch, pick, worker_memo
 
 MEMO = 400_000
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 500
 # Texts of these characters only are cut into words here; they are in composed form, and lower-casing maps one to one.
 SLOW = re.compile(r"[^\t-\r\x20-\x7eÀ-ÖØ-öø-ÿ]|<\|")
 CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-zß-öø-ÿ0-9]+")
