@@ -27,7 +27,7 @@ from .common import map_rows, per_batch, pick
 
 LONGEST = 5
 WORD = re.compile(r"[^\W\d_]+")
-MEMO = 300_000
+MEMO = 150_000
 UNKNOWN = "und"
 
 
@@ -136,7 +136,7 @@ def learn(labelled: DataFrame, fit_rows: int = 20_000, keep: int = 30_000, id_co
     total = rows.count()
     if total > fit_rows:
         rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / total))
-    counts = settle(per_batch(rows, lambda: gram_counts, "n int, gram string, lang string, count bigint", rows=10_000)
+    counts = settle(per_batch(rows, lambda: gram_counts, "n int, gram string, lang string, count bigint", rows=1500)
                     .groupBy("n", "gram", "lang").agg(F.sum("count").alias("count")))
     totals = counts.groupBy("n", "gram").agg(F.sum("count").alias("total"))
     flat: list[tuple[int, str, str, int]] = []
