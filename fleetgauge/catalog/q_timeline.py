@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.order import score_rank, unit_cuts
+from ..functions.order import score_rank
 from ..operators import calendar as cal
 from ..operators import splits, timeline, windows
 from ..session import settle
@@ -143,7 +143,7 @@ def _(spark, d):
        f"""{BASE}, {TIMELINE_SQL}, parts AS (
          SELECT 'life_fraction' AS measure, CAST(least(greatest(CAST(floor(life_fraction * 20) AS INTEGER) + 1, 1), 20) AS VARCHAR) AS bin FROM timeline
          UNION ALL SELECT 'n_real', CAST(n_real AS VARCHAR) FROM timeline
-         UNION ALL SELECT 'record_days', CAST(least(CAST(floor(n_days / 4000.0 * 20) AS INTEGER) + 1, 20) AS VARCHAR) FROM timeline
+         UNION ALL SELECT 'record_days', CAST(least(CAST(floor(n_days / CAST((SELECT max(n_days) FROM timeline) AS DOUBLE) * 20) AS INTEGER) + 1, 20) AS VARCHAR) FROM timeline
          UNION ALL SELECT 'start_month', strftime(start_day, '%Y-%m') FROM timeline
          UNION ALL SELECT 'end_month', strftime(end_day, '%Y-%m') FROM timeline)
        SELECT measure, bin, count(*) AS n FROM parts GROUP BY measure, bin""")
@@ -177,7 +177,7 @@ def _(spark, d):
                       FROM generate_series(0, 11) AS t(i))""")
 def _(spark, d):
     per = settle(scored_windows(spark, d).groupBy("drive").agg(F.max("score").alias("score")))
-    return windows.spread_picks(score_rank(per, "score", [F.col("drive")], unit_cuts()), 12)
+    return windows.spread_picks(score_rank(per, "score", [F.col("drive")]), 12)
 
 
 @query("x1_stratified_split", "drive:i has_failure:i split:s", f"{BASE_CENSUS} SELECT * FROM split")

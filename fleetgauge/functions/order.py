@@ -9,6 +9,7 @@ one row per (group, bucket), and the number of buckets is a constant.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,50 +18,40 @@ from pyspark.sql import functions as F
 from ..session import settle
 from .expr import digest
 
-BUCKETS, MAX_CUTS = 256, 512
-ONE_TASK_ROWS = 2_000_000   # distinct values that may be ordered without cutting them first
+BUCKET_VALUES = 200_000     # distinct values that one bucket should hold
 HASH_CELL = 3          # hex digits: at most 4,096 cells per group
 
 
-def unit_cuts(n: int = BUCKETS) -> int:
-    """Even cuts of [0, 1], given as their number; right for scores kept to a fixed number of digits,
-    where a bucket's distinct values are bounded whatever the row count."""
-    return n
-
-
-def split_points(df: DataFrame, value: str, by: Sequence[str] = (), n: int | None = None):
-    """Near-equal-count cuts of `value`, per group when `by` is given (n-1 numbers per group).
-
-    The number of buckets follows the session's shuffle partitions, between 32 and 512.
-    """
-    n = n or min(MAX_CUTS, max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    probs = [i / n for i in range(1, n)]
-    agg = F.percentile_approx(value, probs, F.lit(2000)).alias("cuts")
+def split_points(df: DataFrame, value: str, n: int, by: Sequence[str] = ()):
+    """Near-equal-count cuts of `value`, per group when `by` is given (n-1 numbers per group)."""
+    agg = F.percentile_approx(value, [i / n for i in range(1, n)], F.lit(max(2000, 20 * n))).alias("cuts")
     if not by:
-        found = df.agg(agg).first()["cuts"]
-        return sorted(set(found or []))
+        return sorted(set(df.agg(agg).first()["cuts"] or []))
     (key,) = by
     return {row[key]: sorted(set(row["cuts"] or [])) for row in df.groupBy(key).agg(agg).collect()}
 
 
-def auto_cuts(counts: DataFrame, value: str, by: Sequence[str] = ()):
-    """Cuts for a settled table of distinct values: none while they all fit one task, else split points."""
-    return [] if counts.count() <= ONE_TASK_ROWS else split_points(counts, value, by)
+def even_cuts(counts: DataFrame, value: str, by: Sequence[str] = ()):
+    """Cuts for a settled table of distinct values, so many that a bucket holds about BUCKET_VALUES of them.
+
+    They are taken from the values themselves, so it doesn't matter where the values lie.
+    """
+    known = counts.where(F.col(value).isNotNull() & ~F.isnan(value))
+    per = known.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    n = -(-per // BUCKET_VALUES)
+    return split_points(known, value, n, by) if n > 1 else []
 
 
 def bucket_of(value: Column, cuts, by: Column | None = None) -> Column:
-    """An ordered bucket id. `cuts` is a list of split points, a dict of such lists per group, or the
-    number of even buckets of [0, 1]."""
-    if isinstance(cuts, int):
-        return F.least(F.greatest(F.floor(value * cuts).cast("int"), F.lit(0)), F.lit(cuts - 1))
+    """An ordered bucket id; NULL for a NULL value. `cuts` is a list of split points, or a dict of such lists per group."""
     if not cuts:
         return F.lit(0)
     if isinstance(cuts, dict):
-        table = F.create_map(*[x for k, v in cuts.items()
-                               for x in (F.lit(k), F.array(*[F.lit(float(c)) for c in v]).cast("array<double>"))])
-        edges = F.coalesce(table[by], F.array().cast("array<double>"))
+        # One constant, folded from its text, however many cuts there are.
+        table = F.from_json(F.lit(json.dumps({str(k): v for k, v in cuts.items()})), "map<string,array<double>>")
+        edges = F.coalesce(table[by.cast("string")], F.array().cast("array<double>"))
     else:
-        edges = F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>")
+        edges = F.from_json(F.lit(json.dumps([float(c) for c in cuts])), "array<double>")
     # How many edges lie below the value: its place once it is sorted in among them. (A lambda over the
     # edges would do too, but Spark may carry a lambda into a filter inferred for the other join side.)
     v = value.cast("double")
@@ -108,25 +99,34 @@ def hash_rank(df: DataFrame, keys: Sequence[Column], seed, by: Sequence[str] = (
     for c in by:
         on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
     inside = Window.partitionBy(*by, "_cell").orderBy("_h", *keys)
-    # At most 16**HASH_CELL rows per group.
-    return (rows.join(F.broadcast(offsets), on)
+    # 16**HASH_CELL rows per group; the groups may be many, so nothing is broadcast unasked.
+    return (rows.join(offsets, on)
             .withColumn(out, (F.col("_o") + F.row_number().over(inside)).cast("bigint"))
             .select(*df.columns, out))
 
 
-def score_rank(df: DataFrame, score: str, keys: Sequence[Column], cuts, out: str = "rank") -> DataFrame:
-    """1-based rank by score descending, ties in md5 order of `keys`.
+def known_score(score: str) -> Column:
+    """The score with NaN as NULL. Rankings put such rows last."""
+    return F.when(~F.isnan(score), F.col(score))
+
+
+def score_rank(df: DataFrame, score: str, keys: Sequence[Column], cuts=None, out: str = "rank") -> DataFrame:
+    """1-based rank by score descending, rows without a score (NULL or NaN) last, ties in md5 order of `keys`.
 
     A score that a third of the rows share is split over 256 hash cells, so no task holds it whole.
     """
-    rows = df.withColumn("_h", digest(*keys)).withColumn("_cell", F.substring("_h", 1, 2))
-    cells = rows.groupBy(score, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_totals(cells, -bucket_of(F.col(score), cuts), [F.col(score).desc(), F.col("_cell")],
-                            {"_n": "_upto"})
-    offsets = ranked.select(F.col(score).alias("_k_score"), F.col("_cell").alias("_k_cell"),
+    rows = (df.withColumn("_s", known_score(score)).withColumn("_h", digest(*keys))
+            .withColumn("_cell", F.substring("_h", 1, 2)))
+    cells = rows.groupBy("_s", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    if cuts is None:
+        cells = settle(cells)
+        cuts = even_cuts(cells, "_s")
+    last_first = F.coalesce(-bucket_of(F.col("_s"), cuts), F.lit(1))
+    ranked = running_totals(cells, last_first, [F.col("_s").desc_nulls_last(), F.col("_cell")], {"_n": "_upto"})
+    offsets = ranked.select(F.col("_s").alias("_k_score"), F.col("_cell").alias("_k_cell"),
                             (F.col("_upto") - F.col("_n")).alias("_o"))
-    inside = Window.partitionBy(score, "_cell").orderBy("_h", *keys)
-    return (rows.join(offsets, (F.col(score) == F.col("_k_score")) & (F.col("_cell") == F.col("_k_cell")))
+    inside = Window.partitionBy("_s", "_cell").orderBy("_h", *keys)
+    return (rows.join(offsets, F.col("_s").eqNullSafe(F.col("_k_score")) & (F.col("_cell") == F.col("_k_cell")))
             .withColumn(out, (F.col("_o") + F.row_number().over(inside)).cast("bigint"))
             .select(*df.columns, out))
 
@@ -150,7 +150,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
     if cuts is None:
         hist = settle(hist)                     # read twice below, by two jobs
-        cuts = auto_cuts(hist, "value", by=["column"])
+        cuts = even_cuts(hist, "value", by=["column"])
     totals = hist.groupBy(F.col("column").alias("_c")).agg(F.sum("n").alias("_total"))
     run = running_totals(hist, bucket_of(F.col("value"), cuts, F.col("column")), [F.col("value")],
                          {"n": "upto"}, by=["column"])

@@ -67,14 +67,14 @@ def long_enough(readings: DataFrame, min_days: int) -> DataFrame:
 
 
 def dedupe_days(readings: DataFrame, tiebreak: Sequence[str] = ()) -> DataFrame:
-    """One row per (drive, day); a failure row wins, then the largest `tiebreak` value.
+    """One row per (drive, day); a failure row wins, then the largest `tiebreak` value, then the largest other values in column order.
 
     An aggregate rather than row_number, so repeats collapse on the map side and a day that was
     sent a million times never gathers in one task.
     """
     keys = ("drive", "day")
     rest = [c for c in readings.columns if c not in keys]
-    order = F.struct(*[F.col(c) for c in ("failure", *tiebreak)])
+    order = F.struct(*[F.col(c) for c in dict.fromkeys(("failure", *tiebreak, *rest))])
     best = readings.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r"))
     return best.select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import fixed, ratio
 from ..session import settle
-from ..settings import GAP_METRICS, OverfitRule
+from ..settings import DIVERGING_EPOCHS, MORE_IS_BETTER, OVERFIT_LIMITS
 
 
 def by_run():
@@ -24,22 +24,19 @@ def by_epoch():
     return by_run().orderBy("epoch")
 
 
-def gap_pct(train: Column, val: Column, higher_is_better: bool) -> Column:
-    """Signed relative gap in percent, positive when training looks better; NULL on a zero denominator."""
-    return 100.0 * ratio(train - val, val) if higher_is_better else 100.0 * ratio(val - train, train)
+def lead_of_training(metric: str) -> Column:
+    """How far training looks better than validation, in percent of the worse side's value; NULL if that is 0."""
+    better, worse = (f"train_{metric}", f"val_{metric}") if MORE_IS_BETTER[metric] else (f"val_{metric}", f"train_{metric}")
+    return (100.0 * ratio(F.col(better) - F.col(worse), F.col(worse))).alias(f"{metric}_gap_pct")
 
 
-def with_gaps(epochs: DataFrame, rule: OverfitRule = OverfitRule()) -> DataFrame:
+def with_gaps(epochs: DataFrame, limits: Sequence[tuple] = OVERFIT_LIMITS) -> DataFrame:
     """Add `<metric>_gap_pct`, overfit_flag and overfit_reasons."""
-    have = [m for m in GAP_METRICS if f"train_{m}" in epochs.columns and f"val_{m}" in epochs.columns]
-    out = epochs.select("*", *[gap_pct(F.col(f"train_{m}"), F.col(f"val_{m}"), GAP_METRICS[m]).alias(f"{m}_gap_pct")
-                               for m in have])
-    limits = {m: x for m, x in rule.limits().items() if m in have}
-    why = [F.when(F.col(f"{m}_gap_pct") > x, F.concat(F.lit(f"{m} "), fixed(F.col(f"{m}_gap_pct"), 1),
-                                                     F.lit(f"%>{x:g}%"))) for m, x in limits.items()]
-    over = [F.coalesce(F.col(f"{m}_gap_pct") > x, F.lit(False)).cast("int") for m, x in limits.items()]
-    return out.withColumn("overfit_flag", F.greatest(*over, F.lit(0))).withColumn(
-        "overfit_reasons", F.concat_ws("; ", *why))
+    own = [(m, x) for m, _, x in limits if {f"train_{m}", f"val_{m}"} <= set(epochs.columns)]
+    out = epochs.select("*", *[lead_of_training(m) for m, _ in own])
+    broken = [(F.col(f"{m}_gap_pct") > x, F.concat(F.lit(f"{m} "), fixed(F.col(f"{m}_gap_pct"), 1), F.lit(f"%>{x:g}%"))) for m, x in own]
+    flag = F.greatest(*[F.coalesce(b, F.lit(False)).cast("int") for b, _ in broken], F.lit(0), F.lit(0))
+    return out.withColumns({"overfit_flag": flag, "overfit_reasons": F.concat_ws("; ", *[F.when(b, why) for b, why in broken])})
 
 
 def best_epochs(epochs: DataFrame, metric: str, higher_is_better: bool = True) -> DataFrame:
@@ -50,13 +47,13 @@ def best_epochs(epochs: DataFrame, metric: str, higher_is_better: bool = True) -
         "variation", (-F.col("b.e")).alias("best_epoch"))
 
 
-def _divergence_starts(epochs: DataFrame, metrics: Sequence[str], rule: OverfitRule) -> DataFrame:
+def _divergence_starts(epochs: DataFrame, metrics: Sequence[str], run: int) -> DataFrame:
     """Add `_div_<metric>`: the epoch, where a diverging run of the required length starts on it.
 
     All of it is windows over one run, so any number of metrics costs one shuffle.
     """
     def signed(m: str) -> tuple[Column, Column]:
-        sign = 1.0 if GAP_METRICS[m] else -1.0
+        sign = 1.0 if MORE_IS_BETTER[m] else -1.0
         return sign * F.col(f"train_{m}"), sign * F.col(f"val_{m}")
 
     rows = epochs.select("*", *[F.max(signed(m)[1]).over(by_run()).alias(f"_top_{m}") for m in metrics])
@@ -71,15 +68,15 @@ def _divergence_starts(epochs: DataFrame, metrics: Sequence[str], rule: OverfitR
         return F.coalesce(step, F.lit(False)).cast("int").alias(f"_d_{m}")
 
     rows = rows.select("*", *[diverging(m) for m in metrics])
-    ahead = by_epoch().rowsBetween(0, rule.min_consecutive - 1)
-    starts = [F.when(F.sum(f"_d_{m}").over(ahead) == rule.min_consecutive, F.col("epoch")).alias(f"_div_{m}") for m in metrics]
+    ahead = by_epoch().rowsBetween(0, run - 1)
+    starts = [F.when(F.sum(f"_d_{m}").over(ahead) == run, F.col("epoch")).alias(f"_div_{m}") for m in metrics]
     return rows.select(*epochs.columns, *starts)
 
 
-def divergence(epochs: DataFrame, metric: str, rule: OverfitRule = OverfitRule()) -> DataFrame:
-    """(variation, divergence_epoch): start of the first run of `min_consecutive` diverging epochs after
+def divergence(epochs: DataFrame, metric: str, run: int = DIVERGING_EPOCHS) -> DataFrame:
+    """(variation, divergence_epoch): start of the first `run` successive diverging epochs after
     validation's best one. Diverging: train not worse than the epoch before, and the gap wider."""
-    return _divergence_starts(epochs, [metric], rule).groupBy("variation").agg(
+    return _divergence_starts(epochs, [metric], run).groupBy("variation").agg(
         F.min(f"_div_{metric}").alias("divergence_epoch"))
 
 
@@ -89,18 +86,13 @@ def overfit_status(flagged_at_best: Column, n_flagged: Column, divergence_epoch:
             .when(divergence_epoch.isNotNull(), "early divergence").otherwise("no overfitting"))
 
 
-def refresh_status(diagnostics: DataFrame) -> DataFrame:
-    """Logged diagnostics with their verdict worked out again."""
-    return diagnostics.withColumn("status", overfit_status(
-        F.col("flagged_at_best"), F.col("n_flagged_epochs"), F.col("divergence_epoch")))
-
-
-def diagnose(epochs: DataFrame, select_by: str = "pr_auc", rule: OverfitRule = OverfitRule()) -> DataFrame:
+def diagnose(epochs: DataFrame, select_by: str = "pr_auc", limits: Sequence[tuple] = OVERFIT_LIMITS,
+             run: int = DIVERGING_EPOCHS) -> DataFrame:
     """One row per run: best, last and first flagged epoch, divergence, gaps at the best and last epoch, status."""
-    flagged = epochs if "overfit_flag" in epochs.columns else with_gaps(epochs, rule)
-    have = [m for m in GAP_METRICS if f"{m}_gap_pct" in flagged.columns]
-    rows = _divergence_starts(flagged, have, rule)
-    key = F.col(f"val_{select_by}") if GAP_METRICS[select_by] else -F.col(f"val_{select_by}")
+    flagged = epochs if "overfit_flag" in epochs.columns else with_gaps(epochs, limits)
+    have = [m for m in MORE_IS_BETTER if f"{m}_gap_pct" in flagged.columns]
+    rows = _divergence_starts(flagged, have, run)
+    key = F.col(f"val_{select_by}") if MORE_IS_BETTER[select_by] else -F.col(f"val_{select_by}")
     best = F.max(F.when(key.isNotNull(), F.struct(key.alias("k"), (-F.col("epoch")).alias("e")))).over(by_run())
     rows = rows.withColumn("_last", F.max("epoch").over(by_run())).withColumn("_best", best)
     rows = rows.withColumn("best_epoch", -F.col("_best.e")).where(F.col("best_epoch").isNotNull())
@@ -110,11 +102,13 @@ def diagnose(epochs: DataFrame, select_by: str = "pr_auc", rule: OverfitRule = O
         F.min(F.when(F.col("overfit_flag") == 1, F.col("epoch"))).alias("first_flagged_epoch"),
         F.sum("overfit_flag").alias("n_flagged_epochs"), F.max(F.when(at_best, F.col("overfit_flag"))).alias("flagged_at_best"),
         F.max(F.when(at_last, F.col("overfit_flag"))).alias("flagged_at_stop"),
+        F.max(F.when(at_best, F.col("overfit_reasons"))).alias("reasons_at_best"),
+        F.max(F.when(at_last, F.col("overfit_reasons"))).alias("reasons_at_stop"),
         *[F.min(f"_div_{m}").alias(f"divergence_epoch_{m}") for m in have],
         *[F.max(F.when(at_best, F.col(f"{m}_gap_pct"))).alias(f"{m}_gap_pct_at_best") for m in have],
         *[F.max(F.when(at_last, F.col(f"{m}_gap_pct"))).alias(f"{m}_gap_pct_at_stop") for m in have])
     # The earliest watched divergence; the metric listed first wins a tie.
-    watched = [m for m in have if m in rule.limits()]
+    watched = [m for m, _, _ in limits if m in have]
     options = F.filter(F.array(*[F.struct(F.col(f"divergence_epoch_{m}").alias("e"), F.lit(i).alias("i"), F.lit(m).alias("m"))
                                  for i, m in enumerate(watched)]), lambda s: s["e"].isNotNull())
     first = F.array_min(options)
@@ -254,10 +248,10 @@ class ExperimentLog:
         return self.read(sheet)
 
     def add(self, epochs: DataFrame, configs: DataFrame | None = None, precision_at_k: DataFrame | None = None,
-            select_by: str = "pr_auc", rule: OverfitRule = OverfitRule()) -> DataFrame:
+            select_by: str = "pr_auc", limits: Sequence[tuple] = OVERFIT_LIMITS) -> DataFrame:
         """Record runs: gaps per epoch, diagnostics, and a summary read at the best epoch."""
-        history = settle(with_gaps(epochs, rule))       # read by three sheets
-        diag = settle(diagnose(history, select_by, rule))
+        history = settle(with_gaps(epochs, limits))       # read by three sheets
+        diag = settle(diagnose(history, select_by, limits))
         summary = run_summary(history, diag)
         for sheet, rows in (("epochs", history), ("diagnostics", diag), ("configs", configs),
                             ("precision_at_k", precision_at_k), ("summary", summary)):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import ratio
-from ..functions.order import auto_cuts, bucket_of, long_form, running_totals
+from ..functions.order import even_cuts, bucket_of, long_form, running_totals
 from ..session import settle
 from ..settings import LeakageRules, WindowSpec
 
@@ -95,7 +95,7 @@ def with_verdict(report: DataFrame, rules: LeakageRules = LeakageRules()) -> Dat
 def audit_numeric(rows: DataFrame, columns: Sequence[str], label: str = "failure",
                   rules: LeakageRules = LeakageRules(), level: str = "drive-day") -> DataFrame:
     counts = settle(value_counts(rows, columns, label))             # read by the cuts and by the report
-    cuts = auto_cuts(counts.where(F.col("value").isNotNull()), "value", by=["column"])
+    cuts = even_cuts(counts.where(F.col("value").isNotNull()), "value", by=["column"])
     report = column_association(counts, cuts).withColumn("level", F.lit(level))
     return with_verdict(report, rules)
 
@@ -173,7 +173,7 @@ def per_drive_summary(readings: DataFrame, window_days: int = 90) -> DataFrame:
     """Span, observed days, gap days, coverage, ever failed and windows on offer."""
     got = readings.groupBy("drive").agg(
         F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count(F.lit(1)).alias("n_observed"),
-        F.max("failure").alias("ever_failed"), *([F.first("model").alias("model")] if "model" in readings.columns else []))
+        F.max("failure").alias("ever_failed"), *([F.min_by("model", "day").alias("model")] if "model" in readings.columns else []))
     span = F.datediff("last_day", "first_day") + 1
     return (got.withColumn("span_days", span)
             .withColumn("gap_days", F.col("span_days") - F.col("n_observed"))
@@ -206,7 +206,7 @@ class LeakageReport:
 def audit(readings: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (),
           rules: LeakageRules = LeakageRules(), window_days: int = 90) -> LeakageReport:
     """The whole audit. Tables hold one row per column, so collecting the names is safe."""
-    categorical = [c for c in categorical if "model" not in c]
+    categorical = [c for c in categorical if c != "model"]
     report = LeakageReport(
         audit_numeric(readings, numeric, rules=rules),
         audit_categorical(readings, categorical, rules=rules) if categorical else None,

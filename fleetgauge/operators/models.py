@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import unit_draw
 from ..session import settle
-from ..settings import SEED, OverfitRule
+from ..settings import OVERFIT_LIMITS, SEED
 from .experiments import with_gaps
 from .explain import staged_scores
 from .ranking import confusion, ranking_metrics
@@ -56,7 +56,7 @@ class BoostedFit:
 
 
 def round_history(gbt, features: Sequence[str], train: DataFrame, val: DataFrame, every: int = 1,
-                  rule: OverfitRule = OverfitRule()) -> DataFrame:
+                  limits: Sequence[tuple] = OVERFIT_LIMITS) -> DataFrame:
     """Per boosting round (variation, epoch): train and validation PR-AUC, ROC-AUC and log loss, with gap flags.
 
     Only every `every`-th round is scored; `train` should be a probe of about the size of `val`.
@@ -74,7 +74,7 @@ def round_history(gbt, features: Sequence[str], train: DataFrame, val: DataFrame
         return auc.join(F.broadcast(loss), F.col("epoch") == F.col("_r")).drop("_r")      # one row per round
 
     both = metrics(train, "train").join(metrics(val, "val"), "epoch")
-    return with_gaps(both.withColumn("variation", F.lit("boosted")), rule)
+    return with_gaps(both.withColumn("variation", F.lit("boosted")), limits)
 
 
 def fit_boosted(train: DataFrame, val: DataFrame, features: Sequence[str], rounds: int = 3000, step: float = 0.05,

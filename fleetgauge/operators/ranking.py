@@ -2,8 +2,8 @@
 
 Input frames hold a 0/1 `label` and a `score`. Every metric that needs the global score order first
 reduces the rows to one row per distinct score, then uses `running_totals`, so neither a hot score
-nor the row count lands on one task. `cuts` are ordered split points of the score; the default suits
-probabilities, and `split_points` finds them for any other score.
+nor the row count lands on one task. `cuts` are ordered split points of the score; by default they are taken
+from the distinct scores. A NaN counts as no score, and rows without one rank last everywhere.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import bin_index, digest, ratio, unit_draw
-from ..functions.order import bucket_of, exact_quantiles, running_totals, score_rank, unit_cuts
+from ..functions.expr import bin_index, digest, ratio
+from ..functions.order import bucket_of, even_cuts, exact_quantiles, known_score, running_totals, score_rank
+from ..session import settle
 
-CUTS = unit_cuts()
+# Cut-off lists (fixed values).
 DEFAULT_KS = (10, 25, 50, 100)
 FRACTIONS = (0.001, 0.005, 0.01, 0.02, 0.05, 0.10)
 FILE_KS = (5, 10, 25, 50, 100)
@@ -24,14 +25,18 @@ FILE_KS = (5, 10, 25, 50, 100)
 
 def score_counts(rows: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "label") -> DataFrame:
     """One row per distinct score: pos, n."""
-    return rows.groupBy(*by, F.col(score).alias("score")).agg(
+    return rows.groupBy(*by, known_score(score).alias("score")).agg(
         F.sum(F.col(label).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n"))
 
 
-def descending_totals(counts: DataFrame, by: Sequence[str] = (), cuts=CUTS) -> DataFrame:
+def descending_totals(counts: DataFrame, by: Sequence[str] = (), cuts=None) -> DataFrame:
     """Add tp and flagged: totals over all scores at or above this one."""
-    return running_totals(counts, -bucket_of(F.col("score"), cuts), [F.col("score").desc()],
-                          {"pos": "tp", "n": "flagged"}, by=by)
+    if cuts is None:
+        counts = settle(counts)                                     # read by the cuts and by the totals
+        cuts = even_cuts(counts, "score", by)
+    group = F.col(by[0]) if by else None
+    return running_totals(counts, F.coalesce(-bucket_of(F.col("score"), cuts, group), F.lit(1)),
+                          [F.col("score").desc_nulls_last()], {"pos": "tp", "n": "flagged"}, by=by)
 
 
 # ---- threshold metrics ---------------------------------------------------------------------------
@@ -61,7 +66,7 @@ def confusion(rows: DataFrame, threshold: float, by: Sequence[str] = (), strict:
         ratio(fp + tn, total).alias("always_healthy_accuracy"))
 
 
-def ranking_metrics(rows: DataFrame, by: Sequence[str] = (), cuts=CUTS, score: str = "score",
+def ranking_metrics(rows: DataFrame, by: Sequence[str] = (), cuts=None, score: str = "score",
                     label: str = "label") -> DataFrame:
     """n, n_pos, roc_auc (mid-rank ties) and pr_auc (step sum over distinct scores); NULL with one class."""
     run = descending_totals(score_counts(rows, by, score, label), by, cuts)
@@ -77,16 +82,11 @@ def ranking_metrics(rows: DataFrame, by: Sequence[str] = (), cuts=CUTS, score: s
                       F.when(both, F.col("_steps") / p).alias("pr_auc"))
 
 
-def curve_points(rows: DataFrame, cuts=CUTS, max_points: int | None = None) -> DataFrame:
-    """One point per distinct score: recall, precision, false positive rate.
-
-    `max_points` thins the points evenly, for drawing only; the totals behind each point stay whole.
-    """
+def curve_points(rows: DataFrame, cuts=None) -> DataFrame:
+    """One point per distinct score: recall, precision, false positive rate."""
     counts = score_counts(rows)
-    total = counts.agg(F.sum("pos").alias("_p"), F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_d"))
+    total = counts.agg(F.sum("pos").alias("_p"), F.sum("n").alias("_n"))
     run = descending_totals(counts, cuts=cuts).crossJoin(F.broadcast(total))
-    if max_points is not None:
-        run = run.where(unit_draw(F.col("score")) * F.col("_d") < max_points)
     return run.select("score", ratio(F.col("tp"), F.col("_p")).alias("recall"),
                       ratio(F.col("tp"), F.col("flagged")).alias("precision"),
                       ratio(F.col("flagged") - F.col("tp"), F.col("_n") - F.col("_p")).alias("fpr"))
@@ -106,7 +106,7 @@ def _f1(tp: Column, flagged: Column, n_pos: Column) -> Column:
     return F.coalesce(ratio(2 * tp, flagged + n_pos), F.lit(0.0))
 
 
-def best_threshold(rows: DataFrame, cuts=CUTS) -> DataFrame:
+def best_threshold(rows: DataFrame, cuts=None) -> DataFrame:
     """One row: the score cut (>=) with the highest F1 over every distinct score; ties take the highest score."""
     counts = score_counts(rows)
     total = counts.agg(F.sum("pos").alias("_p"))
@@ -126,7 +126,7 @@ def _at_thresholds(rows: DataFrame, thresholds: DataFrame, cuts) -> DataFrame:
     return descending_totals(merged, cuts=cuts).where("mark = 1").crossJoin(F.broadcast(total))
 
 
-def best_quantile_threshold(rows: DataFrame, grid: int = 200, cuts=CUTS) -> DataFrame:
+def best_quantile_threshold(rows: DataFrame, grid: int = 200, cuts=None) -> DataFrame:
     """One row: best F1 (>=) over `grid` evenly spaced score quantiles; ties take the lowest threshold."""
     probs = [i / (grid - 1) for i in range(grid)]
     quantiles = exact_quantiles(rows, ["score"], probs, cuts=cuts)
@@ -138,16 +138,23 @@ def best_quantile_threshold(rows: DataFrame, grid: int = 200, cuts=CUTS) -> Data
                        F.when(F.col("b.n_pos") > 0, F.col("b.f1")).alias("f1"))
 
 
-def grid_thresholds(rows: DataFrame, steps: int = 99, cuts=CUTS) -> DataFrame:
-    """precision, recall, F1 at every 0.01 step with a strict `>`; `best` marks the lowest best one."""
-    grid = rows.sparkSession.range(1, steps + 1).select((F.col("id") / 100.0).alias("threshold"))
-    at = _at_thresholds(rows, grid, cuts)
-    tp, flagged = F.col("tp") - F.col("pos"), F.col("flagged") - F.col("n")
-    got = at.select(F.col("score").alias("threshold"),
+def grid_thresholds(rows: DataFrame, steps: int = 99) -> DataFrame:
+    """precision, recall, F1 at every 0.01 step with a strict `>`; `best` marks the lowest best one. One aggregate of steps + 1 bins."""
+    s = known_score("score")
+    near = F.floor(s * 100)
+    above = near + (s > (near + 1) / 100.0).cast("int") - (s <= near / 100.0).cast("int")        # the last step below the score
+    bins = (rows.groupBy(F.least(F.greatest(F.coalesce(above, F.lit(0)), F.lit(0)), F.lit(steps)).cast("int").alias("step"))
+            .agg(F.sum(F.col("label").cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n")))
+    grid = rows.sparkSession.range(0, steps + 1).select(F.col("id").cast("int").alias("step"))
+    upward = Window.orderBy(F.desc("step"))                         # steps + 1 rows
+    at = (grid.join(bins, "step", "left").fillna(0, ["pos", "n"])
+          .select("step", F.sum("pos").over(upward).alias("tp"), F.sum("n").over(upward).alias("flagged"),
+                  F.sum("pos").over(Window.partitionBy()).alias("n_pos")).where("step > 0"))
+    tp, flagged = F.col("tp"), F.col("flagged")
+    got = at.select((F.col("step") / 100.0).alias("threshold"),
                     F.coalesce(ratio(tp, flagged), F.lit(0.0)).alias("precision"),
                     F.coalesce(ratio(tp, F.col("n_pos")), F.lit(0.0)).alias("recall"),
                     _f1(tp, flagged, F.col("n_pos")).alias("f1"))
-    # `steps` rows.
     place = F.row_number().over(Window.orderBy(F.col("f1").desc(), "threshold"))
     return got.withColumn("best", (place == 1).cast("int"))
 
@@ -157,9 +164,9 @@ def grid_thresholds(rows: DataFrame, steps: int = 99, cuts=CUTS) -> DataFrame:
 def precision_at_k(rows: DataFrame, ks: Sequence[int], keys: Sequence[str]) -> DataFrame:
     """hits, precision, recall, best possible and lift in the top K. Only max(ks) rows are ordered."""
     key_cols = [F.col(k) for k in keys]
-    top = (rows.select(*keys, "score", "label").orderBy(F.col("score").desc(), digest(*key_cols), *key_cols)
-           .limit(max(ks)))
-    place = F.row_number().over(Window.orderBy(F.col("score").desc(), digest(*key_cols), *key_cols))
+    order = [F.col("score").desc_nulls_last(), digest(*key_cols), *key_cols]
+    top = rows.select(*keys, known_score("score").alias("score"), "label").orderBy(*order).limit(max(ks))
+    place = F.row_number().over(Window.orderBy(*order))
     hits = top.withColumn("_r", place).agg(
         *[F.coalesce(F.sum(F.when(F.col("_r") <= k, F.col("label"))), F.lit(0)).cast("bigint").alias(str(k)) for k in ks])
     total = rows.agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum(F.col("label").cast("bigint")), F.lit(0)).alias("_p"))
@@ -174,7 +181,7 @@ def precision_at_k(rows: DataFrame, ks: Sequence[int], keys: Sequence[str]) -> D
 
 
 def precision_at_cuts(rows: DataFrame, keys: Sequence[str], fixed: Sequence[int] = (),
-                      fractions: Sequence[float] = (), at_positives: bool = False, cuts=CUTS) -> DataFrame:
+                      fractions: Sequence[float] = (), at_positives: bool = False, cuts=None) -> DataFrame:
     """The same at cuts that grow with the data: K values, shares of n, and n_pos; distinct K, ascending.
 
     Ranks come from `score_rank`, so a cut of billions of rows is never gathered.
@@ -204,12 +211,12 @@ def drive_scores(rows: DataFrame, scores: Sequence[str] = ("score",), by: Sequen
 
 
 def top_drives(drives: DataFrame, n: int = 100) -> DataFrame:
-    order = [F.col("score").desc(), digest(F.col("drive")), F.col("drive")]
+    order = [known_score("score").desc_nulls_last(), digest(F.col("drive")), F.col("drive")]
     top = drives.orderBy(*order).limit(n)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))      # n rows
 
 
-def ranking_quality(drives: DataFrame, ks: Sequence[int] = FILE_KS, cuts=CUTS) -> DataFrame:
+def ranking_quality(drives: DataFrame, ks: Sequence[int] = FILE_KS, cuts=None) -> DataFrame:
     """One row per usable K (K <= n, or n itself if none is): hits, precision; plus recall at n_pos and mean rank of failures.
 
     Empty when the truth holds one class only.
@@ -253,7 +260,7 @@ def drive_risk_histogram(verdicts: DataFrame, bins: int = 25) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-def family_breakdown(rows: DataFrame, threshold: float, cuts=CUTS, family: str = "model") -> DataFrame:
+def family_breakdown(rows: DataFrame, threshold: float, cuts=None, family: str = "model") -> DataFrame:
     """Rows, drives, positives and metrics per family; metrics are NULL where a family has one class."""
     auc = ranking_metrics(rows, by=[family], cuts=cuts)
     at = confusion(rows, threshold, by=[family], strict=True).select(F.col(family).alias("_f"), "precision", "recall")
@@ -269,11 +276,14 @@ def family_breakdown(rows: DataFrame, threshold: float, cuts=CUTS, family: str =
 
 def _mid_ranks(pairs: DataFrame, score: str, cuts) -> DataFrame:
     counts = pairs.groupBy(score).agg(F.sum("w").alias("n"))
+    if cuts is None:
+        counts = settle(counts)
+        cuts = even_cuts(counts, score)
     run = running_totals(counts, bucket_of(F.col(score), cuts), [F.col(score)], {"n": "upto"})
     return run.select(F.col(score).alias(f"_{score}"), (F.col("upto") - (F.col("n") - 1) / 2.0).alias(f"r_{score}"))
 
 
-def spearman(rows: DataFrame, a: str, b: str, cuts=CUTS) -> DataFrame:
+def spearman(rows: DataFrame, a: str, b: str, cuts=None) -> DataFrame:
     """One row: correlation of mid-ranks. Rows are first counted per score pair, so ties cost one row."""
     pairs = rows.groupBy(a, b).agg(F.count(F.lit(1)).alias("w"))
     ra, rb = _mid_ranks(pairs, a, cuts), _mid_ranks(pairs, b, cuts)
@@ -289,7 +299,7 @@ def spearman(rows: DataFrame, a: str, b: str, cuts=CUTS) -> DataFrame:
 
 
 def agreement(rows: DataFrame, threshold_a: float, threshold_b: float, a: str = "score", b: str = "score_b",
-              cuts=CUTS) -> DataFrame:
+              cuts=None) -> DataFrame:
     """One row: drives both models flag, only the first, only the second, and Spearman when n > 2."""
     fa, fb = F.col(a) >= threshold_a, F.col(b) >= threshold_b
 

@@ -102,12 +102,13 @@ def positive_rate(drives: DataFrame, spec: WindowSpec, positive_ratio: float | N
         "pos_weight", ratio(1 - F.col("measured_rate"), F.col("measured_rate")))
 
 
-def timeline_histograms(timeline: DataFrame, bins: int = 20, max_days: int = 4000) -> DataFrame:
-    """(measure, bin, n): life fraction, real days, record length, start month."""
-    binned = timeline.select(
+def timeline_histograms(timeline: DataFrame, bins: int = 20) -> DataFrame:
+    """(measure, bin, n): life fraction, real days, record length up to the longest, start month."""
+    longest = timeline.agg(F.max("n_days").alias("_longest"))                  # one row
+    binned = timeline.crossJoin(F.broadcast(longest)).select(
         bin_index(F.col("life_fraction"), 0, 1, bins).cast("string").alias("life_fraction"),
         F.col("n_real").cast("string").alias("n_real"),
-        bin_index(F.col("n_days"), 0, max_days, bins).cast("string").alias("record_days"),
+        bin_index(F.col("n_days") / F.col("_longest"), 0, 1, bins).cast("string").alias("record_days"),
         F.date_format("start_day", "yyyy-MM").alias("start_month"),
         F.date_format("end_day", "yyyy-MM").alias("end_month"))
     return (binned.unpivot([], binned.columns, "measure", "bin").groupBy("measure", "bin")

@@ -198,9 +198,13 @@ def tile_coverage(drives: DataFrame, spec: WindowSpec) -> DataFrame:
 def shuffled_tiles(drives: DataFrame, spec: WindowSpec, epoch: int = 0, block: int = 32, seed: int = SEED) -> DataFrame:
     """Tiles in a replayable per-epoch order: blocks of neighbouring drives shuffled, each kept together.
 
+    Drives with text ids have no neighbours by number; 4,096 cells of their hash are their blocks.
+
     `seq` is the 0-based place in the stream, found from per-block totals without a global sort.
     """
-    tiles = tile_windows(drives, spec).withColumn("block", F.floor(F.col("drive") / block))
+    text = dict(drives.dtypes)["drive"] == "string"
+    cell = draw("block", F.col("drive")) % 4096 if text else F.floor(F.col("drive") / block)
+    tiles = tile_windows(drives, spec).withColumn("block", cell)
     return grouped_hash_order(tiles, "block", ["drive", "start"], (seed, epoch))
 
 

@@ -12,7 +12,7 @@ from ..operators import leakage, models, ranking, timeline
 from ..operators.calendar import census, dedupe_days, densify
 from ..operators.features import window_aggregates
 from ..operators.scaling import Contract, fit_window_scaling
-from ..operators.splits import grouped_split, train_probe, whole_drive_sample
+from ..operators.splits import grouped_split, train_probe
 from ..session import settle
 from ..settings import LeakageRules, WindowSpec
 
@@ -39,13 +39,13 @@ def window_table(readings: DataFrame, split: DataFrame, spec: WindowSpec, exact:
     return scaling, feats
 
 
-def run_archive(readings: DataFrame, spec: WindowSpec, rules: LeakageRules = LeakageRules(), audit_drives: int = 15000,
+def run_archive(readings: DataFrame, spec: WindowSpec, rules: LeakageRules = LeakageRules(),
                 categorical: Sequence[str] = (), select: bool = True, exact_medians: bool = False, cover: str = "tile",
                 **boosting) -> ArchiveResult:
     """From clean readings to an evaluated model. `cover` is "tile" for archives and "stride" for cohorts
     (with `settings.cohort_spec`). The threshold is frozen on validation before test is scored."""
-    sample = whole_drive_sample(readings, audit_drives)
-    report = leakage.audit(sample, spec.attrs, categorical, rules, spec.days)
+    readings = settle(readings)                                 # read by every table of the audit and by the run
+    report = leakage.audit(readings, spec.attrs, categorical, rules, spec.days)
     if select:
         chosen = leakage.select_features(report)
         spec = replace(spec, attrs=tuple(chosen), log_attrs=tuple(a for a in spec.log_attrs if a in chosen))

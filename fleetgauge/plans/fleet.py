@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import clean_number, digest
-from ..functions.order import score_rank, unit_cuts
+from ..functions.order import score_rank
 from ..operators import ranking
 from ..operators.calendar import dedupe_days, densify
 from ..operators.features import window_aggregates
@@ -103,7 +103,7 @@ def score_fleet(df: DataFrame, contract: Contract, scorers: dict[str, tuple[Scor
     # Ranks, summaries and quality all read this table.
     table = settle(scored.select(*keep).join(about, "drive").select("*", *calls))
     primary = next(iter(scorers))
-    rows = score_rank(table, primary, [F.col("drive")], unit_cuts())
+    rows = score_rank(table, primary, [F.col("drive")])
     names = list(scorers)
     agree = None
     if len(names) > 1:

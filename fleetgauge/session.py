@@ -21,6 +21,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="fleetgauge-"))      # local runs only
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -30,15 +31,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temp folder only in local mode, as in tests."""
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder before running on a cluster")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="fleetgauge-"))
-        configured = sc.getCheckpointDir()
-    return configured.rstrip("/")
+    """The folder the cluster names in spark.checkpoint.dir, or else a part of the session's warehouse, which is shared as well."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work").rstrip("/")
 
 
 def work_folder(spark: SparkSession) -> str:

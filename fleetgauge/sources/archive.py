@@ -13,12 +13,11 @@ from pyspark.sql import types as T
 
 from ..functions.expr import clean_number
 from ..session import ship
-from ..settings import DEFAULT_SMART_IDS
 
-HEADER_BYTES = 1 << 16
+HEADER_BLOCK = 1 << 16
 
 # Raw attributes kept in an archive shard, and the identity and topology columns (fixed values).
-SHARD_SMART_IDS = tuple(sorted({*DEFAULT_SMART_IDS, 11, 183, 184, 187, 188, 190, 191, 241}))
+SHARD_SMART_IDS = (1, 3, 4, 5, 7, 9, 10, 12, 183, 184, 187, 188, 189, 190, 192, 193, 194, 197, 198, 199, 240, 241, 242)
 TOPOLOGY = ("datacenter", "cluster_id", "vault_id", "pod_id")
 
 
@@ -62,18 +61,22 @@ def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             uri = path if "://" in path else path.replace("file:", "file://", 1)
             store, name = fs.FileSystem.from_uri(uri)
             with store.open_input_stream(name) as f:
-                line = f.read(HEADER_BYTES).decode("utf-8-sig", errors="replace").split("\n", 1)[0]
+                line = b""
+                while b"\n" not in line and (more := f.read(HEADER_BLOCK)):
+                    line += more
+            line = line.split(b"\n", 1)[0].removeprefix(b"\xef\xbb\xbf").decode("latin-1")
             headers.append([c.strip() for c in next(csv.reader([line.rstrip("\r")]), [])])
         yield pd.DataFrame({"path": batch["path"], "header": headers})
 
 
-def headers_of(files: DataFrame, tasks: int = 64) -> DataFrame:
+def headers_of(files: DataFrame) -> DataFrame:
     """(path, header): the first line of each file, read inside tasks."""
-    return files.repartition(tasks).mapInPandas(_read_headers, "path string, header array<string>")
+    return files.repartition(4 * files.sparkSession.sparkContext.defaultParallelism).mapInPandas(_read_headers, "path string, header array<string>")
 
 
-def read_daily_csvs(spark: SparkSession, folder: str, wanted: Sequence[str]) -> DataFrame:
-    """All daily files as text columns named in `wanted`; a column a file lacks is NULL.
+def read_daily_csvs(spark: SparkSession, folder: str, wanted: Sequence[str], keys: Sequence[str] = ("serial_number", "date")) -> DataFrame:
+    """All daily files as text columns named in `wanted`; a column a file lacks is NULL. Files are Latin-1, and those whose
+    header lacks one of `keys` are no daily readings and are skipped.
 
     Files are grouped by header and each group is read with its own schema, because a CSV schema
     binds by position. The driver holds one path per file and one schema per distinct header.
@@ -83,10 +86,12 @@ def read_daily_csvs(spark: SparkSession, folder: str, wanted: Sequence[str]) ->
     if not groups:
         raise FileNotFoundError(f"no daily CSV under {folder}")
     parts = []
-    for g in sorted((g for g in groups if g["header"]), key=lambda g: g["header"]):
+    for g in sorted((g for g in groups if set(keys) <= set(g["header"])), key=lambda g: g["header"]):
         schema = T.StructType([T.StructField(c, T.StringType()) for c in g["header"]])
-        part = spark.read.csv(sorted(g["paths"]), header=True, schema=schema)
+        part = spark.read.csv(sorted(g["paths"]), header=True, schema=schema, encoding="ISO-8859-1")
         parts.append(part.select(*[c for c in wanted if c in g["header"]]))
+    if not parts:
+        raise FileNotFoundError(f"no daily CSV with {list(keys)} under {folder}")
     whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return whole.select(*[F.col(c) if c in whole.columns else F.lit(None).cast("string").alias(c) for c in wanted])
 
@@ -97,16 +102,18 @@ def to_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
         if f.name not in df.columns:
             value = F.lit(0) if f.name == "failure" else F.lit(None)
         elif f.name == "failure":
-            value = F.coalesce(clean_number(f.name).cast("int"), F.lit(0))
+            value = F.coalesce(F.col(f.name).try_cast(f.dataType), clean_number(f.name).try_cast(f.dataType), F.lit(0))
         elif isinstance(f.dataType, (T.DateType, T.TimestampType)):
             value = F.try_to_timestamp(F.col(f.name).cast("string"))
+        elif isinstance(f.dataType, T.IntegralType):              # straight from the text: a double would lose digits
+            value = F.coalesce(F.col(f.name).try_cast(f.dataType), clean_number(f.name).try_cast(f.dataType))
         elif isinstance(f.dataType, T.NumericType):
             value = clean_number(f.name)
         elif isinstance(f.dataType, T.BooleanType):
             value = F.col(f.name).try_cast("boolean")
         else:
             value = F.col(f.name)
-        return value.cast(f.dataType).alias(f.name)
+        return value.try_cast(f.dataType).alias(f.name)
 
     return df.select(*[one(f) for f in schema.fields])
 
@@ -116,13 +123,12 @@ def drop_keyless(df: DataFrame, keys: Sequence[str] = ("serial_number", "date"))
     return df.dropna(subset=list(keys)).withColumn(keys[0], F.col(keys[0]).cast("string"))
 
 
-def write_archive(readings: DataFrame, path: str, files_per_shard: int = 8, drive: str = "drive") -> None:
-    """One folder per `archive`, zstd, each shard cut by drive hash into at most `files_per_shard` files.
+def write_archive(readings: DataFrame, path: str, drive: str = "drive") -> None:
+    """One folder per `archive`, zstd; adaptive execution cuts a large shard into as many files as its size asks for.
 
     Only the archives present in `readings` are replaced, so a rerun of one shard leaves the rest alone.
     """
-    part = F.pmod(F.xxhash64(drive), F.lit(files_per_shard))
-    (readings.repartition("archive", part).sortWithinPartitions("archive", drive)
+    (readings.hint("rebalance", F.col("archive")).sortWithinPartitions("archive", drive)
      .write.partitionBy("archive").option("compression", "zstd")
      .option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path))
 
@@ -145,7 +151,7 @@ def read_archive(spark: SparkSession, path: str, since_year: int | None = None,
 
 def write_by_model(readings: DataFrame, path: str) -> None:
     """One table with one folder per model."""
-    (readings.repartition("model", F.pmod(F.xxhash64("drive"), F.lit(8))).write.partitionBy("model")
+    (readings.hint("rebalance", F.col("model")).write.partitionBy("model")
      .option("compression", "zstd").mode("overwrite").parquet(path))
 
 

@@ -25,12 +25,11 @@ def write_summary(one_row: DataFrame, path: str) -> None:
 
 
 def write_results(folder: str, metrics: DataFrame, verdicts: DataFrame, tables: dict[str, DataFrame],
-                  verdict_rows: int | None = None) -> None:
-    """One folder per result. `verdict_rows` limits the verdict export for spreadsheet users; the full
-    table is always written beside it."""
+                  verdict_csv: bool = False) -> None:
+    """One folder per result; with `verdict_csv` the whole verdict table once more as CSV. Pass a limited frame for a limited export."""
     write_summary(metrics, f"{folder}/summary")
     write_table(verdicts, f"{folder}/verdicts")
-    if verdict_rows is not None:
-        write_table(verdicts.limit(verdict_rows), f"{folder}/verdicts_csv", "csv")
+    if verdict_csv:
+        write_table(verdicts, f"{folder}/verdicts_csv", "csv")
     for name, df in tables.items():
         write_table(df, f"{folder}/{name}", "csv")

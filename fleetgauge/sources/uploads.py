@@ -44,47 +44,47 @@ def read_upload(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"cannot read {ext!r} files; use .csv, .txt or .parquet")
 
 
-def canonical_headers(df: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Trim and lower the headers, then rename the first alias of each missing canonical column."""
-    out, notes = df.toDF(*[c.strip().lower() for c in df.columns]), []
-    for name, accepted in ALIASES.items():
-        if name in out.columns:
-            continue
-        alias = next((a for a in accepted if a in out.columns), None)
-        if alias:
-            out = out.withColumnRenamed(alias, name)
-            notes.append(f"{alias} -> {name}")
-    return out, notes
+def resolve(columns: Sequence[str], wanted: dict[str, Sequence[Sequence[str]]], key) -> dict[str, str]:
+    """Target -> column. `wanted` lists each target's accepted names in tiers; `key` says when two names are the same.
+
+    The best tier wins, and within it the column that comes first.
+    """
+    tiers = {key(name): (target, tier) for target, names in reversed(wanted.items())
+             for tier, group in reversed(list(enumerate(names))) for name in group}
+    hits = sorted((tiers[key(c)][1], at, c) for at, c in enumerate(columns) if key(c) in tiers)
+    return {tiers[key(c)][0]: c for _, _, c in reversed(hits)}
 
 
-def squeeze(name: str) -> str:
-    """Header text reduced to its letters and digits."""
-    return re.sub("[^a-z0-9]", "", name.lower())
+def trimmed(name: str) -> str:
+    return name.strip().lower()
 
 
-_BY_TOOL_NAME = {squeeze(k): f"smart_{n}_raw" for k, n in TOOL_NAMES.items()}
+def bare(name: str) -> str:
+    """Only letters and digits, in lower case."""
+    return "".join(c for c in name.lower() if c.isascii() and c.isalnum())
+
+
+def canonical_headers(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Headers trimmed and in lower case, accepted ones under their canonical name; and what was renamed."""
+    out = df.toDF(*map(trimmed, df.columns))
+    found = resolve(out.columns, {target: [(name,) for name in names] for target, names in ALIASES.items()}, trimmed)
+    changed = {found[target]: target for target in ALIASES if found.get(target, target) != target}
+    return out.withColumnsRenamed(changed), [f"{old} -> {new}" for old, new in changed.items()]
 
 
 def _pick(columns: Sequence[str], accepted: Sequence[str], what: str) -> str:
-    for want in accepted:
-        for c in columns:
-            if squeeze(c) == squeeze(want):
-                return c
-    raise ValueError(f"no {what} column among {list(columns)}")
+    found = resolve(columns, {what: [(name,) for name in accepted]}, bare)
+    if not found:
+        raise ValueError(f"no {what} column among {list(columns)}")
+    return found[what]
 
 
 def attribute_columns(columns: Sequence[str], taken: Sequence[str]) -> dict[str, str]:
-    """Attribute -> source column. A canonical name always claims its place; else the first tool name does."""
-    found: dict[str, str] = {}
-    for c in columns:
-        plain = c.strip().lower()
-        if c in taken:
-            continue
-        if re.fullmatch(r"smart_\d+_raw", plain):
-            found[plain] = c
-        elif squeeze(c) in _BY_TOOL_NAME:
-            found.setdefault(_BY_TOOL_NAME[squeeze(c)], c)
-    return dict(sorted(found.items(), key=lambda kv: int(kv[0].split("_")[1])))
+    """Attribute -> source column, by number. An attribute's own name comes before the names that tools print."""
+    numbers = {*TOOL_NAMES.values(), *(int(m[1]) for c in columns if (m := re.fullmatch(r"smart_(\d+)_raw", trimmed(c))))}
+    wanted = {f"smart_{n}_raw": [(f"smart_{n}_raw",), [t for t, k in TOOL_NAMES.items() if k == n]] for n in sorted(numbers)}
+    found = resolve([c for c in columns if c not in taken], wanted, bare)
+    return {name: found[name] for name in wanted if name in found}
 
 
 def convert_log(df: DataFrame, order_by: Sequence[str], id_column: str | None = None, date_column: str | None = None,
@@ -98,7 +98,7 @@ def convert_log(df: DataFrame, order_by: Sequence[str], id_column: str | None =
         raise ValueError(f"unknown aggregate {aggregate!r}")
     date = date_column or _pick(df.columns, DATE_HEADERS, "timestamp")
     ident = id_column or _pick(df.columns, ID_HEADERS, "drive identity")
-    extras = {n: c for n in ("model", "failure") for c in df.columns if squeeze(c) == n}
+    extras = {n: c for n in ("model", "failure") for c in df.columns if bare(c) == n}
     attrs = attribute_columns(df.columns, (date, ident))
     when = F.col(date) if isinstance(df.schema[date].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)) \
         else F.try_to_timestamp(F.col(date).cast("string"))

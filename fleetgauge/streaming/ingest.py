@@ -45,7 +45,7 @@ def upsert_days(batch: DataFrame, table: str, tiebreak: Sequence[str] = ()) -> N
     if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         old = spark.read.schema(fresh.schema).parquet(table).where(F.col("day").isin(days))
         fresh = upsert(old.select(*fresh.columns), fresh)
-    (settle(fresh).repartition("day").write.partitionBy("day").option("partitionOverwriteMode", "dynamic")
+    (settle(fresh).hint("rebalance", F.col("day")).write.partitionBy("day").option("partitionOverwriteMode", "dynamic")
      .mode("overwrite").parquet(table))
 
 

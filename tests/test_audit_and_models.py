@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fleetgauge.catalog import views as V
 from fleetgauge.operators import experiments as ex
 from fleetgauge.operators import explain, leakage, models, ranking
-from fleetgauge.settings import LeakageRules, OverfitRule
+from fleetgauge.settings import LeakageRules
 
 
 def test_a_restated_label_is_severe(spark):
@@ -61,7 +61,7 @@ def test_early_stop_and_divergence(spark):
     assert ex.divergence(df.where("epoch < 5"), "pr_auc").first().divergence_epoch is None
     worse = spark.createDataFrame([("r", i + 1, t, v) for i, (t, v) in enumerate(zip([.1, .2, .3, .4, .5], [.1, .5, .4, .3, .2]))], df.schema)
     assert ex.divergence(worse, "pr_auc").first().divergence_epoch == 3
-    assert ex.divergence(worse, "pr_auc", OverfitRule(min_consecutive=4)).first().divergence_epoch is None
+    assert ex.divergence(worse, "pr_auc", 4).first().divergence_epoch is None
 
 
 def test_gap_reasons(spark):

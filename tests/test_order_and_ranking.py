@@ -40,7 +40,7 @@ def roc_auc(rows):
     return sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
 
 
-@pytest.mark.parametrize("cuts", [64, [0.1, 0.5, 0.90005], []])
+@pytest.mark.parametrize("cuts", [None, [i / 64 for i in range(1, 64)], [0.1, 0.5, 0.90005], []])
 def test_ranking_metrics(scored, rows, cuts):
     got = rk.ranking_metrics(scored, cuts=cuts).first()
     assert got.roc_auc == pytest.approx(roc_auc(rows)) and got.pr_auc == pytest.approx(average_precision(rows))
@@ -59,7 +59,7 @@ def test_split_points_balance_values_not_rows(scored, rows):
 
 
 def test_score_rank_is_a_permutation_in_score_order(scored, rows):
-    ranked = sorted((r["rank"], r.score) for r in order.score_rank(scored, "score", [F.col("drive")], 64).collect())
+    ranked = sorted((r["rank"], r.score) for r in order.score_rank(scored, "score", [F.col("drive")], [0.2, 0.5]).collect())
     assert [k for k, _ in ranked] == list(range(1, len(rows) + 1))
     assert [s for _, s in ranked] == sorted((s for _, s, _ in rows), reverse=True)
 
@@ -81,7 +81,7 @@ def test_cut_and_uncut_orders_agree(scored, monkeypatch):
     from fleetgauge.operators import leakage
     whole = sorted(map(str, leakage.audit_numeric(scored, ["score", "drive"], "label").collect()))
     mid = order.exact_quantiles(scored, ["score", "drive"], [0.3, 0.5]).collect()
-    monkeypatch.setattr(order, "ONE_TASK_ROWS", 5)
+    monkeypatch.setattr(order, "BUCKET_VALUES", 5)
     cut = leakage.audit_numeric(scored, ["score", "drive"], "label")
     assert sorted(map(str, cut.collect())) == whole
     assert sorted(order.exact_quantiles(scored, ["score", "drive"], [0.3, 0.5]).collect()) == sorted(mid)
@@ -133,3 +133,28 @@ def test_no_single_partition_window_over_rows(scored):
     plan = rk.ranking_metrics(scored)._jdf.queryExecution().executedPlan().toString()
     singles = [line for line in plan.splitlines() if "Exchange SinglePartition" in line]
     assert len(singles) <= 2            # the bucket offsets, and the final one-row aggregate
+
+
+def test_cuts_follow_the_scores(spark, monkeypatch):
+    """Scores crowded near 0: no bucket holds over twice its share of the distinct ones."""
+    monkeypatch.setattr(order, "BUCKET_VALUES", 50)
+    counts = spark.range(1000).select((F.col("id") * F.col("id") / 2.5e8).alias("score"))
+    cuts = order.even_cuts(counts, "score")
+    sizes = [r["count"] for r in counts.groupBy(order.bucket_of(F.col("score"), cuts).alias("b")).count().collect()]
+    assert len(cuts) == 19 and sum(sizes) == 1000 and max(sizes) <= 100
+
+
+def test_no_score_ranks_last(spark, monkeypatch):
+    nan = float("nan")
+    for values in (1, 200_000):
+        monkeypatch.setattr(order, "BUCKET_VALUES", values)
+        rows = spark.createDataFrame([(i, s, int(i % 2)) for i, s in enumerate([0.5, None, nan, 7.0, -3.0, 0.5, None, 0.001])], "drive long, score double, label int")
+        ranks = {r.drive: r["rank"] for r in order.score_rank(rows, "score", [F.col("drive")]).collect()}
+        assert sorted(ranks.values()) == list(range(1, 9)) and ranks[3] == 1 and ranks[4] == 5 and {ranks[1], ranks[2], ranks[6]} == {6, 7, 8}
+        top = rk.precision_at_k(rows, [1, 8], ["drive"]).orderBy("k").collect()
+        assert top[0].hits == 1 and top[1].hits == 4
+        got = rk.ranking_metrics(rows).first()
+        same = rk.ranking_metrics(rows.withColumn("score", F.coalesce(order.known_score("score"), F.lit(-9.0)))).first()
+        assert got == same and got.n == 8
+        flat = rk.ranking_metrics(rows.withColumn("score", F.lit(0.3))).first()
+        assert flat.roc_auc == 0.5

@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetgauge.operators import windows
 from fleetgauge.operators.splits import grouped_split, split_integrity
+from fleetgauge.settings import WindowSpec
 from fleetgauge.sources import archive, uploads
 from fleetgauge.streaming import history, ingest
 
@@ -138,3 +140,37 @@ def test_history_keeps_sixty_days(spark, tmp_path):
         ingest.run_available(out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ck))
     late = spark.read.parquet(sink).where(F.col("a") == 500.0).first()
     assert late.a_delta7 is None          # day 15 had been forgotten
+
+
+def test_schema_survives_bad_values(spark):
+    df = spark.createDataFrame([("1e30", "300", "9007199254740993", "x"), ("5.0", "1", "12", "7")], "capacity_bytes string, failure string, pod_id string, smart_1 string")
+    got = archive.to_schema(df, archive.export_schema(["smart_1"])).select("capacity_bytes", "failure", "pod_id", "smart_1").collect()
+    assert [tuple(r) for r in got] == [(None, 0, 9007199254740993, None), (5, 1, 12, 7.0)]
+    assert len(archive.SHARD_SMART_IDS) == 23 and {189, 242} <= set(archive.SHARD_SMART_IDS)
+    assert archive.to_schema(df, archive.shard_schema()).count() == 2
+
+
+def test_daily_files_long_header_latin_and_stray(spark, tmp_path):
+    filler = ",".join(f"extra_{i:05d}" for i in range(9000))
+    (tmp_path / "a.csv").write_bytes(("date,serial_number,model," + filler + ",last\n2024-01-01,Z1,Modèle," + "," * 8999 + ",9\n").encode("latin-1"))
+    (tmp_path / "b.csv").write_text("date,serial_number,model\n2024-01-02,Z2,M\n")
+    (tmp_path / "notes.csv").write_text("what,ever\n1,2\n")
+    got = archive.read_daily_csvs(spark, str(tmp_path), ["serial_number", "model", "last"]).collect()
+    assert sorted(map(tuple, got), key=str) == [("Z1", "Modèle", "9"), ("Z2", "M", None)]
+
+
+def test_a_one_day_batch_is_written_by_several_tasks(spark, tmp_path):
+    day = dt.date(2024, 1, 1)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8k")
+    try:
+        batch = spark.range(20_000).select(F.col("id").alias("drive"), F.lit(day).alias("day"), F.rand(1).alias("a"), F.lit(0).alias("failure"))
+        ingest.upsert_days(batch, str(tmp_path / "t"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list((tmp_path / "t" / "day=2024-01-01").glob("*.parquet"))) > 1
+
+
+def test_tiles_of_text_drives(spark):
+    drives = spark.createDataFrame([("ZA1", 70, []), ("ZB2", 45, [40]), ("ZC3", 30, [])], "drive string, n_days int, fail_pos array<int>")
+    got = windows.shuffled_tiles(drives, WindowSpec(attrs=("a",)), epoch=1).collect()
+    assert sorted(r.seq for r in got) == list(range(len(got))) and {r.drive for r in got} == {"ZA1", "ZB2", "ZC3"}
