@@ -46,7 +46,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch, int], p
     def run(batches):
         work = make()
         for batch in batches:
-            yield work(batch, at)
+            for start in range(0, batch.num_rows, 500):
+                yield work(batch.slice(start, 500), at)
 
     schema = StructType([StructField(n, f.dataType, True) for n, f in zip(numbered, df.schema)])
     return df.toDF(*numbered).mapInArrow(run, schema).toDF(*df.columns)

@@ -28,7 +28,7 @@ from fleetgauge.session import settle, ship
 
 from .common import per_batch, pick, worker_memo
 
-MEMO = 250_000
+MEMO = 150_000
 BUCKET_ROWS = 500
 # Texts of these characters only are cut into words here; they are in composed form, and lower-casing maps one to one.
 SLOW = re.compile(r"[^\t-\r\x20-\x7eÀ-ÖØ-öø-ÿ]|<\|")
