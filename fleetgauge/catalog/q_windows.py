@@ -298,7 +298,7 @@ def _(spark, d):
                GROUP BY w.drive, w.start),
        lab AS (SELECT m.*, {label_sql(SS, "m")} AS label FROM met m)
        SELECT *, 30 - n_real AS n_filled, 0 AS n_padded,
-              CASE WHEN label = 1 THEN (SELECT min(f.f) FROM fails f WHERE f.drive = lab.drive) - start ELSE -1 END
+              CASE WHEN label = 1 THEN (SELECT min(f.f) FROM fails f WHERE f.drive = lab.drive AND f.f >= lab.start) - start ELSE -1 END
                 AS failure_offset FROM lab""")
 def _(spark, d):
     days = supply_days(spark, d)

@@ -165,7 +165,7 @@ def window_days(windows: DataFrame, dense: DataFrame, spec: WindowSpec, cols: li
 
 
 def window_metadata(windows: DataFrame, dense: DataFrame, spec: WindowSpec) -> DataFrame:
-    """Dates, real / filled / padded day counts and the first failure's offset per window.
+    """Dates, real / filled / padded day counts and the offset of the first failure at or after the start, per window.
 
     The real-day count is a difference of two running counts read at the window's ends, so a
     window costs two lookups instead of `days` rows.
@@ -181,7 +181,7 @@ def window_metadata(windows: DataFrame, dense: DataFrame, spec: WindowSpec) -> D
     real = look.groupBy(*keys, "fail_pos", "_last").agg(
         F.sum(F.col("e.sign") * F.coalesce(F.col("seen"), F.lit(0))).cast("bigint").alias("n_real"))
     take = F.col("_last") - F.col("start") + 1
-    offset = F.when(F.col("label") == 1, F.element_at("fail_pos", 1) - F.col("start")).otherwise(F.lit(-1))
+    offset = F.when(F.col("label") == 1, F.array_min(F.filter("fail_pos", lambda f: f >= F.col("start"))) - F.col("start")).otherwise(F.lit(-1))
     return window_dates(real, spec).select(
         *keys, "start_day", "end_day", "n_real", (take - F.col("n_real")).alias("n_filled"),
         (F.lit(spec.days) - take).alias("n_padded"), offset.alias("failure_offset"))

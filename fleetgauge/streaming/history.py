@@ -1,6 +1,6 @@
 """Per-drive history kept in stream state: today's reading against the one about a week before.
 
-State is a map from day to values, trimmed to the newest `KEEP` days, so a drive's state is bounded
+State is a map from day to values, trimmed to the newest `keep` days, so a drive's state is bounded
 whatever its age. A same-day reading replaces the stored one and late days are accepted.
 """
 
@@ -24,8 +24,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class DriveHistory(StatefulProcessor):
-    def __init__(self, attrs: Sequence[str], days_ago: int, slack: int):
-        self.attrs, self.days_ago, self.slack = list(attrs), days_ago, slack
+    def __init__(self, attrs: Sequence[str], days_ago: int, slack: int, keep: int):
+        self.attrs, self.days_ago, self.slack, self.keep = list(attrs), days_ago, slack, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         value = T.StructType([T.StructField(a, T.DoubleType()) for a in self.attrs])
@@ -54,7 +54,7 @@ class DriveHistory(StatefulProcessor):
                 out.append((drive, r.day, None if at is None else EPOCH + dt.timedelta(days=at), *now, *delta))
                 self.days.updateValue((n,), tuple(now))
                 stored.add(n)
-                while len(stored) > KEEP:
+                while len(stored) > self.keep:
                     oldest = min(stored)
                     self.days.removeKey((oldest,))
                     stored.discard(oldest)
@@ -67,11 +67,12 @@ class DriveHistory(StatefulProcessor):
         pass
 
 
-def history_deltas(readings: DataFrame, attrs: Sequence[str], days_ago: int = 7, slack: int = 1) -> DataFrame:
+def history_deltas(readings: DataFrame, attrs: Sequence[str], days_ago: int = 7, slack: int = 1,
+                   keep: int = KEEP) -> DataFrame:
     """Stream of (drive, day, prior_day, attributes, deltas) from a stream of drive, day, seq, attributes."""
     spark: SparkSession = readings.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    proc = DriveHistory(attrs, days_ago, slack)
+    proc = DriveHistory(attrs, days_ago, slack, keep)
     rows = readings.select("drive", "day", "seq", *[F.col(a).cast("double").alias(a) for a in attrs])
     schema = T.StructType([T.StructField("drive", readings.schema["drive"].dataType), T.StructField("day", T.DateType()),
                            T.StructField("prior_day", T.DateType())]

@@ -161,3 +161,12 @@ def test_one_exchange_on_drive(spark, fleet):
     """Calendar, differences and window features all reuse the partitioning of one shuffle."""
     plan = features.window_aggregates(cal.densify(fleet, SPEC), SPEC)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(drive") == 1 and "SortAggregate" not in plan
+
+
+def test_failure_offset_with_two_failures(spark):
+    days = frame(spark, [(1, n, int(n in (2, 17)), 1.0) for n in range(20)])
+    wins = windows.enumerate_windows(cal.census(days), SPEC)
+    got = windows.window_metadata(wins, cal.densify(days, SPEC, diffs=False), SPEC).collect()
+    want = {n: next((f - n for f in (2, 17) if n <= f <= n + SPEC.reach), -1) for n in (r.start for r in got)}
+    assert {r.start: r.failure_offset for r in got} == want
+    assert want[15] == 2 and want[3] == -1
