@@ -165,8 +165,12 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 
 
 def numbered(cut: DataFrame, histogram: dict[int, int]) -> DataFrame:
-    """Number the pieces of each length from 0: count by salted bucket, add up the buckets before, number inside the bucket."""
-    salts = F.greatest(F.lit(1), F.ceil(F.col("total") / BUCKET_ROWS))
+    """Number the pieces of each length from 0: count by salted bucket, add up the buckets before, number inside the bucket.
+
+    A bucket holds some BUCKET_ROWS pieces, or the root of their number where that is more, so that neither a bucket nor the
+    list of a length's buckets outgrows a task.
+    """
+    salts = F.greatest(F.lit(1), F.ceil(F.col("total") / F.greatest(F.lit(float(BUCKET_ROWS)), F.sqrt("total"))))
     totals = cut.sparkSession.createDataFrame(sorted(histogram.items()), "length bigint, total bigint")
     salted = (cut.join(F.broadcast(totals), "length")                                    # at most `capacity` rows
               .withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), salts)))
