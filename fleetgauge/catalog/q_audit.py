@@ -332,9 +332,9 @@ def _(spark, d):
 
 
 @query("l13_top_auc", "column:s auc_directional:r",
-       f"""{NUM_SQL} SELECT * FROM num ORDER BY auc_directional DESC NULLS LAST, "column" LIMIT 5""")
+       f"""{NUM_SQL} SELECT * FROM num ORDER BY auc_directional DESC NULLS LAST, "column" LIMIT 12""")
 def _(spark, d):
-    return leakage.ranked_view(numeric_report(spark, d), "auc_directional", 5)
+    return leakage.ranked_view(numeric_report(spark, d), "auc_directional", 12)
 
 
 @query("l13_top_missing_gap", "column:s missing_gap:r",
@@ -343,6 +343,12 @@ def _(spark, d):
     return leakage.ranked_view(numeric_report(spark, d), "missing_gap", 6, absolute=True)
 
 
+@query("l13_top_lift", "column:s max_lift:r",
+       f"""{CAT_SQL} SELECT * FROM cat ORDER BY max_lift DESC NULLS LAST, "column" LIMIT 12""")
+def _(spark, d):
+    return leakage.ranked_view(categorical_report(spark, d), "max_lift", 12)
+
+
 @query("l14_flagged", "column:s verdict:s level:s auc_directional:r",
        f"""{NUM_SQL}, {_GEO}, per AS (SELECT drive, max(failure) AS failure, {", ".join(f"max({c}) AS {c}" for c in leakage.DRIVE_PROBES)}
             FROM geo GROUP BY drive),

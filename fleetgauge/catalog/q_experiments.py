@@ -90,7 +90,9 @@ best AS (SELECT variation, epoch AS best_epoch FROM (SELECT variation, epoch, ro
 run AS (SELECT f.variation, best_epoch, count(*) AS epochs_run, max(epoch) AS stopped_epoch,
           min(epoch) FILTER (WHERE overfit_flag = 1) AS first_flagged_epoch, sum(overfit_flag) AS n_flagged_epochs,
           max(overfit_flag) FILTER (WHERE epoch = best_epoch) AS flagged_at_best,
-          arg_max(overfit_flag, epoch) AS flagged_at_stop,
+          arg_max(overfit_flag, epoch) AS flagged_at_stop, arg_max(overfit_reasons, epoch) AS reasons_at_stop,
+          max(overfit_reasons) FILTER (WHERE epoch = best_epoch) AS reasons_at_best,
+          arg_max(CASE WHEN val_pr_auc > 0.5 THEN 'target reached' ELSE 'epochs used up' END, epoch) AS stop_reason,
           max(pr_auc_gap_pct) FILTER (WHERE epoch = best_epoch) AS pr_auc_gap_pct_at_best,
           max(loss_gap_pct) FILTER (WHERE epoch = (SELECT max(epoch) FROM ep z WHERE z.variation = f.variation)) AS loss_gap_pct_at_stop
         FROM fl f JOIN best ON best.variation = f.variation GROUP BY f.variation, best_epoch),
@@ -103,10 +105,12 @@ diag AS (SELECT *, CASE divergence_epoch WHEN e1 THEN 'pr_auc' WHEN e2 THEN 'roc
 
 
 @query("e24_diagnostics", "variation:i best_epoch:i epochs_run:i stopped_epoch:i first_flagged_epoch:i n_flagged_epochs:i flagged_at_best:i "
-       "flagged_at_stop:i pr_auc_gap_pct_at_best:r loss_gap_pct_at_stop:r divergence_epoch:i divergence_metric:s status:s",
+       "flagged_at_stop:i pr_auc_gap_pct_at_best:r loss_gap_pct_at_stop:r divergence_epoch:i divergence_metric:s status:s "
+       "reasons_at_best:s reasons_at_stop:s stop_reason:s",
        f"{WITH}, {_DIAG} SELECT * FROM diag")
 def _(spark, d):
-    return ex.diagnose(epochs(spark, d))
+    reason = F.when(F.col("val_pr_auc") > 0.5, "target reached").otherwise("epochs used up")
+    return ex.diagnose(epochs(spark, d).withColumn("stop_reason", reason))
 
 
 @query("e25_early_stop", "variation:i best_epoch:i stop_epoch:i",

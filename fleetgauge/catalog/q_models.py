@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import numpy as np
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import calendar as cal
@@ -18,9 +20,9 @@ from ..session import settle, work_folder
 from ..settings import WindowSpec, cohort_spec
 from .base import query
 from .q_rows import _scaled_sql, _stats_sql
-from .q_timeline import split_drives
+from .q_timeline import BASE, split_drives
 from .views import (EVENT_SPEC, EVENTS_SQL, SUPPLY_SPEC, SUPPLY_SQL, aggregate_sql, dense_sql, events_days, supply_days,
-                    supply_dense, tiles_sql)
+                    label_sql, supply_dense, tiles_sql)
 
 SS = SUPPLY_SPEC
 FEATS = [f"{c}__{a}" for a in ("last", "mean", "max", "delta") for c in ("q", "n")] + ["n_real"]
@@ -49,6 +51,41 @@ def _(spark, d):
     return ranking.ranking_metrics(models.probability(fit.model, p["test"])).withColumn("best_round", F.lit(fit.best_round))
 
 
+# What SQL can say about a fitted model: which windows it is tested on, and what must hold on each of them.
+_TESTED = f"""{BASE}, {tiles_sql(SS)}, tested AS (SELECT t.drive, t.start, {label_sql(SS, "t")} AS label
+FROM tiles t JOIN split s ON s.drive = t.drive WHERE s.split = 'test')"""
+
+
+@query("m1_test_windows", "n:i n_pos:i round_in_range:i",
+       f"{_TESTED} SELECT count(*) AS n, sum(label) AS n_pos, 1 AS round_in_range FROM tested")
+def _(spark, d):
+    fit, p = boosted(spark, d)
+    tested = ranking.ranking_metrics(models.probability(fit.model, p["test"]))
+    return tested.withColumn("round_in_range", F.lit(1 <= fit.best_round <= SMALL["rounds"]).cast("int"))
+
+
+@query("m8_saved_scores_same", "drive:i start:i label:i same:i", f"{_TESTED} SELECT *, 1 AS same FROM tested")
+def _(spark, d):
+    fit, p = boosted(spark, d)
+    path = f"{work_folder(spark)}/model"
+    fit.model.save(path)
+    both = models.probability(PipelineModel.load(path), models.probability(fit.model, p["test"], "live"))
+    in_unit = F.col("score").between(0, 1) & (F.col("score") == F.col("live"))
+    return both.withColumn("same", in_unit.cast("int"))
+
+
+@query("m9_contributions_add_up", "drive:i start:i adds_up:i", f"{_TESTED} SELECT drive, start, 1 AS adds_up FROM tested")
+def _(spark, d):
+    fit, p = boosted(spark, d)
+    gbt, keys = fit.model.stages[-1], ["drive", "start"]
+    told = explain.explain_rows(p["test"], gbt, FEATS, keys, top=len(FEATS)).groupBy(*keys).agg(F.sum("contribution").alias("told"))
+    _, base = explain.contributions(np.zeros((1, len(FEATS))), explain.ensemble_paths(gbt))
+    margin = fit.model.transform(p["test"]).select(*keys, vector_to_array("rawPrediction")[1].alias("margin"))
+    off = F.abs(F.coalesce("told", F.lit(0.0)) + F.lit(float(base)) - F.col("margin"))
+    # Contributions of up to 1e-6 are left out of the explanation.
+    return margin.join(told, keys, "left").withColumn("adds_up", (off < 1e-6 * (len(FEATS) + 1)).cast("int"))
+
+
 @query("e35_round_history", "epoch:i train_pr_auc:r val_pr_auc:r train_roc_auc:r val_roc_auc:r train_loss:r val_loss:r "
        "pr_auc_gap_pct:r overfit_flag:i overfit_reasons:s")
 def _(spark, d):
@@ -143,6 +180,12 @@ def _(spark, d):
     return run_archive(supply_days(spark, d), spec, **SMALL).metrics
 
 
+@query("plan_archive_counts", "n:i n_pos:i", f"{_TESTED} SELECT count(*) AS n, sum(label) AS n_pos FROM tested")
+def _(spark, d):
+    done = run_archive(supply_days(spark, d), replace(SS, attrs=("n", "disc"), lags=(7,)), **SMALL).metrics
+    return done.select((F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n"), (F.col("tp") + F.col("fn")).alias("n_pos"))
+
+
 @query("plan_cohort_run", "tp:i fp:i fn:i tn:i precision:r recall:r f1:r roc_auc:r pr_auc:r")
 def _(spark, d):
     spec = cohort_spec(("n", "disc"), horizon=30, stride=30, lags=(7,))

@@ -8,6 +8,7 @@ from ..operators import calendar as cal
 from ..operators import rowlevel as rl
 from ..operators import scaling as sc
 from ..functions.expr import pair_corr
+from ..session import work_folder
 from .base import corr_sql, query
 from .q_timeline import BASE, split_drives
 from .views import (DRIVE_SCORES_SQL, EVENTS_SQL, SCORED_SQL, SUPPLY_SPEC, SUPPLY_SQL, events_days, scored_windows,
@@ -212,7 +213,8 @@ _CH = " ".join(f"{c}:r" for c in SS.channels)
 
 
 @query("x5_scaled_channels", f"drive:i pos:i {_CH}",
-       f"{BASE}, {_TRAIN} SELECT drive, pos, {_scaled_sql('chan', SS.channels)} FROM chan")
+       f"""{BASE}, {_TRAIN}, wide AS MATERIALIZED (SELECT {", ".join(f"max({s}) FILTER (WHERE channel = '{c}') AS {s}_{c}" for c in SS.channels for s in ("median", "mean", "std"))} FROM stats)
+       SELECT drive, pos, {", ".join(f"(coalesce(CAST(chan.{c} AS DOUBLE), median_{c}) - mean_{c}) / std_{c} AS {c}" for c in SS.channels)} FROM chan, wide""")
 def _(spark, d):
     return window_scaling(spark, d).apply(supply_channels(spark, d))
 
@@ -232,6 +234,8 @@ def _(spark, d):
 @query("x8_contract_round_trip", "channel:s median:r mean:r std:r", f"{BASE}, {_TRAIN} SELECT * FROM stats")
 def _(spark, d):
     contract = sc.Contract(SS, window_scaling(spark, d), 0.35)
+    folder = work_folder(spark)
     for dialect in ("archive", "cohort"):
-        contract = sc.Contract.from_json(contract.to_json(dialect))
+        sc.save_contract(spark, contract, f"{folder}/{dialect}", dialect)
+        contract = sc.load_contract(spark, f"{folder}/{dialect}")
     return contract.scaling.table(spark)

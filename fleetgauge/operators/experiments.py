@@ -88,7 +88,10 @@ def overfit_status(flagged_at_best: Column, n_flagged: Column, divergence_epoch:
 
 def diagnose(epochs: DataFrame, select_by: str = "pr_auc", limits: Sequence[tuple] = OVERFIT_LIMITS,
              run: int = DIVERGING_EPOCHS) -> DataFrame:
-    """One row per run: best, last and first flagged epoch, divergence, gaps at the best and last epoch, status."""
+    """One row per run: best, last and first flagged epoch, divergence, gaps and reasons at the best and last epoch, status.
+
+    A column `stop_reason` of the last epoch is handed on; without one it is empty.
+    """
     flagged = epochs if "overfit_flag" in epochs.columns else with_gaps(epochs, limits)
     have = [m for m in MORE_IS_BETTER if f"{m}_gap_pct" in flagged.columns]
     rows = _divergence_starts(flagged, have, run)
@@ -104,6 +107,7 @@ def diagnose(epochs: DataFrame, select_by: str = "pr_auc", limits: Sequence[tupl
         F.max(F.when(at_last, F.col("overfit_flag"))).alias("flagged_at_stop"),
         F.max(F.when(at_best, F.col("overfit_reasons"))).alias("reasons_at_best"),
         F.max(F.when(at_last, F.col("overfit_reasons"))).alias("reasons_at_stop"),
+        F.max(F.when(at_last, F.col("stop_reason") if "stop_reason" in rows.columns else F.lit(""))).alias("stop_reason"),
         *[F.min(f"_div_{m}").alias(f"divergence_epoch_{m}") for m in have],
         *[F.max(F.when(at_best, F.col(f"{m}_gap_pct"))).alias(f"{m}_gap_pct_at_best") for m in have],
         *[F.max(F.when(at_last, F.col(f"{m}_gap_pct"))).alias(f"{m}_gap_pct_at_stop") for m in have])

@@ -19,16 +19,12 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expr import unit_draw
 from ..session import settle
 from ..settings import OVERFIT_LIMITS, SEED
 from .experiments import with_gaps
 from .explain import staged_scores
 from .ranking import confusion, ranking_metrics
 
-# Full-size training settings (fixed values); queries and tests pass smaller ones.
-BOOSTING = dict(rounds=3000, step=0.05, depth=8, min_child=5, subsample=0.8, patience=100)
-
 
 def assembler(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
@@ -80,7 +76,7 @@ def round_history(gbt, features: Sequence[str], train: DataFrame, val: DataFrame
 def fit_boosted(train: DataFrame, val: DataFrame, features: Sequence[str], rounds: int = 3000, step: float = 0.05,
                 depth: int = 8, min_child: int = 5, subsample: float = 0.8, patience: int = 100, every: int = 10,
                 weight: str | None = None, probe: DataFrame | None = None, seed: int = SEED) -> BoostedFit:
-    """Boosted trees; the number of rounds is the prefix with the best validation PR-AUC.
+    """Boosted trees; the number of rounds is the prefix with the best validation PR-AUC. The defaults are the full-size settings.
 
     The loss-based stop of the trainer would favour another count, so the prefix is chosen here and
     the model refitted to it (same seed, so the same trees). `patience` rounds without a gain end the scan.
@@ -234,7 +230,3 @@ def batch_scorer(predict: Callable[[pd.DataFrame], "pd.Series"], features: Seque
         return rows.mapInPandas(run, f"{schema}, `{out}` double")
 
     return score
-
-
-def replayable_subsample(rows: DataFrame, share: float, keys: Sequence[str], seed: int = SEED) -> DataFrame:
-    return rows.where(unit_draw(F.lit(seed), *[F.col(k) for k in keys]) < share)

@@ -29,12 +29,26 @@ def fleet_summary(readings: DataFrame) -> DataFrame:
     return got.withColumn("failed_drive_pct", F.round(100 * F.col("failed_drives") / F.col("drives"), 1))
 
 
-def attribute_coverage(readings: DataFrame, attrs: Sequence[str]) -> DataFrame:
-    """Per attribute: coverage %, distinct values, usable (>= 50 % and not constant), constant."""
+def attribute_coverage(readings: DataFrame, attrs: Sequence[str], rsd: float | None = None) -> DataFrame:
+    """Per attribute: coverage %, distinct values, usable (>= 50 % and not constant), constant.
+
+    Distinct values are exact, which shuffles one row per value; with `rsd` they are sketched to that relative error instead.
+    """
+    if rsd is not None:
+        facts = [f(a).alias(f"{tag}_{a}") for a in attrs for tag, f in
+                 (("n", F.count), ("d", lambda a: F.approx_count_distinct(a, rsd)))]
+        wide = readings.agg(F.count(F.lit(1)).alias("rows"), *facts)                                        # one row
+        each = F.array(*[F.struct(F.lit(a).alias("attribute"), F.round(100 * ratio(F.col(f"n_{a}"), F.col("rows")), 1).alias("coverage_pct"),
+                                  F.col(f"d_{a}").alias("distinct_values")) for a in attrs])
+        return _usable(wide.select(F.inline(each)))
     counts = long_form(readings, attrs).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     got = counts.groupBy(F.col("column").alias("attribute")).agg(
         F.round(100 * F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)) / F.sum("n"), 1)
         .alias("coverage_pct"), F.count("value").alias("distinct_values"))
+    return _usable(got)
+
+
+def _usable(got: DataFrame) -> DataFrame:
     covered = F.col("coverage_pct") >= 50
     return (got.withColumn("usable", (covered & (F.col("distinct_values") > 1)).cast("int"))
             .withColumn("constant", (covered & (F.col("distinct_values") <= 1)).cast("int")))

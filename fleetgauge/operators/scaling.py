@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,28 +58,31 @@ class Scaling:
 def fit_scaling(rows: DataFrame, channels: Sequence[str], exact: bool = True) -> Scaling:
     """Fit on training rows: median (0 if all null), then mean and population std of the imputed values.
 
-    `exact=False` takes one-pass quantile sketches instead of exact medians; that is the choice for
-    hundreds of billions of rows. `observed` is left as it is. Only the statistics reach the driver.
+    The imputed moments follow from those of the readings that are there and from how many are not, so `exact=False`, which
+    sketches the medians, is one pass over the rows; that is the choice for hundreds of billions of them. `observed` is left
+    as it is. Only the statistics reach the driver.
     """
     fitted = [c for c in channels if c != OBSERVED]
-    rows = settle(rows.select(*[F.col(c).cast("double").alias(c) for c in fitted]))     # two or three passes
+    rows = rows.select(*[F.col(c).cast("double").alias(c) for c in fitted])
+    facts = [f(c).alias(f"{tag}_{c}") for c in fitted for tag, f in (("n", F.count), ("mean", F.avg), ("var", F.var_pop))]
     if exact:
-        got = exact_quantiles(rows, fitted, [0.5]).collect()
-        medians = {r["column"]: r["value"] for r in got}
+        rows = settle(rows)                                     # the medians and the moments read it
+        medians = {r["column"]: r["value"] for r in exact_quantiles(rows, fitted, [0.5]).collect()}
     else:
-        sketch = rows.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, F.lit(10000)).alias(c) for c in fitted]).first()
-        medians = sketch.asDict()
-    medians = {c: float(medians.get(c) or 0.0) for c in fitted}
-    filled = rows.select(*[F.coalesce(F.col(c).cast("double"), F.lit(medians[c])).alias(c) for c in fitted])
-    moments = filled.agg(*[F.avg(c).alias(f"m_{c}") for c in fitted], *[F.stddev_pop(c).alias(f"s_{c}") for c in fitted]).first()
+        facts += [F.percentile_approx(c, 0.5, 10000).alias(f"median_{c}") for c in fitted]
+    got = rows.agg(F.count(F.lit(1)).alias("rows"), *facts).first()
 
-    def std(c: str) -> float:
-        s = moments[f"s_{c}"]
-        return 1.0 if s is None or s < TINY_STD else float(s)
+    def stats(c: str) -> tuple[float, float, float]:
+        median = float((medians.get(c) if exact else got[f"median_{c}"]) or 0.0)
+        if not got["rows"]:
+            return median, 0.0, 1.0
+        share = got[f"n_{c}"] / got["rows"]
+        mean, var = (got[f"mean_{c}"], got[f"var_{c}"]) if share else (median, 0.0)
+        std = math.sqrt(share * var + share * (1 - share) * (mean - median) ** 2)
+        return median, share * mean + (1 - share) * median, 1.0 if std < TINY_STD else std
 
-    stats = {c: (medians[c], float(moments[f"m_{c}"] or 0.0), std(c)) for c in fitted}
-    stats[OBSERVED] = (0.0, 0.0, 1.0)
-    return Scaling(tuple(channels), *[tuple(stats[c][i] for c in channels) for i in range(3)])
+    found = {c: (0.0, 0.0, 1.0) if c == OBSERVED else stats(c) for c in channels}
+    return Scaling(tuple(channels), *[tuple(found[c][i] for c in channels) for i in range(3)])
 
 
 def fit_window_scaling(dense_train: DataFrame, spec: WindowSpec, exact: bool = True) -> Scaling:
@@ -135,8 +139,3 @@ def save_contract(spark: SparkSession, contract: Contract, path: str, dialect: s
 
 def load_contract(spark: SparkSession, path: str) -> Contract:
     return Contract.from_json(spark.read.text(path, wholetext=True).first()[0].rstrip("\u0000"))
-
-
-def contract_table(spark: SparkSession, contract: Contract) -> DataFrame:
-    """The contract's statistics as rows, for joining or inspection."""
-    return contract.scaling.table(spark).withColumn("spec", F.lit(json.dumps(asdict(contract.spec), sort_keys=True)))

@@ -6,10 +6,19 @@ from pyspark.sql import functions as F
 
 from fleetgauge.catalog import views as V
 from fleetgauge.operators import experiments as ex
-from fleetgauge.operators import explain, leakage, models, ranking
+from fleetgauge.operators import explain, leakage, models, profile, ranking
 from fleetgauge.settings import LeakageRules
 
 
+def test_sketched_coverage_is_near_the_exact_one(spark):
+    days = V.events_days(spark, "/root/testdata/sf0.001")
+    exact = {r.attribute: r for r in profile.attribute_coverage(days, V.EVENT_ATTRS).collect()}
+    for got in profile.attribute_coverage(days, V.EVENT_ATTRS, rsd=0.02).collect():
+        want = exact[got.attribute]
+        assert (got.coverage_pct, got.usable, got.constant) == (want.coverage_pct, want.usable, want.constant)
+        assert got.distinct_values == pytest.approx(want.distinct_values, rel=0.1, abs=1)
+
+
 def test_a_restated_label_is_severe(spark):
     days = V.events_days(spark, "/root/testdata/sf0.01")
     got = {r.column: r.verdict for r in leakage.audit_numeric(days, V.EVENT_ATTRS).collect()}

@@ -70,6 +70,20 @@ def test_scaling_fits_and_inverts(spark):
     assert [r.a for r in back] == pytest.approx([1.0, 3.0, 2.0])
 
 
+def test_scaling_merges_missing_values_in_closed_form(spark):
+    r = random.Random(3)
+    values = [None if r.random() < 0.3 else round(r.uniform(-5, 900), 3) for _ in range(301)]
+    df = spark.createDataFrame([(v, 1) for v in values], "a double, observed int")
+    seen = [v for v in values if v is not None]
+    for exact in (True, False):
+        s = sc.fit_scaling(df, ("a", "observed"), exact)
+        assert s.medians[0] == pytest.approx(np.median(seen), abs=0 if exact else 12)
+        filled = [s.medians[0] if v is None else v for v in values]
+        assert (s.means[0], s.stds[0]) == (pytest.approx(np.mean(filled)), pytest.approx(np.std(filled)))
+    nothing = sc.fit_scaling(df.limit(0), ("a", "observed"), False)
+    assert (nothing.medians, nothing.means, nothing.stds) == ((0.0, 0.0), (0.0, 0.0), (1.0, 1.0))
+
+
 @pytest.mark.parametrize("dialect", ["archive", "cohort"])
 def test_contract_round_trip(spark, tmp_path, dialect):
     spec = WindowSpec(attrs=("a", "b"), days=9, horizon=4, lags=(1,), log_attrs=("a",), min_days=9)
