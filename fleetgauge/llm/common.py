@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from fleetgauge.session import ship
+from fleetgauge.session import settle, ship
 
 
 def pick(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -21,7 +21,7 @@ def pick(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 
 KINDS = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(),
-         "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+         "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64())}
 
 
 def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, rows: int = 1000) -> DataFrame:
@@ -65,4 +65,22 @@ def in_quotes(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def numbered_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(rid, id, text, payload): settled rows with a number of their own, the text without nulls, and all columns of `docs`."""
+    payload = F.struct(*[F.col(in_quotes(c)) for c in docs.columns]).alias("payload")
+    rows = settle(docs.select(F.monotonically_increasing_id().alias("rid"), payload))
+    return rows.select("rid", F.col("payload")[id_col].cast("bigint").alias("id"),
+                       F.coalesce(F.col("payload")[text_col].cast("string"), F.lit("")).alias("text"), "payload")
+
+
+def without_later(rows: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of `rows` (see `numbered_rows`), with the columns of `docs`, the one with the smallest id (null ids last), then the first, of every
+    root in `groups` (vertex, root), and all that are in no group."""
+    grouped = settle(groups.join(rows.select(F.col("rid").alias("vertex"), "id"), "vertex").select(F.col("vertex").alias("rid"), "root", "id"))
+    best = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "rid")).alias("best"))
+    gone = settle(grouped.join(best, "root").filter(F.col("rid") != F.col("best.rid")).select("rid"))
+    kept = rows.join(gone.hint("merge"), "rid", "left_anti")
+    return kept.select(*[F.col("payload")[c].alias(c) for c in docs.columns])
+
+
 ship(__name__)
