@@ -5,7 +5,9 @@ language, and an unknown one by the mean log frequency of its longest n-grams th
 sum over its words; the softmax of that is the confidence. Equal sums go to the language that sorts first.
 
 Two documented bounds keep the model small whatever the corpus: it is fitted on about `fit_rows` labelled rows, drawn by a hash of
-their id, and keeps the `keep` commonest words and the `keep` commonest n-grams of each length. Prediction reads only the text.
+their id, and keeps about `keep` words and `keep` n-grams of each length. Both are shared out among the languages, so that one with few
+rows is learned as well as it can be: every language has the same room, takes its commonest entries, and leaves the rest
+to the others. Prediction reads only the text.
 
 A text that is null or has no letter is "und" with score 0, and so is every text if no row has a language. Repeated rows count
 as often as they occur and each get a row. An empty table gives an empty result. Rows without an id are not learned from.
@@ -128,21 +130,58 @@ def gram_counts(batch) -> dict:
     return out
 
 
-def learn(labelled: DataFrame, fit_rows: int = 20_000, keep: int = 30_000, id_col: str = "doc_id", text_col: str = "text",
+def shares(sizes: dict, room: int) -> dict:
+    """How many of its `sizes` entries each key gets of `room`: the same for all, and what small ones leave goes to the others."""
+    given, left = {}, room
+    for i, key in enumerate(sorted(sizes, key=lambda k: (sizes[k], k))):
+        given[key] = min(sizes[key], left // (len(sizes) - i))
+        left -= given[key]
+    return given
+
+
+def drawn(rows: DataFrame, fit_rows: int) -> DataFrame:
+    """About `fit_rows` of `rows`, of every language the same number as far as it has them."""
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}      # a row per language
+    if sum(sizes.values()) <= fit_rows:
+        return rows
+    parts = [(lang, -(-1_000_000 * n // sizes[lang])) for lang, n in shares(sizes, fit_rows).items()]
+    part = rows.sparkSession.createDataFrame(parts, "lang string, part bigint")
+    return rows.join(F.broadcast(part), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("part")).drop("part")
+
+
+def chosen(counts: DataFrame, keep: int) -> DataFrame:
+    """(n, gram): for each n about `keep` entries, shared out among the languages; a language has its commonest ones, and of those
+    just as common as its last one a part drawn by hash."""
+    steps: dict[int, dict[str, list[tuple[int, int]]]] = {}
+    for r in counts.groupBy("n", "lang", "count").agg(F.count("*").alias("grams")).orderBy(F.desc("count")).toArrow().to_pylist():   # different counts are few
+        steps.setdefault(r["n"], {}).setdefault(r["lang"], []).append((r["count"], r["grams"]))
+    cuts = []
+    for n, by_lang in steps.items():
+        for lang, room in shares({lang: sum(g for _, g in by) for lang, by in by_lang.items()}, keep).items():
+            for count, grams in by_lang[lang]:
+                if grams > room:
+                    cuts.append((n, lang, count, 1_000_000 * room // grams))
+                    break
+                room -= grams
+            else:
+                cuts.append((n, lang, 0, 0))
+    cut = counts.sparkSession.createDataFrame(cuts, "n int, lang string, least bigint, part bigint")
+    fits = (F.col("count") > F.col("least")) | ((F.col("count") == F.col("least")) & (F.pmod(F.xxhash64("gram"), F.lit(1_000_000)) < F.col("part")))
+    return counts.join(F.broadcast(cut), ["n", "lang"]).filter(fits).select("n", "gram").distinct()
+
+
+def learn(labelled: DataFrame, fit_rows: int = 40_000, keep: int = 60_000, id_col: str = "doc_id", text_col: str = "text",
           lang_col: str = "lang") -> Model:
     """Fit on about `fit_rows` of the rows with a language."""
     rows = labelled.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
                            F.col(f"`{lang_col}`").cast("string").alias("lang")).filter("lang IS NOT NULL AND doc_id IS NOT NULL")
-    total = rows.count()
-    if total > fit_rows:
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / total))
-    counts = settle(per_batch(rows, lambda: gram_counts, "n int, gram string, lang string, count bigint", rows=1500)
+    counts = settle(per_batch(drawn(rows, fit_rows).select("doc_id", "text", "lang"), lambda: gram_counts,
+                              "n int, gram string, lang string, count bigint", rows=1500)
                     .groupBy("n", "gram", "lang").agg(F.sum("count").alias("count")))
-    totals = counts.groupBy("n", "gram").agg(F.sum("count").alias("total"))
+    common = settle(chosen(counts, keep))
     flat: list[tuple[int, str, str, int]] = []
     for n in range(LONGEST + 1):
-        common = totals.filter(F.col("n") == n).orderBy(F.desc("total"), "gram").limit(keep).select("gram")
-        of_n = counts.filter(F.col("n") == n).join(F.broadcast(common), "gram")         # at most `keep` rows
+        of_n = counts.filter(F.col("n") == n).join(F.broadcast(common.filter(F.col("n") == n).select("gram")), "gram")    # about `keep` rows
         flat += of_n.select("n", "gram", "lang", "count").toArrow().to_pandas().itertuples(index=False, name=None)
     return Model(sorted({f[2] for f in flat}), flat)
 
@@ -152,7 +191,7 @@ LANGS = "doc_id bigint, held_out boolean, lang_pred string, score double"
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: whether it was held out of learning, the language and the confidence."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)      # at most (LONGEST + 1) * keep rows
+    shared = docs.sparkSession.sparkContext.broadcast(model)      # about (LONGEST + 1) * keep rows
 
     def make():
         scorer = Scorer(shared.value)
