@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .base import REGISTRY
 
-MODULES = ("q_windows", "q_timeline", "q_ranking", "q_audit", "q_rows", "q_experiments", "q_sources", "q_models")
+MODULES = ("q_windows", "q_timeline", "q_ranking", "q_audit", "q_rows", "q_experiments", "q_sources", "q_models", "q_trees")
 
 
 def load():
