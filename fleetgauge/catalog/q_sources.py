@@ -9,9 +9,9 @@ from ..operators import calendar as cal
 from ..sources import archive, cohorts, sinks, uploads
 from ..streaming import history, ingest
 from ..streaming import windows as stream_windows
-from ..session import work_folder
+from ..session import settle, work_folder
 from .base import query
-from .views import EVENTS_SQL, SUPPLY_SQL, census_sql, events_days, supply_days, table
+from .views import EVENTS_SQL, SUPPLY_SPEC, SUPPLY_SQL, census_sql, events_days, label_sql, supply_days, table, tiles_sql
 
 WITH = f"WITH {EVENTS_SQL}"
 
@@ -294,18 +294,36 @@ _T3 = f"""{WITH}, c AS (SELECT a.drive, a.day, b.day AS prior_day, a.n_click, a.
             FROM dd a LEFT JOIN dd b ON b.drive = a.drive AND datediff('day', b.day, a.day) BETWEEN 6 AND 8)"""
 
 
-def drive_history(spark, d, shape=lambda df: df):
-    """The drive-days replayed as a stream through per-drive history state."""
+def replay(spark, days, shuffled: F.Column, batches: int = 6, beat: int = 400):
+    """The drive-days as a stream of a few files, each with the days of one span of arrival in no order, and a heartbeat long after all of them."""
     folder = work_folder(spark)
-    days = events_days(spark, d).withColumn("seq", F.lit(0).cast("bigint")).select("drive", "day", "seq", "n_click", "m_view")
-    days.repartition("drive").sortWithinPartitions("drive", "day").write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(days.schema).parquet(f"{folder}/in")
-    out = shape(history.history_deltas(stream, ["n_click", "m_view"]))
-    ingest.run_available(out.writeStream.format("parquet").option("path", f"{folder}/out")
-                         .option("checkpointLocation", f"{folder}/checkpoint"))
+    arrival = F.unix_date("day") + shuffled
+    low, high = days.agg(F.min(arrival), F.max(arrival)).first()
+    part = F.floor((arrival - low) * batches / (high - low + 1)).cast("int")
+    end = spark.createDataFrame([(None,)], days.select("drive").schema).withColumn("day", F.date_add(F.lit("1970-01-01").cast("date"), high + beat))
+    rows = days.withColumn("part", part).unionByName(end.withColumn("part", F.lit(batches)), allowMissingColumns=True)
+    for i in range(batches + 1):          # one file after the other, so that their order is the order of their times
+        rows.where(F.col("part") == i).drop("part").orderBy(F.crc32(F.concat_ws(":", "drive", "day"))).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(days.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder
+
+
+def kept(spark, out, folder):
+    ingest.run_available(out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint"))
     return spark.read.parquet(f"{folder}/out")
 
 
+def hashed_days(n: int):
+    """0 to n - 1 days, by drive and day."""
+    return (F.crc32(F.concat_ws(":", "drive", "day")) % n).cast("int")
+
+
+def drive_history(spark, d, shape=lambda df: df):
+    """The drive-days, each up to three days late, replayed through per-drive history state."""
+    days = settle(events_days(spark, d).withColumn("seq", F.lit(0).cast("bigint")).select("drive", "day", "seq", "n_click", "m_view"))
+    stream, folder = replay(spark, days, hashed_days(4))
+    return kept(spark, shape(history.history_deltas(stream, ["n_click", "m_view"], late="4 days")), folder)
+
+
 @query("t3_drive_history", "drive:i day:d prior_day:d n_click:r n_click_delta7:r m_view_delta7:r", f"{_T3} SELECT * FROM c WHERE rn = 1")
 def _(spark, d):
     return drive_history(spark, d)
@@ -349,3 +367,28 @@ def _(spark, d):
        f"y AS (SELECT * FROM x WHERE s + 7 > e) {_CLOSED.replace('FROM x', 'FROM y')}")
 def _(spark, d):
     return _windowed(spark, d, days=7, stride=2)
+
+
+# Windows from each drive's first day. Readings are up to three days late, and some of them up to 200 days, long after their windows were sent.
+_READ = """SELECT w.drive, w.start, {label} AS label, count(*) AS n, sum(dd.q) AS total, max(dd.q) AS peak
+   FROM {wins} w JOIN dd ON dd.drive = w.drive AND datediff('day', w.first_day, dd.day) BETWEEN w.start AND w.start + 29 GROUP BY w.drive, w.start"""
+
+
+def anchored(spark, d, stride=None):
+    days = settle(supply_days(spark, d).select("drive", "day", F.lit(0).cast("bigint").alias("seq"), "failure", F.col("q").alias("value")))
+    late = hashed_days(4) + F.when(hashed_days(37) == 0, 200).otherwise(0)
+    stream, folder = replay(spark, days, late)
+    return stream_windows.current_windows(kept(spark, stream_windows.anchored_windows(stream, SUPPLY_SPEC, stride, late="4 days"), folder))
+
+
+@query("t4_anchored_tiles", "drive:i start:i label:i n:i total:r peak:r",
+       f"WITH {SUPPLY_SQL}, {census_sql(30)}, {tiles_sql(SUPPLY_SPEC)} {_READ.format(label=f'max({label_sql(SUPPLY_SPEC, chr(119))})', wins='tiles')}")
+def _(spark, d):
+    return anchored(spark, d)
+
+
+@query("t4_anchored_strided", "drive:i start:i label:i n:i total:r peak:r",
+       f"""WITH {SUPPLY_SQL}, {census_sql(30)}, wins AS (SELECT drive, first_day, unnest(generate_series(0, n_days - 30, 15)) AS start FROM cal)
+       {_READ.format(label=f'max({label_sql(SUPPLY_SPEC, chr(119))})', wins='wins')}""")
+def _(spark, d):
+    return anchored(spark, d, stride=15)

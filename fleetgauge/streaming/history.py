@@ -1,7 +1,11 @@
 """Per-drive history kept in stream state: today's reading against the one about a week before.
 
-State is a map from day to values, trimmed to the newest `keep` days, so a drive's state is bounded
-whatever its age. A same-day reading replaces the stored one and late days are accepted.
+Readings wait in state until event time has passed their day by `late`, and are then folded in the order of their days, whatever the
+batches and Arrow chunks they came in. A reading that comes even later is folded at once. Of two readings of a day the one with the higher
+`seq` counts while they wait; a later one replaces the stored one. The folded history is one value of at most `keep` days, so
+a drive's state is bounded whatever its age.
+
+Rows without a drive are heartbeats: they move event time and nothing else.
 """
 
 from __future__ import annotations
@@ -9,8 +13,9 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -20,45 +25,80 @@ from ..session import ship
 
 KEEP = 60
 EPOCH = dt.date(1970, 1, 1)
+DAY_MS = 86_400_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def on_event_days(readings: DataFrame, late: str) -> DataFrame:
+    """The stream with event time in days and `late` to wait, without heartbeats.
+
+    The event-time column stays behind here, so rows later than that still reach the state.
+    """
+    readings.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    timed = readings.withColumn("_at", F.timestamp_seconds(F.unix_date("day") * 86_400)).withWatermark("_at", late)
+    # One condition on both columns: the optimizer would take one on the drive alone below the watermark, which heartbeats then could not move.
+    return timed.where(F.when(F.col("drive").isNotNull(), F.col("_at")).isNotNull()).drop("_at")
+
+
+def day_number(day: dt.date) -> int:
+    return (day - EPOCH).days
+
+
 class DriveHistory(StatefulProcessor):
     def __init__(self, attrs: Sequence[str], days_ago: int, slack: int, keep: int):
         self.attrs, self.days_ago, self.slack, self.keep = list(attrs), days_ago, slack, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        value = T.StructType([T.StructField(a, T.DoubleType()) for a in self.attrs])
-        self.days = handle.getMapState("days", "n int", value)
-
-    def _prior(self, n: int):
-        best = None
-        for at in range(n - self.days_ago - self.slack, n - self.days_ago + self.slack + 1):
-            if self.days.containsKey((at,)):
-                gap = abs(at - (n - self.days_ago))
-                if best is None or gap < best[0]:
-                    best = (gap, at)
-        return None if best is None else best[1]
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        (drive,) = key
-        stored = {k[0] for k in self.days.keys()}
+        self.handle = handle
+        values = [T.StructField(a, T.DoubleType()) for a in self.attrs]
+        self.waiting = handle.getMapState("waiting", "n int", T.StructType([T.StructField("seq", T.LongType()), *values]))
+        self.folded = handle.getValueState("folded", T.StructType([T.StructField("days", T.BinaryType())]))
+
+    def fold(self, drive, rows: list[tuple[int, tuple]]) -> pd.DataFrame:
+        """Take in readings by day, and compare each with the stored one nearest to `days_ago` days before."""
+        stored = self.folded.get()
+        history = {int(r[0]): r[1:] for r in np.frombuffer(stored[0] if stored else b"").reshape(-1, 1 + len(self.attrs))}
+        out = []
+        for n, values in sorted(rows):
+            near = range(n - self.days_ago - self.slack, n - self.days_ago + self.slack + 1)
+            at = min((d for d in near if d in history), key=lambda d: (abs(d - (n - self.days_ago)), d), default=None)
+            now = [None if v is None or np.isnan(v) else float(v) for v in values]
+            before = [None] * len(now) if at is None else [None if np.isnan(v) else float(v) for v in history[at]]
+            delta = [None if a is None or b is None else a - b for a, b in zip(now, before)]
+            out.append((drive, EPOCH + dt.timedelta(days=n), None if at is None else EPOCH + dt.timedelta(days=at), *now, *delta))
+            history[n] = np.array([np.nan if v is None else v for v in now])
+            if len(history) > self.keep:
+                del history[min(history)]
+        self.folded.update((np.array([[d, *v] for d, v in sorted(history.items())], float).tobytes(),))
+        return pd.DataFrame(out, columns=self.columns())
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest: dict[int, tuple] = {}
         for chunk in rows:
-            out = []
-            for r in chunk.sort_values(["day", "seq"]).itertuples(index=False):
-                n = (r.day - EPOCH).days
-                now = [None if pd.isna(getattr(r, a)) else float(getattr(r, a)) for a in self.attrs]
-                at = self._prior(n)
-                before = self.days.getValue((at,)) if at is not None else [None] * len(self.attrs)
-                delta = [None if a is None or b is None else a - b for a, b in zip(now, before)]
-                out.append((drive, r.day, None if at is None else EPOCH + dt.timedelta(days=at), *now, *delta))
-                self.days.updateValue((n,), tuple(now))
-                stored.add(n)
-                while len(stored) > self.keep:
-                    oldest = min(stored)
-                    self.days.removeKey((oldest,))
-                    stored.discard(oldest)
-            yield pd.DataFrame(out, columns=self.columns())
+            for r in chunk.itertuples(index=False):
+                n = day_number(r.day)
+                if n not in newest or r.seq >= newest[n][0]:
+                    newest[n] = (int(r.seq), *[None if pd.isna(v) else float(v) for v in (getattr(r, a) for a in self.attrs)])
+        passed = timerValues.getCurrentWatermarkInMs()
+        for n, reading in newest.items():
+            known = self.waiting.getValue((n,)) if self.waiting.containsKey((n,)) else None
+            if known is None or known[0] <= reading[0]:
+                self.waiting.updateValue((n,), reading)
+            if (n + 1) * DAY_MS > passed:
+                self.handle.registerTimer((n + 1) * DAY_MS)
+        if any((n + 1) * DAY_MS <= passed for n in newest):
+            yield from self.fold_due(key[0], passed)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """A drive's first timer of a batch folds all of its days that are due; the others find nothing."""
+        yield from self.fold_due(key[0], timerValues.getCurrentWatermarkInMs())
+
+    def fold_due(self, drive, passed: int) -> Iterator[pd.DataFrame]:
+        due = [(n, tuple(values)) for (n,), values in self.waiting.iterator() if (n + 1) * DAY_MS <= passed]
+        for n, _ in due:
+            self.waiting.removeKey((n,))
+        if due:
+            yield self.fold(drive, [(n, values[1:]) for n, values in due])
 
     def columns(self) -> list[str]:
         return ["drive", "day", "prior_day", *self.attrs, *[f"{a}_delta{self.days_ago}" for a in self.attrs]]
@@ -68,17 +108,15 @@ class DriveHistory(StatefulProcessor):
 
 
 def history_deltas(readings: DataFrame, attrs: Sequence[str], days_ago: int = 7, slack: int = 1,
-                   keep: int = KEEP) -> DataFrame:
+                   keep: int = KEEP, late: str = "3 days") -> DataFrame:
     """Stream of (drive, day, prior_day, attributes, deltas) from a stream of drive, day, seq, attributes."""
-    spark: SparkSession = readings.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     proc = DriveHistory(attrs, days_ago, slack, keep)
-    rows = readings.select("drive", "day", "seq", *[F.col(a).cast("double").alias(a) for a in attrs])
+    rows = on_event_days(readings, late).select("drive", "day", F.col("seq").cast("bigint").alias("seq"), *[F.col(a).cast("double").alias(a) for a in attrs])
     schema = T.StructType([T.StructField("drive", readings.schema["drive"].dataType), T.StructField("day", T.DateType()),
                            T.StructField("prior_day", T.DateType())]
                           + [T.StructField(c, T.DoubleType()) for c in proc.columns()[3:]])
     return rows.groupBy("drive").transformWithStateInPandas(
-        statefulProcessor=proc, outputStructType=schema, outputMode="Append", timeMode="None")
+        statefulProcessor=proc, outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
 def with_band(scored: DataFrame, score: str, threshold: float) -> DataFrame:

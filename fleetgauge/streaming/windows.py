@@ -1,13 +1,166 @@
-"""Event-time windows: the streaming twin of tiling (tumbling) and of strided windows (sliding).
+"""Windows over a stream: anchored at each drive's first day, with corrections, and aligned to the epoch.
 
-Windows are aligned to the epoch, not to each drive's first day, and rows later than the watermark are
-dropped; the batch operators stay the source of truth.
+`anchored_windows` is the streaming twin of tiling (no stride) and of strided windows, row for row. A window is sent when event time has
+passed its end and horizon, so that its label is known. Nothing that comes later is lost: a late reading, a reading sent again, or a
+record that turns out to begin earlier or go on longer sends the windows it changes once more, with a higher `version`, and takes
+back windows that are no more (`gone`). `current_windows` is what holds after all corrections.
+
+`event_time_windows` is Spark's own window, aligned to the epoch; rows later than the watermark are dropped there.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from ..session import ship
+from ..settings import WindowSpec
+from .history import DAY_MS, EPOCH, day_number, on_event_days
+
+BLOCK = 32                # days of a record that are one value in state
+SEQ, FAILED, VALUE = range(3)
+SENT = "first int, n int, failed int, total double, peak double, version int"
+TAKEN_BACK = -1           # as n
+OUT = "first_day date, start int, start_day date, end_day date, n int, label int, total double, peak double, version int, gone int"
+
+
+class AnchoredWindows(StatefulProcessor):
+    """State of a drive: its days in blocks, first and last day, and what was sent of each window. Windows are known by the day they start on."""
+
+    def __init__(self, days: int, stride: int | None, reach: int, shortest: int):
+        self.days, self.stride, self.reach, self.shortest = days, stride, reach, max(shortest, days)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.blocks = handle.getMapState("blocks", "n int", "data binary")
+        self.bounds = handle.getValueState("bounds", "first int, last int")
+        self.sent = handle.getMapState("sent", "start int", SENT)
+
+    def starts(self, first: int, last: int) -> set[int]:
+        if last - first + 1 < self.shortest:
+            return set()
+        final = last - self.days + 1
+        if self.stride:
+            return set(range(first, final + 1, self.stride))
+        return {min(s, final) for s in range(first, last + 1, self.days)}
+
+    def block(self, n: int) -> np.ndarray:
+        known = self.blocks.getValue((n,)) if self.blocks.containsKey((n,)) else None
+        return np.full((BLOCK, 3), np.nan) if known is None else np.frombuffer(known[0]).reshape(BLOCK, 3).copy()
+
+    def between(self, low: int, high: int, cache: dict[int, np.ndarray]) -> np.ndarray:
+        """The days `low` to `high`, both included; a day without a reading has no number."""
+        wanted = range(low // BLOCK, high // BLOCK + 1)
+        for n in wanted:
+            if n not in cache:
+                cache[n] = self.block(n)
+        return np.concatenate([cache[n] for n in wanted])[low - wanted[0] * BLOCK:high - wanted[0] * BLOCK + 1]
+
+    def row(self, drive, start: int, facts: tuple, gone: int) -> tuple:
+        first, n, failed, total, peak, version = facts
+        at = EPOCH + dt.timedelta(days=start)
+        return (drive, EPOCH + dt.timedelta(days=first), start - first, at, at + dt.timedelta(days=self.days - 1), n, failed, total, peak, version, gone)
+
+    def send(self, drive, first: int, start: int, cache: dict[int, np.ndarray]) -> list[tuple]:
+        """The window's row, unless it is as it was sent before."""
+        seen = self.between(start, start + self.reach, cache)
+        mine = seen[:self.days]
+        here = ~np.isnan(mine[:, SEQ])
+        values = mine[~np.isnan(mine[:, VALUE]), VALUE]
+        facts = (first, int(here.sum()), int(np.nansum(seen[:, FAILED]) > 0), float(values.sum()) if len(values) else None, float(values.max()) if len(values) else None)
+        known = self.sent.getValue((start,)) if self.sent.containsKey((start,)) else None
+        if known is not None and tuple(known)[:5] == facts:
+            return []
+        facts = (*facts, 1 if known is None else known[5] + 1)
+        self.sent.updateValue((start,), facts)
+        return [self.row(drive, start, facts, 0)]
+
+    def take_back(self, drive, start: int) -> list[tuple]:
+        known = tuple(self.sent.getValue((start,))) if self.sent.containsKey((start,)) else None
+        if known is None or known[1] == TAKEN_BACK:
+            return []
+        facts = (*known[:5], known[5] + 1)
+        self.sent.updateValue((start,), (facts[0], TAKEN_BACK, *facts[2:]))
+        return [self.row(drive, start, facts, 1)]
+
+    def frame(self, drive, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["drive", *[c.split()[0] for c in OUT.split(", ")]])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest: dict[int, tuple] = {}
+        for chunk in rows:
+            for r in chunk.itertuples(index=False):
+                n = day_number(r.day)
+                if n not in newest or r.seq >= newest[n][SEQ]:
+                    newest[n] = (r.seq, 0 if pd.isna(r.failure) else r.failure, np.nan if pd.isna(r.value) else r.value)
+        cache: dict[int, np.ndarray] = {}
+        for n, reading in newest.items():
+            day = self.between(n, n, cache)[0]
+            if np.isnan(day[SEQ]) or day[SEQ] <= reading[SEQ]:
+                cache[n // BLOCK][n % BLOCK] = reading
+        for n in {d // BLOCK for d in newest}:
+            self.blocks.updateValue((n,), (cache[n].tobytes(),))
+        before = self.bounds.get()
+        first, last = min(newest), max(newest)
+        if before is not None:
+            first, last = min(first, before[0]), max(last, before[1])
+        self.bounds.update((first, last))
+        old = set() if before is None else self.starts(*before)
+        now = self.starts(first, last)
+        out = []
+        for start in sorted(old - now):
+            out += self.take_back(key[0], start)
+        changed = np.array(sorted(newest))
+        moved = before is not None and before[0] != first
+        passed = timerValues.getCurrentWatermarkInMs()
+        for start in sorted(now):
+            at = np.searchsorted(changed, start)
+            if start not in old or moved or at < len(changed) and changed[at] <= start + self.reach:
+                due = (start + self.reach + 1) * DAY_MS
+                if due <= passed:
+                    out += self.send(key[0], first, start, cache)
+                else:
+                    self.handle.registerTimer(due)
+        if out:
+            yield self.frame(key[0], out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        first, last = self.bounds.get()
+        start = expiredTimerInfo.getExpiryTimeInMs() // DAY_MS - self.reach - 1
+        if start in self.starts(first, last):
+            out = self.send(key[0], first, start, {})
+            if out:
+                yield self.frame(key[0], out)
+
+    def close(self) -> None:
+        pass
+
+
+def anchored_windows(readings: DataFrame, spec: WindowSpec, stride: int | None = None, late: str = "3 days") -> DataFrame:
+    """Stream of OUT per drive from a stream of drive, day, seq, failure, value: tiles, or windows each `stride` days.
+
+    n, total and peak are over the days with a reading; `start` is the position of the first day in the record, which counts from `first_day`.
+    """
+    proc = AnchoredWindows(spec.days, stride, spec.reach, spec.shortest_record)
+    rows = on_event_days(readings, late).select("drive", "day", F.col("seq").cast("double").alias("seq"), F.col("failure").cast("double").alias("failure"),
+                                                F.col("value").cast("double").alias("value"))
+    schema = T.StructType([T.StructField("drive", readings.schema["drive"].dataType), *T._parse_datatype_string(OUT).fields])
+    return rows.groupBy("drive").transformWithStateInPandas(
+        statefulProcessor=proc, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+def current_windows(sent: DataFrame) -> DataFrame:
+    """The windows that hold after all corrections: of each drive and start day the newest version that was not taken back."""
+    best = F.max_by(F.struct(*[c for c in sent.columns if c not in ("drive", "start_day")]), F.col("version"))
+    newest = sent.groupBy("drive", "start_day").agg(best.alias("r"))
+    return newest.where("r.gone = 0").select("drive", "start_day", "r.*").drop("gone")
 
 
 def event_time_windows(readings: DataFrame, days: int, stride: int | None = None, late: str = "1 day",
@@ -18,3 +171,6 @@ def event_time_windows(readings: DataFrame, days: int, stride: int | None = None
     return ts.groupBy("drive", w.alias("w")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.max(value).alias("peak")).select(
         "drive", F.to_date("w.start").alias("start"), F.to_date("w.end").alias("end"), "n", "total", "peak")
+
+
+ship(__name__)
