@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from fleetgauge.llm import langid, pii
 
-from .test_groups import ends_of, plain_fingerprint
+from .test_near import plain_kept
 from .test_text import check_packing
 
 
@@ -22,9 +22,9 @@ def plain_run(spark, sf_dir):
     for i, t in rows.items():
         groups["".join(c for c in t if c not in " \t\n\v\f\r")].append((-len(t), i))
     rows = {i: rows[i] for i in (min(g)[1] for g in groups.values())}
-    fps = {i: plain_fingerprint(t) for i, t in rows.items()}
-    roots = ends_of([(a, b) for a in rows for b in rows if a < b and (fps[a] ^ fps[b]).bit_count() <= 2], rows)
-    return [(i, pii.masked(t)) for i, t in rows.items() if roots[i] == i]
+    kept = {i for _, i in plain_kept(list(rows.items()))}
+    assert len(kept) < len(rows)
+    return [(i, pii.masked(t)) for i, t in rows.items() if i in kept]
 
 
 def test_pipeline(spark, sf_dir):
