@@ -4,10 +4,10 @@
 language, and an unknown one by the mean log frequency of its longest n-grams that any language knows. A document's score is the
 sum over its words; the softmax of that is the confidence. Equal sums go to the language that sorts first.
 
-Two documented bounds keep the model small whatever the corpus: it is fitted on about `fit_rows` labelled rows, drawn by a hash of
-their id, and keeps about `keep` words and `keep` n-grams of each length. Both are shared out among the languages, so that one with few
-rows is learned as well as it can be: every language has the same room, takes its commonest entries, and leaves the rest
-to the others. Prediction reads only the text.
+One documented bound keeps the model small whatever the corpus: it is fitted on about `fit_rows` labelled rows, drawn by a hash of
+their id. They are shared out among the languages, so that one with few rows is learned as well as it can be: every language has
+the same room, and leaves what it doesn't need to the others. All words and n-grams of those rows are in the model, as a sorted array of
+64-bit hashes that a batch's words are searched in together. Prediction reads only the text.
 
 A text that is null or has no letter is "und" with score 0, and so is every text if no row has a language. Repeated rows count
 as often as they occur and each get a row. An empty table gives an empty result. Rows without an id are not learned from.
@@ -50,56 +50,92 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string")) % 4 == 2, F.lit(False))
 
 
+def key_of(n: int, gram: str) -> int:
+    """64 bits for a known word (n = 0) or an n-gram; two of a model's entries share them with a chance of about 1 in 10 million."""
+    import xxhash
+    return xxhash.xxh64_intdigest(gram, n)
+
+
 class Model:
-    """Log frequencies by language: a row of `matrix` for each known word (`tables[0]`) and n-gram of length n (`tables[n]`)."""
+    """Log frequencies by language: a row of `matrix` for each entry of the sorted `keys`. Some 25 bytes an entry with four languages."""
 
-    def __init__(self, langs: list[str], counts: list[tuple[int, str, str, int]]) -> None:
+    def __init__(self, langs: list[str], counts: pa.Table) -> None:
+        """`counts` has (n, gram, lang, count), one row for each of their combinations."""
         self.langs = langs
-        self.tables: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
-        rows, at = [], {lang: i for i, lang in enumerate(langs)}
-        for n, gram, lang, _ in counts:
-            rows.append(self.tables[n].setdefault(gram, sum(map(len, self.tables))))
-        matrix = np.zeros((sum(map(len, self.tables)), len(langs)))
-        for row, (_, _, lang, count) in zip(rows, counts):
-            matrix[row, at[lang]] = count
-        for table in self.tables:
-            own = list(table.values())
-            total = matrix[own].sum(axis=0) + 0.5 * (len(own) + 1)
+        n = counts.column("n").to_numpy()
+        keys = np.concatenate([np.empty(0, np.uint64)] + [np.fromiter(map(key_of, b.column("n").to_pylist(), b.column("gram").to_pylist()), np.uint64, b.num_rows)
+                                                          for b in counts.to_batches(max_chunksize=50_000)])
+        self.keys, first, row = np.unique(keys, return_index=True, return_inverse=True)
+        at = {lang: i for i, lang in enumerate(langs)}
+        matrix = np.zeros((len(self.keys), len(langs)), np.float32)
+        lang = np.fromiter((at[str(v)] for v in counts.column("lang")), np.int64, len(n))
+        np.add.at(matrix, (row, lang), counts.column("count").to_numpy().astype(np.float32))
+        length = n[first]
+        for k in range(LONGEST + 1):
+            own = length == k
+            total = matrix[own].sum(axis=0, dtype=float) + 0.5 * (own.sum() + 1)
             matrix[own] = np.log((matrix[own] + 0.5) / total)
-        self.matrix = matrix.astype(np.float32)
+        self.matrix = matrix
+
+    def rows(self, hashes: np.ndarray) -> np.ndarray:
+        """The row of each key, -1 for one that is unknown."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, at, -1)
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """(words, languages): each word by itself if it is known, else by the mean of its longest n-grams that any language knows."""
+        out = np.zeros((len(words), len(self.langs)))
+        found = self.rows(np.fromiter((key_of(0, w) for w in words), np.uint64, len(words)))
+        out[found >= 0] = self.matrix[found[found >= 0]]
+        left = np.nonzero(found < 0)[0]
+        for n in range(LONGEST, 0, -1):
+            parts = [grams(words[i], n) for i in left.tolist()]
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            rows = self.rows(np.fromiter((key_of(n, g) for p in parts for g in p), np.uint64, int(sizes.sum())))
+            owner, known = np.repeat(np.arange(len(parts)), sizes), rows >= 0
+            count = np.bincount(owner[known], minlength=len(parts))
+            hit = count > 0
+            if hit.any():
+                starts = np.concatenate([[0], np.cumsum(count[hit])[:-1]])
+                out[left[hit]] = np.add.reduceat(self.matrix[rows[known]].astype(float), starts) / count[hit, None]
+            left = left[~hit]
+            if not len(left):
+                break
+        return out
 
     def score(self, word: str) -> np.ndarray:
-        known = self.tables[0].get(word)
-        if known is not None:
-            return self.matrix[known]
-        for n in range(LONGEST, 0, -1):
-            table = self.tables[n]
-            rows = [table[g] for g in grams(word, n) if g in table]
-            if rows:
-                return self.matrix[rows].mean(axis=0)
-        return np.zeros(len(self.langs))
+        return self.scores([word])[0]
 
 
 class Scorer(dict):
-    """Word to row of `matrix`, filled on first sight and emptied when it holds MEMO words."""
+    """Word to row of `matrix`; words are scored when first seen, a batch at a time, and forgotten when there are over MEMO of them."""
 
     def __init__(self, model: Model) -> None:
         self.model, self.matrix = model, np.empty((1024, len(model.langs)))
 
-    def __missing__(self, word: str) -> int:
-        row = len(self)
-        if row == len(self.matrix):
-            self.matrix = np.concatenate([self.matrix, np.empty_like(self.matrix)])
-        self.matrix[row] = self.model.score(word)
-        self[word] = row
-        return row
+    def learn(self, fresh: list[str]) -> None:
+        for start in range(0, len(fresh), 20_000):
+            some, row = fresh[start:start + 20_000], len(self)
+            while row + len(some) > len(self.matrix):
+                self.matrix = np.concatenate([self.matrix, np.empty_like(self.matrix)])
+            self.matrix[row:row + len(some)] = self.model.scores(some)
+            self.update(zip(some, range(row, row + len(some))))
+
+    def predict_all(self, texts: list[str]) -> list[tuple[str, float]]:
+        if not self.model.langs:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        found = [words(t) for t in texts]
+        wanted = set().union(*found)
+        if len(self) + len(wanted) > MEMO:
+            self.clear()
+        self.learn(list(wanted.difference(self)))
+        return [self.of(f) for f in found]
 
-    def predict(self, text: str) -> tuple[str, float]:
-        found = words(text)
-        if not found or not self.model.langs:
+    def of(self, found: list[str]) -> tuple[str, float]:
+        if not found:
             return UNKNOWN, 0.0
-        if len(self) > MEMO:
-            self.clear()
         sums = np.zeros(len(self.model.langs))
         for start in range(0, len(found), 100_000):
             rows = [self[w] for w in found[start:start + 100_000]]
@@ -107,6 +143,9 @@ class Scorer(dict):
         best = int(sums.argmax())
         return self.model.langs[best], float(1 / np.exp(sums - sums[best]).sum())
 
+    def predict(self, text: str) -> tuple[str, float]:
+        return self.predict_all([text])[0]
+
 
 def gram_counts(batch) -> dict:
     """Words and n-grams of one batch, counted by language."""
@@ -149,41 +188,14 @@ def drawn(rows: DataFrame, fit_rows: int) -> DataFrame:
     return rows.join(F.broadcast(part), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("part")).drop("part")
 
 
-def chosen(counts: DataFrame, keep: int) -> DataFrame:
-    """(n, gram): for each n about `keep` entries, shared out among the languages; a language has its commonest ones, and of those
-    just as common as its last one a part drawn by hash."""
-    steps: dict[int, dict[str, list[tuple[int, int]]]] = {}
-    for r in counts.groupBy("n", "lang", "count").agg(F.count("*").alias("grams")).orderBy(F.desc("count")).toArrow().to_pylist():   # different counts are few
-        steps.setdefault(r["n"], {}).setdefault(r["lang"], []).append((r["count"], r["grams"]))
-    cuts = []
-    for n, by_lang in steps.items():
-        for lang, room in shares({lang: sum(g for _, g in by) for lang, by in by_lang.items()}, keep).items():
-            for count, grams in by_lang[lang]:
-                if grams > room:
-                    cuts.append((n, lang, count, 1_000_000 * room // grams))
-                    break
-                room -= grams
-            else:
-                cuts.append((n, lang, 0, 0))
-    cut = counts.sparkSession.createDataFrame(cuts, "n int, lang string, least bigint, part bigint")
-    fits = (F.col("count") > F.col("least")) | ((F.col("count") == F.col("least")) & (F.pmod(F.xxhash64("gram"), F.lit(1_000_000)) < F.col("part")))
-    return counts.join(F.broadcast(cut), ["n", "lang"]).filter(fits).select("n", "gram").distinct()
-
-
-def learn(labelled: DataFrame, fit_rows: int = 40_000, keep: int = 60_000, id_col: str = "doc_id", text_col: str = "text",
-          lang_col: str = "lang") -> Model:
-    """Fit on about `fit_rows` of the rows with a language."""
+def learn(labelled: DataFrame, fit_rows: int = 40_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Fit on about `fit_rows` of the rows with a language; every word and n-gram in them counts."""
     rows = labelled.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
                            F.col(f"`{lang_col}`").cast("string").alias("lang")).filter("lang IS NOT NULL AND doc_id IS NOT NULL")
-    counts = settle(per_batch(drawn(rows, fit_rows).select("doc_id", "text", "lang"), lambda: gram_counts,
-                              "n int, gram string, lang string, count bigint", rows=1500)
-                    .groupBy("n", "gram", "lang").agg(F.sum("count").alias("count")))
-    common = settle(chosen(counts, keep))
-    flat: list[tuple[int, str, str, int]] = []
-    for n in range(LONGEST + 1):
-        of_n = counts.filter(F.col("n") == n).join(F.broadcast(common.filter(F.col("n") == n).select("gram")), "gram")    # about `keep` rows
-        flat += of_n.select("n", "gram", "lang", "count").toArrow().to_pandas().itertuples(index=False, name=None)
-    return Model(sorted({f[2] for f in flat}), flat)
+    counts = (per_batch(drawn(rows, fit_rows).select("doc_id", "text", "lang"), lambda: gram_counts,
+                        "n int, gram string, lang string, count bigint", rows=1500)
+              .groupBy("n", "gram", "lang").agg(F.sum("count").alias("count")).toArrow())          # what `fit_rows` texts hold
+    return Model(sorted(map(str, counts.column("lang").unique())), counts)
 
 
 LANGS = "doc_id bigint, held_out boolean, lang_pred string, score double"
@@ -191,13 +203,13 @@ LANGS = "doc_id bigint, held_out boolean, lang_pred string, score double"
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: whether it was held out of learning, the language and the confidence."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)      # about (LONGEST + 1) * keep rows
+    shared = docs.sparkSession.sparkContext.broadcast(model)      # what `fit_rows` texts hold
 
     def make():
         scorer = Scorer(shared.value)
 
         def work(batch):
-            found = [scorer.predict(t) for t in batch.column("text").to_pylist()]
+            found = scorer.predict_all(batch.column("text").to_pylist())
             return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"),
                     "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]}
         return work
@@ -213,7 +225,7 @@ def keep_known(docs: DataFrame, model: Model, min_score: float, text_col: str =
         scorer = Scorer(shared.value)
 
         def work(batch, at):
-            found = [scorer.predict(t or "") for t in batch.column(at).to_pylist()]
+            found = scorer.predict_all([t or "" for t in batch.column(at).to_pylist()])
             return batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found], pa.bool_()))
         return work
     return map_rows(docs, make, text_col)

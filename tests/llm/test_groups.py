@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -189,7 +191,6 @@ def test_language(spark):
     assert all(got[i]["lang_pred"] == lang for i, _, lang in rows[:180])
     assert got[900]["lang_pred"] == got[901]["lang_pred"] == "und" and got[900]["score"] == 0
     assert got[902]["lang_pred"] == "de" and got[903]["lang_pred"] in model.langs
-    import zlib
     assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in got if i is not None)
     assert all(0 <= x["score"] <= 1 for x in got.values())
     kept = langid.keep_known(df, model, 0.5)
@@ -200,13 +201,61 @@ def test_language(spark):
 
 
 def test_language_backs_off():
-    model = langid.Model(["a", "b"], [(0, "known", "a", 5), (3, "xyz", "a", 3), (2, "qq", "b", 4), (1, "q", "a", 1), (1, "z", "b", 9)])
+    entries = [(0, "known", "a", 5), (3, "xyz", "a", 3), (2, "qq", "b", 4), (1, "q", "a", 1), (1, "z", "b", 9)]
+    model = langid.Model(["a", "b"], pa.table(dict(zip(("n", "gram", "lang", "count"), map(list, zip(*entries))))))
     assert model.score("known")[0] > model.score("known")[1]
     assert model.score("wxyzw")[0] > model.score("wxyzw")[1]          # three letters beat the single z
     assert model.score("qqz")[1] > model.score("qqz")[0]
     assert (model.score("mmm") == 0).all()
 
 
+def plain_language(rows):
+    """(language, confidence) of each text, learned from the (text, language) rows that have one, with plain dictionaries."""
+    counts = defaultdict(Counter)
+    for text, lang in rows:
+        for w in langid.words(text or "") if lang is not None else []:
+            for n, parts in [(0, [w])] + [(n, langid.grams(w, n)) for n in range(1, 6)]:
+                for part in parts:
+                    counts[n, part][lang] += 1
+    langs = sorted({lang for _, lang in rows if lang is not None})
+    sizes = Counter(n for n, _ in counts)
+    totals = {(n, lang): sum(c[lang] for (m, _), c in counts.items() if m == n) + 0.5 * (sizes[n] + 1) for n in range(6) for lang in langs}
+
+    def of(n, part):
+        return np.array([np.log((counts[n, part][lang] + 0.5) / totals[n, lang]) for lang in langs])
+
+    def score(w):
+        if (0, w) in counts:
+            return of(0, w)
+        for n in range(5, 0, -1):
+            known = [of(n, g) for g in langid.grams(w, n) if (n, g) in counts]
+            if known:
+                return np.mean(known, axis=0)
+        return np.zeros(len(langs))
+
+    def predict(text):
+        found = langid.words(text or "")
+        if not found:
+            return "und", 0.0
+        sums = sum(score(w) for w in found)
+        return langs[int(sums.argmax())], 1 / np.exp(sums - sums.max()).sum()
+    return predict
+
+
+@pytest.mark.parametrize("memo", [150_000, 30])
+def test_language_against_brute_force(spark, monkeypatch, memo):
+    monkeypatch.setattr(langid, "MEMO", memo)
+    for extra in (False, True):
+        docs = documents(spark, extra)
+        rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.select("doc_id", "text", "lang").collect()]
+        held = {i for i, _, _ in rows if i is not None and zlib.crc32(str(i).encode()) % 4 == 2}
+        predict = plain_language([(t, lang) for i, t, lang in rows if i is not None and i not in held])
+        got = sorted(map(tuple, langid.predict(docs, langid.learn(docs.filter(~langid.held_out()))).collect()), key=repr)
+        want = sorted(((i, i in held, *predict(t)) for i, t, _ in rows), key=repr)
+        assert [g[:3] for g in got] == [w[:3] for w in want]
+        assert [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=1e-3)
+
+
 def test_language_held_out_accuracy(spark):
     got = langid_rows(spark, "/root/testdata/sf0.01")
     own = [r for r in got if r["held_out"] and r["lang_pred"] != "und"]
