@@ -2,14 +2,13 @@
 
 Running totals, ranks and quantiles all need one order over every row. A bare
 `Window.orderBy` would send every row to a single task. Here the rows are first reduced to
-one row per distinct value, the values are cut into ordered buckets, each bucket runs its own
-window, and the totals of the earlier buckets are added back. The only broadcast table holds
-one row per (group, bucket), and the number of buckets is a constant.
+one row per distinct value, a range exchange deals the values into ordered buckets, each bucket runs
+its own window, and the totals of the earlier buckets are added back. The only broadcast table holds
+one row per (group, bucket), of which there are at most as many as groups and shuffle partitions together.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,44 +17,21 @@ from pyspark.sql import functions as F
 from ..session import settle
 from .expr import digest
 
-BUCKET_VALUES = 200_000     # distinct values that one bucket should hold
 HASH_CELL = 3          # hex digits: at most 4,096 cells per group
 
 
-def split_points(df: DataFrame, value: str, n: int, by: Sequence[str] = ()):
-    """Near-equal-count cuts of `value`, per group when `by` is given (n-1 numbers per group)."""
-    agg = F.percentile_approx(value, [i / n for i in range(1, n)], F.lit(max(2000, 20 * n))).alias("cuts")
-    if not by:
-        return sorted(set(df.agg(agg).first()["cuts"] or []))
-    (key,) = by
-    return {row[key]: sorted(set(row["cuts"] or [])) for row in df.groupBy(key).agg(agg).collect()}
+def in_ranges(hist: DataFrame, order: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
+    """`hist`, one row per distinct key, settled in ranges of (`by`, `order`); `_range` is the number of a row's range.
 
+    The range exchange samples the keys and deals them out evenly, so it doesn't matter where they lie, and
+    adaptive execution joins small ranges. The number is written with the row, so that every reader sees the same.
+    """
+    return settle(hist.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()))
 
-def even_cuts(counts: DataFrame, value: str, by: Sequence[str] = ()):
-    """Cuts for a settled table of distinct values, so many that a bucket holds about BUCKET_VALUES of them.
 
-    They are taken from the values themselves, so it doesn't matter where the values lie.
-    """
-    known = counts.where(F.col(value).isNotNull() & ~F.isnan(value))
-    per = known.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-    n = -(-per // BUCKET_VALUES)
-    return split_points(known, value, n, by) if n > 1 else []
-
-
-def bucket_of(value: Column, cuts, by: Column | None = None) -> Column:
-    """An ordered bucket id; NULL for a NULL value. `cuts` is a list of split points, or a dict of such lists per group."""
-    if not cuts:
-        return F.lit(0)
-    if isinstance(cuts, dict):
-        # One constant, folded from its text, however many cuts there are.
-        table = F.from_json(F.lit(json.dumps({str(k): v for k, v in cuts.items()})), "map<string,array<double>>")
-        edges = F.coalesce(table[by.cast("string")], F.array().cast("array<double>"))
-    else:
-        edges = F.from_json(F.lit(json.dumps([float(c) for c in cuts])), "array<double>")
-    # How many edges lie below the value: its place once it is sorted in among them. (A lambda over the
-    # edges would do too, but Spark may carry a lambda into a filter inferred for the other join side.)
-    v = value.cast("double")
-    return (F.array_position(F.sort_array(F.array_append(edges, v)), v) - 1).cast("int")
+def totals_in_order(hist: DataFrame, order: Sequence[Column], sums: dict[str, str], by: Sequence[str] = ()) -> DataFrame:
+    """`running_totals` along `order` for a table of distinct keys, over ranges of them."""
+    return running_totals(in_ranges(hist, order, by), F.col("_range"), order, sums, by).drop("_range")
 
 
 def running_totals(hist: DataFrame, bucket: Column, order: Sequence[Column], sums: dict[str, str],
@@ -110,7 +86,7 @@ def known_score(score: str) -> Column:
     return F.when(~F.isnan(score), F.col(score))
 
 
-def score_rank(df: DataFrame, score: str, keys: Sequence[Column], cuts=None, out: str = "rank") -> DataFrame:
+def score_rank(df: DataFrame, score: str, keys: Sequence[Column], out: str = "rank") -> DataFrame:
     """1-based rank by score descending, rows without a score (NULL or NaN) last, ties in md5 order of `keys`.
 
     A score that a third of the rows share is split over 256 hash cells, so no task holds it whole.
@@ -118,11 +94,7 @@ def score_rank(df: DataFrame, score: str, keys: Sequence[Column], cuts=None, out
     rows = (df.withColumn("_s", known_score(score)).withColumn("_h", digest(*keys))
             .withColumn("_cell", F.substring("_h", 1, 2)))
     cells = rows.groupBy("_s", "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    if cuts is None:
-        cells = settle(cells)
-        cuts = even_cuts(cells, "_s")
-    last_first = F.coalesce(-bucket_of(F.col("_s"), cuts), F.lit(1))
-    ranked = running_totals(cells, last_first, [F.col("_s").desc_nulls_last(), F.col("_cell")], {"_n": "_upto"})
+    ranked = totals_in_order(cells, [F.col("_s").desc_nulls_last(), F.col("_cell")], {"_n": "_upto"})
     offsets = ranked.select(F.col("_s").alias("_k_score"), F.col("_cell").alias("_k_cell"),
                             (F.col("_upto") - F.col("_n")).alias("_o"))
     inside = Window.partitionBy("_s", "_cell").orderBy("_h", *keys)
@@ -140,7 +112,7 @@ def long_form(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -
     return melted.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], cuts=None) -> DataFrame:
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """Linear-interpolated quantiles of each column over its non-null values.
 
     Returns (column, prob, value). Exact, and no task ever holds a whole column: the two order
@@ -148,12 +120,9 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     """
     hist = (long_form(df, columns).where(F.col("value").isNotNull())
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
-    if cuts is None:
-        hist = settle(hist)                     # read twice below, by two jobs
-        cuts = even_cuts(hist, "value", by=["column"])
+    hist = in_ranges(hist, [F.col("value")], ["column"])
     totals = hist.groupBy(F.col("column").alias("_c")).agg(F.sum("n").alias("_total"))
-    run = running_totals(hist, bucket_of(F.col("value"), cuts, F.col("column")), [F.col("value")],
-                         {"n": "upto"}, by=["column"])
+    run = running_totals(hist, F.col("_range"), [F.col("value")], {"n": "upto"}, by=["column"])
     # One row per column, with the positions asked for; a row keeps only those that fall on it.
     at = F.array(*[F.struct(F.lit(float(p)).alias("prob"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("at"))
                    for p in probs])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import ratio
-from ..functions.order import even_cuts, bucket_of, long_form, running_totals
+from ..functions.order import in_ranges, long_form, running_totals
 from ..session import settle
 from ..settings import LeakageRules, WindowSpec
 
@@ -30,7 +30,7 @@ def value_counts(rows: DataFrame, columns: Sequence[str], label: str = "failure"
         F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("pos"))
 
 
-def column_association(counts: DataFrame, cuts) -> DataFrame:
+def column_association(counts: DataFrame) -> DataFrame:
     """Per column: coverage, n_unique, corr, auc, auc_directional, balanced_acc and the missingness gap."""
     seen = F.col("value").isNotNull()
     n, pos = F.col("n").cast("double"), F.col("pos").cast("double")
@@ -40,7 +40,7 @@ def column_association(counts: DataFrame, cuts) -> DataFrame:
         F.coalesce(F.sum(F.when(seen, F.col("pos"))), F.lit(0)).alias("_p"),
         F.count("value").alias("n_unique"),
         (F.sum(F.when(seen, F.col("value") * n)) / F.sum(F.when(seen, n))).alias("_mean"))
-    run = running_totals(counts.where(seen), bucket_of(F.col("value"), cuts, F.col("column")), [F.col("value")],
+    run = running_totals(counts.where(seen), F.col("_range"), [F.col("value")],
                          {"pos": "_cp", "n": "_cn"}, by=["column"])
     p, q = F.col("_p").cast("double"), (F.col("_n") - F.col("_p")).cast("double")
     neg = n - pos
@@ -94,9 +94,7 @@ def with_verdict(report: DataFrame, rules: LeakageRules = LeakageRules()) -> Dat
 
 def audit_numeric(rows: DataFrame, columns: Sequence[str], label: str = "failure",
                   rules: LeakageRules = LeakageRules(), level: str = "drive-day") -> DataFrame:
-    counts = settle(value_counts(rows, columns, label))             # read by the cuts and by the report
-    cuts = even_cuts(counts.where(F.col("value").isNotNull()), "value", by=["column"])
-    report = column_association(counts, cuts).withColumn("level", F.lit(level))
+    report = column_association(in_ranges(value_counts(rows, columns, label), [F.col("value")], ["column"])).withColumn("level", F.lit(level))
     return with_verdict(report, rules)
 
 

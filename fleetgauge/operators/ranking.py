@@ -1,9 +1,8 @@
 """Evaluation of scored rows as a ranking.
 
 Input frames hold a 0/1 `label` and a `score`. Every metric that needs the global score order first
-reduces the rows to one row per distinct score, then uses `running_totals`, so neither a hot score
-nor the row count lands on one task. `cuts` are ordered split points of the score; by default they are taken
-from the distinct scores. A NaN counts as no score, and rows without one rank last everywhere.
+reduces the rows to one row per distinct score, then uses `totals_in_order`, so neither a hot score
+nor the row count lands on one task. A NaN counts as no score, and rows without one rank last everywhere.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import bin_index, digest, ratio
-from ..functions.order import bucket_of, even_cuts, exact_quantiles, known_score, running_totals, score_rank
+from ..functions.order import exact_quantiles, known_score, score_rank, totals_in_order
 from ..session import settle
 
 # Cut-off lists (fixed values).
@@ -29,14 +28,9 @@ def score_counts(rows: DataFrame, by: Sequence[str] = (), score: str = "score",
         F.sum(F.col(label).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n"))
 
 
-def descending_totals(counts: DataFrame, by: Sequence[str] = (), cuts=None) -> DataFrame:
+def descending_totals(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Add tp and flagged: totals over all scores at or above this one."""
-    if cuts is None:
-        counts = settle(counts)                                     # read by the cuts and by the totals
-        cuts = even_cuts(counts, "score", by)
-    group = F.col(by[0]) if by else None
-    return running_totals(counts, F.coalesce(-bucket_of(F.col("score"), cuts, group), F.lit(1)),
-                          [F.col("score").desc_nulls_last()], {"pos": "tp", "n": "flagged"}, by=by)
+    return totals_in_order(counts, [F.col("score").desc_nulls_last()], {"pos": "tp", "n": "flagged"}, by)
 
 
 # ---- threshold metrics ---------------------------------------------------------------------------
@@ -66,10 +60,10 @@ def confusion(rows: DataFrame, threshold: float, by: Sequence[str] = (), strict:
         ratio(fp + tn, total).alias("always_healthy_accuracy"))
 
 
-def ranking_metrics(rows: DataFrame, by: Sequence[str] = (), cuts=None, score: str = "score",
+def ranking_metrics(rows: DataFrame, by: Sequence[str] = (), score: str = "score",
                     label: str = "label") -> DataFrame:
     """n, n_pos, roc_auc (mid-rank ties) and pr_auc (step sum over distinct scores); NULL with one class."""
-    run = descending_totals(score_counts(rows, by, score, label), by, cuts)
+    run = descending_totals(score_counts(rows, by, score, label), by)
     pos, n, tp, flagged = (F.col(c).cast("double") for c in ("pos", "n", "tp", "flagged"))
     neg, fp = n - pos, flagged - tp
     # Negatives below a score are all negatives minus those at or above it; the totals come out last.
@@ -82,11 +76,11 @@ def ranking_metrics(rows: DataFrame, by: Sequence[str] = (), cuts=None, score: s
                       F.when(both, F.col("_steps") / p).alias("pr_auc"))
 
 
-def curve_points(rows: DataFrame, cuts=None) -> DataFrame:
+def curve_points(rows: DataFrame) -> DataFrame:
     """One point per distinct score: recall, precision, false positive rate."""
     counts = score_counts(rows)
     total = counts.agg(F.sum("pos").alias("_p"), F.sum("n").alias("_n"))
-    run = descending_totals(counts, cuts=cuts).crossJoin(F.broadcast(total))
+    run = descending_totals(counts).crossJoin(F.broadcast(total))
     return run.select("score", ratio(F.col("tp"), F.col("_p")).alias("recall"),
                       ratio(F.col("tp"), F.col("flagged")).alias("precision"),
                       ratio(F.col("flagged") - F.col("tp"), F.col("_n") - F.col("_p")).alias("fpr"))
@@ -106,16 +100,16 @@ def _f1(tp: Column, flagged: Column, n_pos: Column) -> Column:
     return F.coalesce(ratio(2 * tp, flagged + n_pos), F.lit(0.0))
 
 
-def best_threshold(rows: DataFrame, cuts=None) -> DataFrame:
+def best_threshold(rows: DataFrame) -> DataFrame:
     """One row: the score cut (>=) with the highest F1 over every distinct score; ties take the highest score."""
     counts = score_counts(rows)
     total = counts.agg(F.sum("pos").alias("_p"))
-    run = descending_totals(counts, cuts=cuts).crossJoin(F.broadcast(total))
+    run = descending_totals(counts).crossJoin(F.broadcast(total))
     f1 = _f1(F.col("tp"), F.col("flagged"), F.col("_p"))
     return run.agg(F.max(F.struct(f1.alias("f1"), F.col("score").alias("threshold"))).alias("b")).select("b.*")
 
 
-def _at_thresholds(rows: DataFrame, thresholds: DataFrame, cuts) -> DataFrame:
+def _at_thresholds(rows: DataFrame, thresholds: DataFrame) -> DataFrame:
     """tp, flagged, own counts at each given threshold; thresholds ride along as empty scores, so no cross join."""
     counts = score_counts(rows)
     marks = thresholds.select(F.col("threshold").alias("score"), F.lit(0).cast("bigint").alias("pos"),
@@ -123,15 +117,15 @@ def _at_thresholds(rows: DataFrame, thresholds: DataFrame, cuts) -> DataFrame:
     merged = counts.withColumn("mark", F.lit(0)).unionByName(marks).groupBy("score").agg(
         F.sum("pos").alias("pos"), F.sum("n").alias("n"), F.max("mark").alias("mark"))
     total = counts.agg(F.sum("pos").alias("n_pos"))
-    return descending_totals(merged, cuts=cuts).where("mark = 1").crossJoin(F.broadcast(total))
+    return descending_totals(merged).where("mark = 1").crossJoin(F.broadcast(total))
 
 
-def best_quantile_threshold(rows: DataFrame, grid: int = 200, cuts=None) -> DataFrame:
+def best_quantile_threshold(rows: DataFrame, grid: int = 200) -> DataFrame:
     """One row: best F1 (>=) over `grid` evenly spaced score quantiles; ties take the lowest threshold."""
     probs = [i / (grid - 1) for i in range(grid)]
-    quantiles = exact_quantiles(rows, ["score"], probs, cuts=cuts)
+    quantiles = exact_quantiles(rows, ["score"], probs)
     cand = quantiles.select(F.round("value", 9).alias("threshold")).distinct()
-    at = _at_thresholds(rows.withColumn("score", F.round("score", 9)), cand, cuts)
+    at = _at_thresholds(rows.withColumn("score", F.round("score", 9)), cand)
     f1 = _f1(F.col("tp"), F.col("flagged"), F.col("n_pos"))
     best = at.agg(F.max(F.struct(f1.alias("f1"), (-F.col("score")).alias("t"), F.col("n_pos"))).alias("b"))
     return best.select(F.when(F.col("b.n_pos") > 0, -F.col("b.t")).otherwise(0.5).alias("threshold"),
@@ -181,7 +175,7 @@ def precision_at_k(rows: DataFrame, ks: Sequence[int], keys: Sequence[str]) -> D
 
 
 def precision_at_cuts(rows: DataFrame, keys: Sequence[str], fixed: Sequence[int] = (),
-                      fractions: Sequence[float] = (), at_positives: bool = False, cuts=None) -> DataFrame:
+                      fractions: Sequence[float] = (), at_positives: bool = False) -> DataFrame:
     """The same at cuts that grow with the data: K values, shares of n, and n_pos; distinct K, ascending.
 
     Ranks come from `score_rank`, so a cut of billions of rows is never gathered.
@@ -191,7 +185,7 @@ def precision_at_cuts(rows: DataFrame, keys: Sequence[str], fixed: Sequence[int]
           + [F.greatest(F.floor(F.col("_n") * F.lit(f)), F.lit(1).cast("bigint")) for f in fractions]
           + ([F.least(F.greatest(F.col("_p"), F.lit(1).cast("bigint")), F.col("_n"))] if at_positives else []))
     wanted = total.select("_n", "_p", F.array(*ks).alias("_ks"))
-    ranked = score_rank(rows.select(*keys, "score", "label"), "score", [F.col(k) for k in keys], cuts)
+    ranked = score_rank(rows.select(*keys, "score", "label"), "score", [F.col(k) for k in keys])
     joined = ranked.crossJoin(F.broadcast(wanted))                  # one row
     slots = range(len(ks))
     hits = joined.groupBy("_n", "_p", "_ks").agg(*[
@@ -216,12 +210,12 @@ def top_drives(drives: DataFrame, n: int = 100) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))      # n rows
 
 
-def ranking_quality(drives: DataFrame, ks: Sequence[int] = FILE_KS, cuts=None) -> DataFrame:
+def ranking_quality(drives: DataFrame, ks: Sequence[int] = FILE_KS) -> DataFrame:
     """One row per usable K (K <= n, or n itself if none is): hits, precision; plus recall at n_pos and mean rank of failures.
 
     Empty when the truth holds one class only.
     """
-    ranked = score_rank(drives.select("drive", "score", "label"), "score", [F.col("drive")], cuts)
+    ranked = score_rank(drives.select("drive", "score", "label"), "score", [F.col("drive")])
     total = drives.agg(F.count(F.lit(1)).alias("n_drives"), F.sum(F.col("label").cast("bigint")).alias("n_failed"))
     rows = ranked.crossJoin(F.broadcast(total))                     # one row
     y, r = F.col("label").cast("bigint"), F.col("rank")
@@ -260,9 +254,9 @@ def drive_risk_histogram(verdicts: DataFrame, bins: int = 25) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-def family_breakdown(rows: DataFrame, threshold: float, cuts=None, family: str = "model") -> DataFrame:
+def family_breakdown(rows: DataFrame, threshold: float, family: str = "model") -> DataFrame:
     """Rows, drives, positives and metrics per family; metrics are NULL where a family has one class."""
-    auc = ranking_metrics(rows, by=[family], cuts=cuts)
+    auc = ranking_metrics(rows, by=[family])
     at = confusion(rows, threshold, by=[family], strict=True).select(F.col(family).alias("_f"), "precision", "recall")
     drives = (rows.select(family, "drive").distinct().groupBy(F.col(family).alias("_g"))
               .agg(F.count(F.lit(1)).alias("drives")))
@@ -274,19 +268,16 @@ def family_breakdown(rows: DataFrame, threshold: float, cuts=None, family: str =
                     F.when(both, F.col("recall")).alias("recall")))
 
 
-def _mid_ranks(pairs: DataFrame, score: str, cuts) -> DataFrame:
+def _mid_ranks(pairs: DataFrame, score: str) -> DataFrame:
     counts = pairs.groupBy(score).agg(F.sum("w").alias("n"))
-    if cuts is None:
-        counts = settle(counts)
-        cuts = even_cuts(counts, score)
-    run = running_totals(counts, bucket_of(F.col(score), cuts), [F.col(score)], {"n": "upto"})
+    run = totals_in_order(counts, [F.col(score)], {"n": "upto"})
     return run.select(F.col(score).alias(f"_{score}"), (F.col("upto") - (F.col("n") - 1) / 2.0).alias(f"r_{score}"))
 
 
-def spearman(rows: DataFrame, a: str, b: str, cuts=None) -> DataFrame:
+def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     """One row: correlation of mid-ranks. Rows are first counted per score pair, so ties cost one row."""
     pairs = rows.groupBy(a, b).agg(F.count(F.lit(1)).alias("w"))
-    ra, rb = _mid_ranks(pairs, a, cuts), _mid_ranks(pairs, b, cuts)
+    ra, rb = _mid_ranks(pairs, a), _mid_ranks(pairs, b)
     total = pairs.agg(F.sum("w").cast("double").alias("_n"))
     j = (pairs.join(ra, F.col(a) == F.col(f"_{a}")).join(rb, F.col(b) == F.col(f"_{b}"))
          .crossJoin(F.broadcast(total)))                            # one row
@@ -298,8 +289,7 @@ def spearman(rows: DataFrame, a: str, b: str, cuts=None) -> DataFrame:
     return s.select(ratio(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy"))).alias("spearman"))
 
 
-def agreement(rows: DataFrame, threshold_a: float, threshold_b: float, a: str = "score", b: str = "score_b",
-              cuts=None) -> DataFrame:
+def agreement(rows: DataFrame, threshold_a: float, threshold_b: float, a: str = "score", b: str = "score_b") -> DataFrame:
     """One row: drives both models flag, only the first, only the second, and Spearman when n > 2."""
     fa, fb = F.col(a) >= threshold_a, F.col(b) >= threshold_b
 
@@ -308,7 +298,7 @@ def agreement(rows: DataFrame, threshold_a: float, threshold_b: float, a: str =
 
     counts = rows.agg(F.count(F.lit(1)).alias("n"), n(fa & fb).alias("both"), n(fa & ~fb).alias("only_first"),
                       n(~fa & fb).alias("only_second"))
-    return counts.crossJoin(F.broadcast(spearman(rows, a, b, cuts))).withColumn(
+    return counts.crossJoin(F.broadcast(spearman(rows, a, b))).withColumn(
         "spearman", F.when(F.col("n") > 2, F.col("spearman")))
 
 
