@@ -26,7 +26,7 @@ from .views import (EVENT_SPEC, EVENTS_SQL, SUPPLY_SPEC, SUPPLY_SQL, aggregate_s
 
 SS = SUPPLY_SPEC
 FEATS = [f"{c}__{a}" for a in ("last", "mean", "max", "delta") for c in ("q", "n")] + ["n_real"]
-SMALL = dict(rounds=8, step=0.2, depth=4, subsample=1.0, every=2, patience=8)
+SMALL = dict(rounds=8, step=0.2, depth=4, subsample=1.0, patience=8)
 
 
 def training_windows(spark, d):
@@ -64,6 +64,18 @@ def _(spark, d):
     return tested.withColumn("round_in_range", F.lit(1 <= fit.best_round <= SMALL["rounds"]).cast("int"))
 
 
+@query("m1_prefix_is_refit", "drive:i start:i label:i same:i", f"{_TESTED} SELECT *, 1 AS same FROM tested")
+def _(spark, d):
+    """The first trees of a fit score every window as a fit of only so many rounds does."""
+    p = parts(spark, d)
+    args = {k: v for k, v in SMALL.items() if k != "rounds"}
+    whole, short = (models.fit_boosted(p["train"], p["val"], FEATS, rounds=n, **args) for n in (4, 2))
+    trees = min(2, whole.best_round, short.best_round)
+    cut = [PipelineModel([models.assembler(FEATS), models.first_trees(f.model.stages[-1], trees)]) for f in (whole, short)]
+    both = models.probability(cut[0], models.probability(cut[1], p["test"], "alone"))
+    return both.withColumn("same", (F.abs(F.col("score") - F.col("alone")) < 1e-12).cast("int"))
+
+
 @query("m8_saved_scores_same", "drive:i start:i label:i same:i", f"{_TESTED} SELECT *, 1 AS same FROM tested")
 def _(spark, d):
     fit, p = boosted(spark, d)

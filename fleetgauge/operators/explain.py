@@ -1,4 +1,4 @@
-"""A boosted ensemble taken apart: scores after each round, and exact signed feature contributions.
+"""A boosted ensemble taken apart: scores after every round, and exact signed feature contributions.
 
 For one tree, a leaf pays its value to the features on its path: the Shapley value of the game in
 which a known feature lets a row reach the leaf or not, and an unknown one lets through the share of
@@ -60,32 +60,36 @@ def tree_arrays(tree) -> tuple[np.ndarray, ...]:
     return tuple(np.array(c, dtype=k) for c, k in zip(zip(*rows), kinds))
 
 
-def staged_margins(x: np.ndarray, trees: Sequence, weights: Sequence[float], depth: int, rounds: Sequence[int]) -> np.ndarray:
-    """(rows, rounds): the weighted tree sum after each of `rounds` trees."""
-    margin, out, at = np.zeros(len(x)), [], np.arange(len(x))
-    for i, (feature, threshold, left, right, value) in enumerate(trees[:max(rounds)], start=1):
+def staged_margins(x: np.ndarray, trees: Sequence, weights: Sequence[float], depth: int) -> Iterator[np.ndarray]:
+    """The weighted tree sum of each row after one tree, after two, and so on: one running sum, whatever the number of rounds."""
+    margin, at = np.zeros(len(x)), np.arange(len(x))
+    for weight, (feature, threshold, left, right, value) in zip(weights, trees):
         node = np.zeros(len(x), dtype=np.int64)
         for _ in range(depth):
             node = np.where(x[at, feature[node]] <= threshold[node], left[node], right[node])
-        margin = margin + weights[i - 1] * value[node]
-        if i in rounds:
-            out.append(margin)
-    return np.column_stack(out)
+        margin = margin + weight * value[node]
+        yield margin
 
 
-def staged_scores(model, rows: DataFrame, features: Sequence[str], rounds: Sequence[int]) -> DataFrame:
-    """(label, round, score): a boosted classifier's probability after each of `rounds` rounds."""
+def staged_counts(model, rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(round, score, pos, n): how often a boosted classifier gives a probability after each of its rounds, for all rounds in one pass.
+
+    Rows are counted inside each batch first, so that what is shuffled grows with the distinct scores, of which early rounds have few.
+    """
     trees, weights = [tree_arrays(t) for t in model.trees], list(model.treeWeights)
-    names, wanted, depth = list(features), sorted(rounds), max(t.depth for t in model.trees)
+    names, depth = list(features), max(t.depth for t in model.trees)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            p = 1 / (1 + np.exp(-2 * staged_margins(batch[names].to_numpy(dtype=float), trees, weights, depth, wanted)))
-            yield pd.DataFrame({"label": np.repeat(batch["label"].to_numpy(), len(wanted)),
-                                "round": np.tile(np.array(wanted, dtype=np.int32), len(batch)), "score": p.ravel()})
+            label = batch["label"].to_numpy().astype(np.int64)
+            for i, margin in enumerate(staged_margins(batch[names].to_numpy(dtype=float), trees, weights, depth), start=1):
+                score, at = np.unique(1 / (1 + np.exp(-2 * margin)), return_inverse=True)
+                yield pd.DataFrame({"round": np.int32(i), "score": score, "pos": np.bincount(at, weights=label, minlength=len(score)).astype(np.int64),
+                                    "n": np.bincount(at, minlength=len(score))})
 
     slim = rows.select(F.col("label").cast("int").alias("label"), *[F.col(f).cast("double").alias(f) for f in names])
-    return slim.mapInPandas(run, "label int, round int, score double")
+    counts = slim.mapInPandas(run, "round int, score double, pos bigint, n bigint")
+    return counts.groupBy("round", "score").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
 
 
 def contributions(x: np.ndarray, leaves: Sequence) -> tuple[np.ndarray, float]:

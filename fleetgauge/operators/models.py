@@ -11,8 +11,9 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, MultilayerPerceptronClassifier)
+from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassificationModel, GBTClassifier, MultilayerPerceptronClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from ..session import settle
 from ..settings import OVERFIT_LIMITS, SEED
 from .experiments import with_gaps
-from .explain import staged_scores
-from .ranking import confusion, ranking_metrics
+from .explain import staged_counts
+from .ranking import confusion, metrics_of_counts, ranking_metrics
 
 
 def assembler(features: Sequence[str]) -> VectorAssembler:
@@ -51,21 +52,17 @@ class BoostedFit:
     features: list[str] = field(default_factory=list)
 
 
-def round_history(gbt, features: Sequence[str], train: DataFrame, val: DataFrame, every: int = 1,
-                  limits: Sequence[tuple] = OVERFIT_LIMITS) -> DataFrame:
+def round_history(gbt, features: Sequence[str], train: DataFrame, val: DataFrame, limits: Sequence[tuple] = OVERFIT_LIMITS) -> DataFrame:
     """Per boosting round (variation, epoch): train and validation PR-AUC, ROC-AUC and log loss, with gap flags.
 
-    Only every `every`-th round is scored; `train` should be a probe of about the size of `val`.
+    `train` should be a probe of about the size of `val`.
     """
-    n = gbt.getNumTrees
-    rounds = sorted({*range(every, n + 1, every), n})
-
     def metrics(rows: DataFrame, tag: str) -> DataFrame:
-        staged = settle(staged_scores(gbt, rows, features, rounds))       # loss and ranking read it
+        counts = settle(staged_counts(gbt, rows, features))               # loss and ranking read it
         p = F.least(F.greatest(F.col("score"), F.lit(1e-15)), F.lit(1 - 1e-15))
-        loss = staged.groupBy(F.col("round").alias("_r")).agg(
-            F.avg(-F.when(F.col("label") == 1, F.log(p)).otherwise(F.log(1 - p))).alias(f"{tag}_loss"))
-        auc = ranking_metrics(staged, by=["round"]).select(
+        loss = counts.groupBy(F.col("round").alias("_r")).agg(
+            (-F.sum(F.col("pos") * F.log(p) + (F.col("n") - F.col("pos")) * F.log(1 - p)) / F.sum("n")).alias(f"{tag}_loss"))
+        auc = metrics_of_counts(counts, by=["round"]).select(
             F.col("round").alias("epoch"), F.col("pr_auc").alias(f"{tag}_pr_auc"), F.col("roc_auc").alias(f"{tag}_roc_auc"))
         return auc.join(F.broadcast(loss), F.col("epoch") == F.col("_r")).drop("_r")      # one row per round
 
@@ -73,33 +70,38 @@ def round_history(gbt, features: Sequence[str], train: DataFrame, val: DataFrame
     return with_gaps(both.withColumn("variation", F.lit("boosted")), limits)
 
 
+def first_trees(gbt: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The model of the first `n` trees: what a fit of `n` rounds with the same seed gives, without fitting again."""
+    java, gateway = gbt._java_obj, SparkContext._active_spark_context._gateway
+    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(gateway.jvm.double, n)
+    for i, (tree, weight) in enumerate(zip(java.trees()[:n], gbt.treeWeights)):
+        trees[i], weights[i] = tree, weight
+    short = GBTClassificationModel(gateway.jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+        f"{gbt.uid}_{n}", trees, weights, gbt.numFeatures, gbt.numClasses))
+    return gbt._copyValues(short)
+
+
 def fit_boosted(train: DataFrame, val: DataFrame, features: Sequence[str], rounds: int = 3000, step: float = 0.05,
-                depth: int = 8, min_child: int = 5, subsample: float = 0.8, patience: int = 100, every: int = 10,
+                depth: int = 8, min_child: int = 5, subsample: float = 0.8, patience: int = 100,
                 weight: str | None = None, probe: DataFrame | None = None, seed: int = SEED) -> BoostedFit:
     """Boosted trees; the number of rounds is the prefix with the best validation PR-AUC. The defaults are the full-size settings.
 
-    The loss-based stop of the trainer would favour another count, so the prefix is chosen here and
-    the model refitted to it (same seed, so the same trees). `patience` rounds without a gain end the scan.
-    `probe` holds the training rows the curves are drawn on; all of them by default.
+    The loss-based stop of the trainer would favour another count, so every round of the one fit is scored and the model cut off
+    at the best. `patience` rounds without a gain end the scan. `probe` holds the training rows the curves are drawn on; all by default.
     """
-    def fit(n: int):
-        gbt = GBTClassifier(labelCol="label", featuresCol="features", maxIter=n, maxDepth=depth, stepSize=step,
-                            minInstancesPerNode=min_child, subsamplingRate=subsample, seed=seed, featureSubsetStrategy="0.8")
-        return (gbt.setWeightCol(weight) if weight else gbt).fit(train_v)
-
-    train_v = vectors(train, features)
-    gbt = fit(rounds)
-    history = settle(round_history(gbt, features, train if probe is None else probe, val, every))
+    gbt = GBTClassifier(labelCol="label", featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=step,
+                        minInstancesPerNode=min_child, subsamplingRate=subsample, seed=seed, featureSubsetStrategy="0.8")
+    gbt = (gbt.setWeightCol(weight) if weight else gbt).fit(vectors(train, features))
+    history = settle(round_history(gbt, features, train if probe is None else probe, val))
     curve = sorted((r["epoch"], r["val_pr_auc"]) for r in history.select("epoch", "val_pr_auc").collect())
-    best, at = float("-inf"), rounds
+    best, at = float("-inf"), gbt.getNumTrees
     for n, value in curve:
         if value is not None and value > best:
             best, at = value, n
         elif n - at >= patience:
             break
-    if at != rounds:
-        gbt = fit(at)
-    return BoostedFit(PipelineModel([assembler(features), gbt]), at, history, list(features))
+    return BoostedFit(PipelineModel([assembler(features), first_trees(gbt, at)]), at, history, list(features))
 
 
 def feature_importance(model: PipelineModel, features: Sequence[str], spark: SparkSession, top: int | None = None) -> DataFrame:

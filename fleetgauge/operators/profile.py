@@ -7,13 +7,12 @@ a third of the rows is collapsed on the map side.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from itertools import combinations_with_replacement
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import bin_index, log_level, pair_corr, ratio
+from ..functions.expr import bin_index, log_level, ratio
+from ..functions.moments import correlation, pair_moments
 from ..functions.order import long_form
 from .calendar import by_drive
 
@@ -118,20 +117,9 @@ def attribute_histogram(readings: DataFrame, attr: str, bins: int = 40) -> DataF
             .select("failure", "bin", "n", (F.col("n") * bins / (F.col("total") * F.col("width"))).alias("density")))
 
 
-def correlations(readings: DataFrame, columns: Sequence[str], per_pass: int = 300) -> DataFrame:
-    """(a, b, corr) for every pair, each over the rows where both are present."""
-    pairs = list(combinations_with_replacement(columns, 2))
-    parts = []
-    for i in range(0, len(pairs), per_pass):
-        chunk = pairs[i:i + per_pass]
-        wide = readings.agg(*[pair_corr(a, b).alias(f"c{j}")
-                              for j, (a, b) in enumerate(chunk)])
-        cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{j}").alias("corr"))
-                          for j, (a, b) in enumerate(chunk)])
-        parts.append(wide.select(F.explode(cells).alias("x")).select("x.*"))
-    half = reduce(DataFrame.unionByName, parts)
-    mirror = half.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")
-    return half.unionByName(mirror)
+def correlations(readings: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(a, b, corr) for every pair, each over the rows where both are present; one scan for any number of columns."""
+    return pair_moments(readings, columns).select("a", "b", correlation().alias("corr"))
 
 
 def days_to_failure_trend(readings: DataFrame, attrs: Sequence[str], horizon: int) -> DataFrame:

@@ -63,7 +63,12 @@ def confusion(rows: DataFrame, threshold: float, by: Sequence[str] = (), strict:
 def ranking_metrics(rows: DataFrame, by: Sequence[str] = (), score: str = "score",
                     label: str = "label") -> DataFrame:
     """n, n_pos, roc_auc (mid-rank ties) and pr_auc (step sum over distinct scores); NULL with one class."""
-    run = descending_totals(score_counts(rows, by, score, label), by)
+    return metrics_of_counts(score_counts(rows, by, score, label), by)
+
+
+def metrics_of_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """`ranking_metrics` of a table with one row per distinct score: score, pos, n."""
+    run = descending_totals(counts, by)
     pos, n, tp, flagged = (F.col(c).cast("double") for c in ("pos", "n", "tp", "flagged"))
     neg, fp = n - pos, flagged - tp
     # Negatives below a score are all negatives minus those at or above it; the totals come out last.

@@ -2,6 +2,8 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
 from fleetgauge.catalog import views as V
@@ -89,18 +91,53 @@ def fitted(spark):
     rows = [(i, int(y[i]), *map(float, x[i])) for i in range(400)]
     df = spark.createDataFrame(rows, "drive bigint, label int, a double, b double, c double")
     train, val = df.where("drive % 4 > 0"), df.where("drive % 4 = 0")
-    return models.fit_boosted(train, val, ["a", "b", "c"], rounds=6, step=0.3, depth=3, subsample=1.0, every=1, patience=6), val
+    return models.fit_boosted(train, val, ["a", "b", "c"], rounds=6, step=0.3, depth=3, subsample=1.0, patience=6), val
 
 
-def test_staged_scores_end_at_the_model(fitted):
+def test_staged_scores_are_those_of_shorter_models(fitted):
     fit, val = fitted
     gbt = fit.model.stages[-1]
-    staged = explain.staged_scores(gbt, val, fit.features, [gbt.getNumTrees]).collect()
-    live = models.probability(fit.model, val).collect()
-    assert sorted(r.score for r in staged) == pytest.approx(sorted(r.score for r in live))
-    assert fit.best_round == gbt.getNumTrees
-    best = max(r.val_pr_auc for r in fit.history.collect())
-    assert ranking.ranking_metrics(models.probability(fit.model, val)).first().pr_auc == pytest.approx(best)
+    staged = explain.staged_counts(gbt, val, fit.features).collect()
+    for n in range(1, gbt.getNumTrees + 1):
+        live = models.probability(PipelineModel([models.assembler(fit.features), models.first_trees(gbt, n)]), val).collect()
+        assert sorted(s for r in staged if r["round"] == n for s in [r.score] * r.n) == pytest.approx(sorted(r.score for r in live))
+        assert sum(r.pos for r in staged if r["round"] == n) == sum(r.label for r in live)
+    history = {r.epoch: r.val_pr_auc for r in fit.history.collect()}
+    assert sorted(history) == list(range(1, 7)) and fit.best_round == gbt.getNumTrees
+    assert max(history, key=lambda n: (history[n], -n)) == fit.best_round
+    assert ranking.ranking_metrics(models.probability(fit.model, val)).first().pr_auc == pytest.approx(history[fit.best_round])
+
+
+def test_first_trees_are_a_shorter_fit(spark, fitted):
+    """Also with rows and columns drawn for each tree."""
+    _, rows = fitted
+    args = dict(labelCol="label", featuresCol="features", maxDepth=3, stepSize=0.3, subsamplingRate=0.7, featureSubsetStrategy="0.8", seed=5)
+    train = models.vectors(rows, ["a", "b", "c"])
+    whole, short = GBTClassifier(maxIter=6, **args).fit(train), GBTClassifier(maxIter=4, **args).fit(train)
+    cut = models.first_trees(whole, 4)
+    assert cut.getNumTrees == 4 and cut.treeWeights == short.treeWeights
+    both = [sorted(r.score for r in models.probability(m, train).collect()) for m in (cut, short)]
+    assert both[0] == both[1]
+
+
+def test_correlations_with_gaps_in_one_scan(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(500, 4)) + [0, 1e6, 5, 0]
+    x[:, 1] += x[:, 0] * 0.5
+    x[r.random((500, 4)) < 0.3] = np.nan
+    x = np.column_stack([x, np.full(500, 0.1), np.full(500, np.nan)])
+    rows = [[None if np.isnan(v) else float(v) for v in row] for row in x]
+    df = spark.createDataFrame(rows, ", ".join(f"c{i} double" for i in range(6))).repartition(7)
+    got = {(r.a, r.b): r["corr"] for r in profile.correlations(df, df.columns).collect()}
+    assert len(got) == 36
+    for i in range(6):
+        for j in range(6):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            want = np.corrcoef(x[both, i], x[both, j])[0, 1] if i < 4 and j < 4 else None
+            assert got[f"c{i}", f"c{j}"] == (None if want is None else pytest.approx(want, abs=1e-9))
+    plan = profile.correlations(df, df.columns)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1
+    assert {r["corr"] for r in profile.correlations(df.limit(0), df.columns).collect()} <= {None}
 
 
 def shapley(x, leaves, n):
