@@ -7,6 +7,7 @@ from dataclasses import replace
 import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import calendar as cal
@@ -139,6 +140,30 @@ def _(spark, d):
     return models.search(p["train"], p["val"], FEATS, configs)
 
 
+def _facts(rows, space: int):
+    """What must hold for every scored config: a known name once, and metrics between 0 and 1, or none where validation has one class."""
+    off = ~F.col("pr_auc").between(0, 1) | ~F.col("roc_auc").between(0, 1)
+    return rows.select("config", F.when(off, 0).otherwise(1).alias("in_range"), F.lit(space).alias("configs"))
+
+
+@query("m5_search_covers_all", "config:s in_range:i configs:i",
+       """SELECT 'maxDepth=' || a || ', maxIter=' || b AS config, 1 AS in_range, 4 AS configs FROM (VALUES (2), (3)) x(a), (VALUES (2), (4)) y(b)""")
+def _(spark, d):
+    p = parts(spark, d)
+    return _facts(models.search(p["train"], p["val"], FEATS, models.grid_configs({"maxDepth": (2, 3), "maxIter": (2, 4)})), 4)
+
+
+@query("m5_halving_rounds", "round:i configs:i best_goes_on:i", "SELECT * FROM (VALUES (1, 4, 1), (2, 2, 1), (3, 1, 1)) t(round, configs, best_goes_on)")
+def _(spark, d):
+    """Of four configs two reach the second round and one the last, always the better ones."""
+    p = parts(spark, d)
+    found = settle(models.halving_search(p["train"], p["val"], FEATS, models.grid_configs({"maxDepth": (2, 3), "maxIter": (2, 4)})))
+    later = found.select((F.col("round") - 1).alias("round"), "config", F.lit(1).alias("on"))
+    place = F.row_number().over(Window.partitionBy("round").orderBy(F.col("pr_auc").desc_nulls_last(), "config"))      # a row per config
+    best = found.withColumn("place", place).join(later, ["round", "config"], "left")
+    return best.groupBy("round").agg(F.count(F.lit(1)).alias("configs"), F.max(F.when(F.col("place") == 1, F.when((F.col("on") == 1) | (F.col("round") == 3), 1).otherwise(0))).alias("best_goes_on"))
+
+
 @query("m6_family_study", "family:s trained_on:s n:i n_pos:i pr_auc:r roc_auc:r")
 def _(spark, d):
     p = parts(spark, d)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import calendar as cal
-from ..sources import archive, cohorts, sinks, uploads
+from ..sources import archive, cohorts, shard_stats, sinks, uploads
 from ..streaming import history, ingest
 from ..streaming import windows as stream_windows
 from ..session import settle, work_folder
@@ -88,6 +88,43 @@ def _(spark, d):
     return archive.archive_summary(archive.read_archive(spark, built_archive(spark, d)))
 
 
+def summed_shards(spark, d) -> tuple[str, str]:
+    """An archive and the states of its shards: all up to 1994 first, then the later ones, then one shard once more."""
+    path, folder = built_archive(spark, d), work_folder(spark)
+    name = F.col("archive").cast("string")
+    shards = archive.read_archive(spark, path)
+    for some in (name < "data_1995", name >= "data_1995", name == "data_1996_Q2"):
+        shard_stats.add_shards(shards.where(some), folder, ("q", "n", "p"))
+    return path, folder
+
+
+@query("s4_merged_census", "drive:i first_day:d last_day:d n_days:i n_obs:i n_fail:i has_failure:i",
+       f"WITH {SUPPLY_SQL}, {census_sql()} SELECT * FROM cal")
+def _(spark, d):
+    return shard_stats.merged_census(spark, summed_shards(spark, d)[1])
+
+
+@query("s4_distinct_drives", "shards:i drives:i", f"{_ARCHIVE_SQL} SELECT count(DISTINCT archive) AS shards, count(DISTINCT drive) AS drives FROM ar")
+def _(spark, d):
+    return shard_stats.distinct_drives(spark, summed_shards(spark, d)[1])
+
+
+_PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
+
+
+@query("x4_merged_quantiles", "column:s n:i prob:r within:i",
+       f"""{_ARCHIVE_SQL}, v AS (SELECT unnest(['q', 'n', 'p']) AS "column", unnest([CAST(q AS DOUBLE), CAST(n AS DOUBLE), CAST(p AS DOUBLE)]) AS v FROM ar)
+       SELECT "column", count(v) AS n, unnest([{", ".join(map(str, _PROBS))}]) AS prob, 1 AS within FROM v GROUP BY "column" """)
+def _(spark, d):
+    """Quantiles from the stored sketches: their rank in all rows is right to twice the error that 99 of 100 keep."""
+    path, folder = summed_shards(spark, d)
+    quantiles = settle(shard_stats.merged_quantiles(spark, folder, _PROBS))
+    ranks = shard_stats.ranks_of(archive.read_archive(spark, path), quantiles, ("q", "n", "p"))
+    error = 2 * shard_stats.rank_error()
+    inside = (F.col("below") - error <= F.col("prob")) & (F.col("prob") <= F.col("upto") + error)
+    return quantiles.join(ranks.drop("value"), ["column", "prob"]).withColumn("within", inside.cast("int"))
+
+
 @query("s5_archive_since_year", "drive:i day:d q:r", f"{_ARCHIVE_SQL} SELECT drive, day, q FROM ar WHERE year(day) >= 1996")
 def _(spark, d):
     return archive.read_archive(spark, built_archive(spark, d), since_year=1996, columns=("drive", "day", "q"))

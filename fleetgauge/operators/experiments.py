@@ -218,10 +218,9 @@ def best_run(runs: DataFrame, select_by: str = "val_pr_auc") -> DataFrame:
 
 
 class ExperimentLog:
-    """The log's sheets as Parquet tables under one folder, keyed by `variation`.
+    """The log's sheets as Parquet tables under one folder, with a partition for each run.
 
-    Adding a name again replaces its rows. Only the replaced keys are compared, and each sheet is
-    written under a new version folder before the pointer moves, so a failed write loses nothing.
+    Adding a `variation` again replaces its partition and leaves the others alone.
     """
 
     SHEETS = ("summary", "configs", "epochs", "diagnostics", "precision_at_k", "full_test")
@@ -229,26 +228,14 @@ class ExperimentLog:
     def __init__(self, spark, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _versions(self, sheet: str) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{sheet}")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        done = [n for n in names if n.startswith("v") and fs.exists(
-            self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{sheet}/{n}/_SUCCESS"))]
-        return sorted(int(n[1:]) for n in done)
-
-    def read(self, sheet: str) -> DataFrame | None:
-        versions = self._versions(sheet)
-        return self.spark.read.parquet(f"{self.folder}/{sheet}/v{versions[-1]}") if versions else None
+    def read(self, sheet: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{sheet}").drop("run")
 
     def put(self, sheet: str, rows: DataFrame) -> DataFrame:
         if sheet not in self.SHEETS:
             raise ValueError(f"unknown sheet {sheet!r}")
-        old, versions = self.read(sheet), self._versions(sheet)
-        merged = rows if old is None else merge_results(old, rows, "variation")
-        merged.write.parquet(f"{self.folder}/{sheet}/v{versions[-1] + 1 if versions else 1}")
+        (rows.withColumn("run", F.col("variation")).hint("rebalance", F.col("run")).write.partitionBy("run")
+         .option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{self.folder}/{sheet}"))
         return self.read(sheet)
 
     def add(self, epochs: DataFrame, configs: DataFrame | None = None, precision_at_k: DataFrame | None = None,

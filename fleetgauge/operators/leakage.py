@@ -144,11 +144,13 @@ def audit_categorical(rows: DataFrame, columns: Sequence[str], label: str = "fai
 
 
 def record_geometry(readings: DataFrame) -> DataFrame:
-    """Readings plus the six columns that record boundaries would allow a careless feature step to build."""
-    by = Window.partitionBy("drive")
+    """Readings plus the six columns that record boundaries would allow a careless feature step to build.
+
+    The boundaries are aggregated and joined back, so no task has to hold all rows of a drive.
+    """
+    bounds = readings.groupBy("drive").agg(F.min("day").alias("_first"), F.max("day").alias("_last"))
     edges = readings.agg(F.min("day").alias("_start"), F.max("day").alias("_end"))      # one row
-    r = readings.withColumn("_first", F.min("day").over(by)).withColumn("_last", F.max("day").over(by))
-    r = r.crossJoin(F.broadcast(edges))
+    r = readings.join(bounds, "drive").crossJoin(F.broadcast(edges))
     return r.select(
         *readings.columns,
         F.datediff("day", "_first").alias("days_since_first_record"),
@@ -161,7 +163,7 @@ def record_geometry(readings: DataFrame) -> DataFrame:
 
 def audit_geometry(readings: DataFrame, rules: LeakageRules = LeakageRules()) -> DataFrame:
     """The probes scored per drive-day, and the three per-drive constants against "ever failed"."""
-    geo = record_geometry(readings)
+    geo = settle(record_geometry(settle(readings.select("drive", "day", "failure"))).drop("day"))       # read by both audits
     per_drive = geo.groupBy("drive").agg(F.max("failure").alias("failure"), *[F.max(c).alias(c) for c in DRIVE_PROBES])
     return (audit_numeric(geo, DAY_PROBES, rules=rules, level="per drive-day")
             .unionByName(audit_numeric(per_drive, DRIVE_PROBES, rules=rules, level="per drive")))

@@ -7,6 +7,7 @@ comes back to the driver is models, metric rows and feature names only.
 from __future__ import annotations
 
 import itertools
+from concurrent.futures import ThreadPoolExecutor
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -19,6 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from ..session import settle
 from ..settings import OVERFIT_LIMITS, SEED
@@ -174,40 +176,83 @@ def one_knob_variations(base: dict, knobs: dict[str, Sequence]) -> list[dict]:
     return out
 
 
+def side_by_side(spark: SparkSession, tasks: Sequence[Callable[[], list]], at_once: int) -> list[list]:
+    """The results of `tasks`, in their order, with at most `at_once` of them running.
+
+    Each runs in a driver thread with a scheduler pool of its own, so that under FAIR scheduling the tail of one fit's stage leaves
+    no executor idle while another has work.
+    """
+    def in_pool(task, name):
+        def run():
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+            return task()
+        return inheritable_thread_target(spark)(run)
+
+    with ThreadPoolExecutor(max(1, at_once)) as threads:
+        running = [threads.submit(in_pool(task, f"fit-{i % max(1, at_once)}")) for i, task in enumerate(tasks)]
+        return [r.result() for r in running]
+
+
+SCORED_CONFIG = "config string, pr_auc double, roc_auc double"
+
+
+def config_name(config: dict) -> str:
+    return config.get("variation") or ", ".join(f"{k}={v}" for k, v in sorted(config.items()))
+
+
 def search(train: DataFrame, val: DataFrame, features: Sequence[str], configs: Sequence[dict],
-           seed: int = SEED) -> DataFrame:
-    """(config, depth, ..., pr_auc, roc_auc) on the validation drives, best first. One fit per config."""
+           seed: int = SEED, at_once: int = 4) -> DataFrame:
+    """(config, pr_auc, roc_auc) on the validation drives, best first. One fit per config, `at_once` of them side by side."""
     train_v, val_v = vectors(train, features), vectors(val, features)
-    out = None
-    for config in configs:
-        args = {k: v for k, v in config.items() if k != "variation"}
-        model = GBTClassifier(labelCol="label", featuresCol="features", seed=seed, **args).fit(train_v)
-        name = config.get("variation") or ", ".join(f"{k}={v}" for k, v in sorted(args.items()))
-        row = ranking_metrics(probability(model, val_v)).select(F.lit(name).alias("config"), "pr_auc", "roc_auc")
-        out = row if out is None else out.unionByName(row)
-    return out.orderBy(F.col("pr_auc").desc_nulls_last(), "config")
 
+    def one(config: dict):
+        def fit() -> list:
+            args = {k: v for k, v in config.items() if k != "variation"}
+            model = GBTClassifier(labelCol="label", featuresCol="features", seed=seed, **args).fit(train_v)
+            found = ranking_metrics(probability(model, val_v)).select("pr_auc", "roc_auc").first()
+            return [(config_name(config), found["pr_auc"], found["roc_auc"])]
+        return fit
 
-def family_study(train: DataFrame, test: DataFrame, features: Sequence[str], families: Sequence[str],
-                 family: str = "model", max_iter: int = 20, depth: int = 4, seed: int = SEED) -> DataFrame:
-    """Per family: test PR-AUC of a pooled model, of its own model, and of a model that never saw it."""
-    def fit_on(rows: DataFrame):
-        labels = rows.agg(F.countDistinct("label")).first()[0]
-        return None if labels < 2 else GBTClassifier(
-            labelCol="label", featuresCol="features", maxIter=max_iter, maxDepth=depth, seed=seed).fit(rows)
+    rows = [r for part in side_by_side(train.sparkSession, [one(c) for c in configs], at_once) for r in part]
+    return train.sparkSession.createDataFrame(rows, SCORED_CONFIG).orderBy(F.col("pr_auc").desc_nulls_last(), "config")
+
+
+def halving_search(train: DataFrame, val: DataFrame, features: Sequence[str], configs: Sequence[dict], parts: Sequence[float] = (0.25, 0.5, 1.0),
+                   drive: str = "drive", seed: int = SEED, at_once: int = 4) -> DataFrame:
+    """`search` in rounds: every config on the first part of the training drives, the better half of them on the next larger one, and so on.
+
+    A round holds whole drives, drawn by a hash, and those of the round before. Returns (round, config, pr_auc, roc_auc), last round first.
+    """
+    left, out = list(configs), None
+    place = F.pmod(F.xxhash64(F.lit(seed), F.col(drive)), F.lit(1_000_000))
+    for i, part in enumerate(parts):
+        scored = settle(search(train.where(place < int(part * 1_000_000)) if part < 1 else train, val, features, left, seed, at_once))
+        best = [r["config"] for r in scored.orderBy(F.col("pr_auc").desc_nulls_last(), "config").collect()]      # a row per config
+        rows = scored.select(F.lit(i + 1).alias("round"), "*")
+        out = rows if out is None else out.unionByName(rows)
+        left = [c for c in left if config_name(c) in best[:max(1, (len(best) + 1) // 2)]]
+    return out.orderBy(F.col("round").desc(), F.col("pr_auc").desc_nulls_last(), "config")
 
+
+def family_study(train: DataFrame, test: DataFrame, features: Sequence[str], families: Sequence[str],
+                 family: str = "model", max_iter: int = 20, depth: int = 4, seed: int = SEED, at_once: int = 4) -> DataFrame:
+    """Per family: test PR-AUC of a pooled model, of its own model, and of a model that never saw it; `at_once` fits side by side."""
     train_v, test_v = vectors(train, features), vectors(test, features)
-    pooled, out = fit_on(train_v), None
+
+    def one(kind: str, rows: DataFrame, tested: Sequence[str]):
+        def fit() -> list:
+            if rows.select("label").distinct().count() < 2:
+                return []
+            model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=max_iter, maxDepth=depth, seed=seed).fit(rows)
+            scored = probability(model, test_v.where(F.col(family).isin(list(tested)))).withColumn("_family", F.col(family))
+            return [(r["_family"], kind, r["n"], r["n_pos"], r["pr_auc"], r["roc_auc"]) for r in ranking_metrics(scored, by=["_family"]).collect()]
+        return fit
+
+    tasks = [one("pooled", train_v, families)]
     for name in families:
-        mine = test_v.where(F.col(family) == name)
-        for kind, model in (("pooled", pooled), ("own", fit_on(train_v.where(F.col(family) == name))),
-                            ("unseen", fit_on(train_v.where(F.col(family) != name)))):
-            if model is None:
-                continue
-            row = ranking_metrics(probability(model, mine)).select(
-                F.lit(name).alias("family"), F.lit(kind).alias("trained_on"), "n", "n_pos", "pr_auc", "roc_auc")
-            out = row if out is None else out.unionByName(row)
-    return out
+        tasks += [one("own", train_v.where(F.col(family) == name), [name]), one("unseen", train_v.where(F.col(family) != name), [name])]
+    rows = [r for part in side_by_side(train.sparkSession, tasks, at_once) for r in part]
+    return train.sparkSession.createDataFrame(rows, "family string, trained_on string, n bigint, n_pos bigint, pr_auc double, roc_auc double")
 
 
 # ---- scoring hooks -------------------------------------------------------------------------------

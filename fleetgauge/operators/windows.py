@@ -164,26 +164,37 @@ def window_days(windows: DataFrame, dense: DataFrame, spec: WindowSpec, cols: li
     return w.join(d, on & inside).drop("_d", "_b", "_block")
 
 
+def as_of(marks: DataFrame, dense: DataFrame, counted: str) -> DataFrame:
+    """`marks` (drive, at, ...) with `seen`: the sum of `counted` over a drive's days up to and including `at`.
+
+    Days and marks lie in one order by drive, and a running sum is picked up at each mark: a merge, which
+    shuffles the calendar by drive as its own windows do, and not once more by position.
+    """
+    rest = F.struct(*[c for c in marks.columns if c not in ("drive", "at")])
+    own = dense.select("drive", F.col("pos").alias("at"), F.lit(0).alias("_kind"), F.col(counted).alias("_n"))
+    both = own.unionByName(marks.select("drive", "at", F.lit(1).alias("_kind"), F.lit(0).cast(dense.schema[counted].dataType).alias("_n"), rest.alias("_mark")),
+                           allowMissingColumns=True)
+    run = F.coalesce(F.sum("_n").over(by_drive("at", "_kind").rowsBetween(*SO_FAR)), F.lit(0))
+    return both.withColumn("seen", run).where("_kind = 1").select("drive", "at", "_mark.*", "seen")
+
+
 def window_metadata(windows: DataFrame, dense: DataFrame, spec: WindowSpec) -> DataFrame:
     """Dates, real / filled / padded day counts and the offset of the first failure at or after the start, per window.
 
     The real-day count is a difference of two running counts read at the window's ends, so a
     window costs two lookups instead of `days` rows.
     """
-    run = dense.select(F.col("drive").alias("_d"), F.col("pos").alias("_p"), F.sum("observed").over(
-        by_drive("pos").rowsBetween(*SO_FAR)).alias("seen"))
-    keyed = windows.withColumn("_last", F.least(F.col("start") + spec.days, F.col("n_days")) - 1)
-    ends = keyed.select("*", F.explode(F.array(
-        F.struct(F.col("_last").alias("at"), F.lit(1).alias("sign")),
-        F.struct((F.col("start") - 1).alias("at"), F.lit(-1).alias("sign")))).alias("e"))
-    keys = [c for c in windows.columns if c != "fail_pos"]
-    look = ends.join(run, (F.col("drive") == F.col("_d")) & (F.col("e.at") == F.col("_p")), "left")
-    real = look.groupBy(*keys, "fail_pos", "_last").agg(
-        F.sum(F.col("e.sign") * F.coalesce(F.col("seen"), F.lit(0))).cast("bigint").alias("n_real"))
+    keys = [c for c in windows.columns if c not in ("drive", "fail_pos")]
+    last = F.least(F.col("start") + spec.days, F.col("n_days")) - 1
+    window = F.struct(*keys, *[c for c in windows.columns if c == "fail_pos"], last.alias("_last"))
+    ends = windows.select("drive", window.alias("w"), F.explode(F.array(
+        F.struct(last.cast("int").alias("at"), F.lit(1).alias("sign")),
+        F.struct((F.col("start") - 1).cast("int").alias("at"), F.lit(-1).alias("sign")))).alias("e")).select("drive", "e.at", "e.sign", "w")
+    real = as_of(ends, dense, "observed").groupBy("drive", "w").agg(F.sum(F.col("sign") * F.col("seen")).cast("bigint").alias("n_real")).select("drive", "w.*", "n_real")
     take = F.col("_last") - F.col("start") + 1
     offset = F.when(F.col("label") == 1, F.array_min(F.filter("fail_pos", lambda f: f >= F.col("start"))) - F.col("start")).otherwise(F.lit(-1))
     return window_dates(real, spec).select(
-        *keys, "start_day", "end_day", "n_real", (take - F.col("n_real")).alias("n_filled"),
+        *[c for c in windows.columns if c != "fail_pos"], "start_day", "end_day", "n_real", (take - F.col("n_real")).alias("n_filled"),
         (F.lit(spec.days) - take).alias("n_padded"), offset.alias("failure_offset"))
 
 

@@ -192,3 +192,43 @@ def test_windows_cannot_carry_the_label(spark):
     assert leakage.verify_no_label(days, spec).count() == len(spec.channels)
     with pytest.raises(ValueError):
         leakage.verify_no_label(days.withColumn("failures", F.col("failure")), replace(spec, attrs=("failures",)))
+
+
+def test_fits_side_by_side_give_the_serial_table(spark, fitted):
+    _, rows = fitted
+    train, val = rows.where("drive % 8 = 0"), rows.where("drive % 8 = 4")
+    configs = models.grid_configs({"maxDepth": (2, 3), "maxIter": (2, 3)})
+    serial, beside = (models.search(train, val, ["a", "b", "c"], configs, at_once=n).collect() for n in (1, 4))
+    assert serial == beside and len(serial) == 4
+    rounds = models.halving_search(train, val, ["a", "b", "c"], configs, parts=(0.5, 1.0)).collect()
+    assert [r["round"] for r in rounds] == [2, 2, 1, 1, 1, 1]
+    assert {r["config"] for r in rounds[:2]} == {r["config"] for r in rounds[2:4]}
+
+
+def test_side_by_side_keeps_order_and_bound(spark):
+    import threading
+    import time
+    running, most, lock = [0], [0], threading.Lock()
+
+    def task(i):
+        def run():
+            with lock:
+                running[0] += 1
+                most[0] = max(most[0], running[0])
+            time.sleep(0.05)
+            with lock:
+                running[0] -= 1
+            return [i]
+        return run
+    assert models.side_by_side(spark, [task(i) for i in range(12)], 3) == [[i] for i in range(12)]
+    assert most[0] == 3
+
+
+def test_log_replaces_single_runs(spark, tmp_path):
+    log = ex.ExperimentLog(spark, str(tmp_path))
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "variation string, v int")
+    log.put("configs", rows)
+    log.put("configs", rows.where("variation = 'a'").withColumn("v", F.lit(9)))
+    assert sorted(map(tuple, log.read("configs").collect())) == [("a", 9), ("b", 2)]
+    with pytest.raises(ValueError):
+        log.put("other", rows)

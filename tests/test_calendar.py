@@ -170,3 +170,14 @@ def test_failure_offset_with_two_failures(spark):
     want = {n: next((f - n for f in (2, 17) if n <= f <= n + SPEC.reach), -1) for n in (r.start for r in got)}
     assert {r.start: r.failure_offset for r in got} == want
     assert want[15] == 2 and want[3] == -1
+
+
+def test_metadata_shuffles_the_calendar_once(spark):
+    """Days and window ends meet in the partitions by drive that the calendar was built in."""
+    from fleetgauge.catalog import load
+    df = load()["w23_window_metadata"].build(spark, "/root/testdata/sf0.001")
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "ReusedExchange" not in line]
+    assert len(exchanges) == 2           # raw rows by (supplier, day), and their sums by drive
+    assert "Join" not in plan

@@ -120,26 +120,27 @@ def test_history_state_over_batches(spark, tmp_path):
     src, sink, ck = (str(tmp_path / n) for n in ("src", "sink", "ck"))
     schema = spark.createDataFrame([], SCHEMA).schema
     batches = [[(1, d0, 0, 10.0)], [(1, d0, 1, 12.0), (1, d0 + dt.timedelta(days=8), 0, 20.0)],
-               [(1, d0 + dt.timedelta(days=9), 0, 30.0), (1, d0 + dt.timedelta(days=7), 1, 50.0)]]
+               [(1, d0 + dt.timedelta(days=9), 0, 30.0), (1, d0 + dt.timedelta(days=7), 1, 50.0)],
+               [(None, d0 + dt.timedelta(days=90), None, None)]]
     for rows in batches:
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(src)
         out = history.history_deltas(spark.readStream.schema(schema).parquet(src), ["a"])
         ingest.run_available(out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ck))
     got = {((r.day - d0).days, r.a): r.a_delta7 for r in spark.read.parquet(sink).collect()}
-    # Day 8 meets the replaced day-0 value; day 9 has nothing within a day of day 2; day 7 arrives late.
-    assert got == {(0, 10.0): None, (0, 12.0): None, (8, 20.0): 8.0, (9, 30.0): None, (7, 50.0): 38.0}
+    # Days 7 and 8 meet the day-0 value that was sent last; day 9 has nothing within a day of day 2.
+    assert got == {(0, 12.0): None, (7, 50.0): 38.0, (8, 20.0): 8.0, (9, 30.0): None}
 
 
 def test_history_keeps_sixty_days(spark, tmp_path):
     d0 = dt.date(2024, 1, 1)
     src, sink, ck = (str(tmp_path / n) for n in ("src", "sink", "ck"))
     schema = spark.createDataFrame([], SCHEMA).schema
-    for rows in ([(1, d0 + dt.timedelta(days=i), 0, float(i)) for i in range(80)], [(1, d0 + dt.timedelta(days=22), 1, 500.0)]):
+    for rows in ([(1, d0 + dt.timedelta(days=i), 0, float(i)) for i in range(80)], [(1, d0 + dt.timedelta(days=21), 1, 500.0)]):
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(src)
         out = history.history_deltas(spark.readStream.schema(schema).parquet(src), ["a"])
         ingest.run_available(out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ck))
     late = spark.read.parquet(sink).where(F.col("a") == 500.0).first()
-    assert late.a_delta7 is None          # day 15 had been forgotten
+    assert late.a_delta7 is None          # days 13 to 15 had been forgotten
 
 
 def test_schema_survives_bad_values(spark):
@@ -174,3 +175,29 @@ def test_tiles_of_text_drives(spark):
     drives = spark.createDataFrame([("ZA1", 70, []), ("ZB2", 45, [40]), ("ZC3", 30, [])], "drive string, n_days int, fail_pos array<int>")
     got = windows.shuffled_tiles(drives, WindowSpec(attrs=("a",)), epoch=1).collect()
     assert sorted(r.seq for r in got) == list(range(len(got))) and {r.drive for r in got} == {"ZA1", "ZB2", "ZC3"}
+
+
+def test_shard_states_merge_to_the_whole(spark, tmp_path):
+    """Shards summed up one by one, one of them twice, give the census and quantiles of all readings; a drive in two shards counts once."""
+    import datetime as dt
+    import random
+
+    from fleetgauge.operators.calendar import census
+    from fleetgauge.sources import shard_stats
+    r = random.Random(1)
+    rows = [(f"s{i % 3}", r.randrange(40) if i % 50 else None, dt.date(2024, 1, 1) + dt.timedelta(days=r.randrange(90)), int(r.random() < 0.02),
+             None if i % 7 == 0 else float("nan") if i % 11 == 0 else r.random() ** 3) for i in range(3000)]
+    df = spark.createDataFrame(rows, "archive string, drive int, day date, failure int, v double")
+    for shard in ("s0", "s1", "s2", "s1"):
+        shard_stats.add_shards(df.where(F.col("archive") == shard), str(tmp_path), ["v"])
+    key = sorted(census(df.where("drive IS NOT NULL")).columns)
+    assert sorted(map(str, shard_stats.merged_census(spark, str(tmp_path)).select(*key).collect())) == \
+        sorted(map(str, census(df.where("drive IS NOT NULL")).select(*key).collect()))
+    assert tuple(shard_stats.distinct_drives(spark, str(tmp_path)).first()) == (3, len({d for _, d, *_ in rows if d is not None}))
+    both = {d for a, d, *_ in rows if a == "s0" and d is not None} & {d for a, d, *_ in rows if a == "s2" and d is not None}
+    assert shard_stats.shared_drives(spark, str(tmp_path), "s0", "s2").first()[0] == len(both)
+    seen = sorted(v for *_, v in rows if v is not None and v == v)
+    for q in shard_stats.merged_quantiles(spark, str(tmp_path), [0.1, 0.5, 0.99]).collect():
+        assert q.n == len(seen) and abs(sum(v <= q["value"] for v in seen) / len(seen) - q.prob) <= 2 * shard_stats.rank_error()
+    ranks = shard_stats.ranks_of(df, shard_stats.merged_quantiles(spark, str(tmp_path), [0.5]), ["v"]).first()
+    assert ranks.below < ranks.upto and abs(ranks.upto - 0.5) < 0.02
