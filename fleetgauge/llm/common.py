@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable
@@ -24,6 +26,15 @@ KINDS = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolea
          "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64())}
 
 
+def let_go() -> None:
+    """Give what a task no longer needs back to the system: its worker stays, idle beside the next stage's tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # the GNU library has it
+    if trim is not None:
+        trim(0)
+
+
 def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, rows: int = 1000) -> DataFrame:
     """`make()` runs once per task; what it returns turns at most `rows` rows at a time into the columns of `schema`."""
     columns = [(name, KINDS[kind]) for name, kind in map(str.split, schema.split(", "))]
@@ -35,6 +46,8 @@ def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]
                 out = work(batch.slice(start, rows))
                 arrays = [out[n] if isinstance(out[n], pa.Array) else pa.array(out[n], kind) for n, kind in columns]
                 yield pa.RecordBatch.from_arrays(arrays, [n for n, _ in columns])
+        work = out = arrays = batch = None
+        let_go()
 
     return df.mapInArrow(run, schema)
 
@@ -48,6 +61,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch, int], p
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 yield work(batch.slice(start, 500), at)
+        work = batch = None
+        let_go()
 
     schema = StructType([StructField(n, f.dataType, True) for n, f in zip(numbered, df.schema)])
     return df.toDF(*numbered).mapInArrow(run, schema).toDF(*df.columns)
