@@ -10,7 +10,8 @@ Halves that over `CROWD` different fingerprints share are left out of these tabl
 square of the crowd. The fingerprints that hold such a half enumerate the whole ball of two bits around them, 2,080 values,
 and look those up as whole fingerprints. Both ways are exact, so no link is lost and none costs more than the ball.
 
-Null and empty texts have fingerprint zero and link like others. Rows that share a doc_id count as one document. A component's id is
+Null and empty texts have fingerprint zero and link like others. Rows that share a doc_id are told apart by their texts: each
+has the component of its own fingerprint. A component's id is
 its smallest doc_id; it is null only if the component has no other. An empty table gives an empty result.
 """
 

@@ -160,23 +160,58 @@ def test_top_k(spark, block):
     assert covertree.top_k(df.limit(0)).count() == 0
 
 
-def test_top_k_prunes():
+def best_scores(queries, points, k=5):
+    scores = queries @ points.T
+    np.fill_diagonal(scores, -np.inf)
+    return np.sort(scores, axis=1)[:, -k:][:, ::-1]
+
+
+class Counting(covertree.Search):
+    """Counts compared pairs of rows, and pairs of nodes left out by whether the query node has nodes below."""
+
+    def __init__(self, *args):
+        self.pairs, self.out = 0, Counter()
+        super().__init__(*args)
+
+    def compare(self, query, rows):
+        self.pairs += len(query.rows) * len(rows)
+        super().compare(query, rows)
+
+    def left_out(self, query, node):
+        self.out[bool(query.below)] += len(query.rows) * len(node.rows)
+
+
+def test_top_k_prunes(monkeypatch):
+    monkeypatch.setattr(covertree, "LEAF", 16)
     r = np.random.default_rng(2)
     centres = r.normal(size=(40, 8)) * 20
     points = np.floor((np.repeat(centres, 200, axis=0) + r.normal(size=(8000, 8)) * 0.05) * 16)
-    seen = []
-    search = covertree.Search
-    compare = search.compare
-
-    class Counting(search):
-        def compare(self, query, rows):
-            seen.append(len(query.rows) * len(rows))
-            compare(self, query, rows)
-    found = Counting(points[:200], np.arange(200), points, np.arange(8000), 5)
-    scores = points[:200] @ points.T
-    np.fill_diagonal(scores, -np.inf)
-    assert (np.sort(scores, axis=1)[:, -5:][:, ::-1] == found.scores).all()
-    assert sum(seen) < 0.5 * 200 * 8000
+    found = Counting(points[:600], np.arange(600), points, np.arange(8000), 5)
+    assert (best_scores(points[:600], points) == found.scores).all()
+    assert found.pairs < 0.2 * 600 * 8000
+    assert found.out[True] > 0.3 * 600 * 8000          # pairs of an inner query node and a candidate node
+
+
+def test_top_k_where_all_lie_equally_far():
+    points = np.eye(3000) * 7
+    found = covertree.Search(points[:5], np.arange(5), points, np.arange(3000), 5)
+    assert (found.scores == 0).all() and found.found.tolist() == [[j for j in range(6) if j != i][:5] for i in range(5)]
+
+    def depth(node):
+        return 1 + max(map(depth, node.below), default=0)
+    assert depth(covertree.Node(points, np.arange(3000), 0)) < 12
+
+
+def test_top_k_of_scores_beyond_doubles(spark):
+    r = random.Random(4)
+    vectors = [(i, [float(r.randrange(2 ** 20)) for _ in range(8)]) for i in range(60)]         # 256-fold, their products have over 53 bits
+    got = covertree.top_k(spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")).collect()
+    whole = {i: [int(x) * 256 for x in v] for i, v in vectors}
+    want = []
+    for q in (0, 50):
+        ranked = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:5]
+        want += [(q, n + 1, i, -score) for n, (score, i) in enumerate(ranked)]
+    assert sorted(map(tuple, got)) == want
 
 
 def test_language(spark):
