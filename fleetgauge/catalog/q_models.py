@@ -122,6 +122,15 @@ def _(spark, d):
     return ranking.ranking_metrics(models.probability(net, t.where("split = 'test'")))
 
 
+@query("m3_scores_in_unit", "drive:i start:i label:i in_unit:i", f"{_TESTED} SELECT *, 1 AS in_unit FROM tested")
+def _(spark, d):
+    """A network scores every test window, and gives each a probability."""
+    spec = replace(SS, lags=(7,))
+    t = settle(window_table(supply_days(spark, d), split_drives(spark, d), spec)[1])
+    net = models.fit_network(t.where("split = 'train'"), spec.feature_names, hidden=(4,), max_iter=5)
+    return models.probability(net, t.where("split = 'test'")).withColumn("in_unit", F.col("score").between(0, 1).cast("int"))
+
+
 @query("m4_remaining_life", "n:i mae:r rmse:r r2:r baseline_mae:r")
 def _(spark, d):
     rows = rowlevel.row_features(rowlevel.with_target(supply_days(spark, d), 30), ("q", "n"), (7,), 30)
@@ -170,6 +179,29 @@ def _(spark, d):
     return models.family_study(p["train"], p["test"], FEATS, ("M0", "M1"), max_iter=4, depth=3)
 
 
+_PARTED = f"""{BASE}, {tiles_sql(SS)}, parted AS (SELECT t.drive, t.start, 'M' || (t.drive % 4) AS model, s.split, {label_sql(SS, "t")} AS label
+FROM tiles t JOIN split s ON s.drive = t.drive)"""
+_BOTH = "(SELECT count(DISTINCT label) FROM parted WHERE split = 'train'{0}) = 2"
+
+
+@query("m6_families_tested", "family:s trained_on:s n:i n_pos:i",
+       _PARTED + " UNION ALL ".join(
+           f" SELECT model AS family, '{kind}' AS trained_on, count(*) AS n, sum(label) AS n_pos FROM parted "
+           f"WHERE split = 'test' AND model = '{name}' AND {_BOTH.format(where)} GROUP BY model"
+           for name in ("M0", "M1") for kind, where in (("pooled", ""), ("own", f" AND model = '{name}'"), ("unseen", f" AND model <> '{name}'"))))
+def _(spark, d):
+    """Which windows each family's three models are tested on."""
+    p = parts(spark, d)
+    return models.family_study(p["train"], p["test"], FEATS, ("M0", "M1"), max_iter=2, depth=2)
+
+
+@query("m7_importance_sums", "features:i total:r nonnegative:i", f"SELECT {len(FEATS)} AS features, 1.0 AS total, {len(FEATS)} AS nonnegative FROM (SELECT count(*) FROM lineitem)")
+def _(spark, d):
+    fit, _ = boosted(spark, d)
+    gains = models.feature_importance(fit.model, FEATS, spark)
+    return gains.agg(F.count(F.lit(1)).alias("features"), F.sum("gain").alias("total"), F.sum((F.col("gain") >= 0).cast("int")).alias("nonnegative"))
+
+
 @query("m7_feature_importance", "feature:s gain:r")
 def _(spark, d):
     fit, _ = boosted(spark, d)

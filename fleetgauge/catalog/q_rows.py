@@ -186,7 +186,8 @@ def _stats_sql(src: str, channels) -> str:
     return " UNION ALL ".join(one(c) for c in channels)
 
 
-_TRAIN = f"""train_rows AS (SELECT c.* FROM chan c JOIN split s ON s.drive = c.drive WHERE s.split = 'train' AND c.observed = 1),
+_TRAIN_ROWS = "train_rows AS (SELECT c.* FROM chan c JOIN split s ON s.drive = c.drive WHERE s.split = 'train' AND c.observed = 1)"
+_TRAIN = f"""{_TRAIN_ROWS},
 stats AS ({_stats_sql("train_rows", SS.channels)})"""
 
 
@@ -212,8 +213,19 @@ def _scaled_sql(src: str, channels, table: str = "stats") -> str:
 _CH = " ".join(f"{c}:r" for c in SS.channels)
 
 
+def _wide_sql(channels) -> str:
+    """`wide`: one row with the median, mean and deviation of each channel, from two scans of the training rows."""
+    own = [c for c in channels if c != "observed"]
+    filled = {c: f"coalesce(CAST({c} AS DOUBLE), med_{c})" for c in own}
+    medians = ", ".join(f"coalesce(quantile_cont(CAST({c} AS DOUBLE), 0.5), 0) AS med_{c}" for c in own)
+    stats = ", ".join(f"max(med_{c}) AS median_{c}, avg({x}) AS mean_{c}, CASE WHEN stddev_pop({x}) < 1e-6 THEN 1.0 ELSE stddev_pop({x}) END AS std_{c}"
+                      for c, x in filled.items())
+    return (f"medians AS MATERIALIZED (SELECT {medians} FROM train_rows), wide AS MATERIALIZED (SELECT {stats}, 0.0::DOUBLE AS median_observed, "
+            "0.0::DOUBLE AS mean_observed, 1.0::DOUBLE AS std_observed FROM train_rows, medians)")
+
+
 @query("x5_scaled_channels", f"drive:i pos:i {_CH}",
-       f"""{BASE}, {_TRAIN}, wide AS MATERIALIZED (SELECT {", ".join(f"max({s}) FILTER (WHERE channel = '{c}') AS {s}_{c}" for c in SS.channels for s in ("median", "mean", "std"))} FROM stats)
+       f"""{BASE.replace("chan AS (", "chan AS MATERIALIZED (")}, {_TRAIN_ROWS.replace(" AS (", " AS MATERIALIZED (", 1)}, {_wide_sql(SS.channels)}
        SELECT drive, pos, {", ".join(f"(coalesce(CAST(chan.{c} AS DOUBLE), median_{c}) - mean_{c}) / std_{c} AS {c}" for c in SS.channels)} FROM chan, wide""")
 def _(spark, d):
     return window_scaling(spark, d).apply(supply_channels(spark, d))
