@@ -6,9 +6,12 @@ offsets and the strings themselves, so that every digest hit is confirmed on the
 folder and handed to the executors by `addFile`; each maps its local copy. Rule sets over `max_index_bytes` are not sent out:
 their probes are joined to the rules instead, with the same result.
 
+A url is probed once for each number of host labels and each path length that some rule has, so a very long host or path costs no more
+probes than a short one. The driver holds the rules of an index as Python objects, some ten times `max_index_bytes`.
+
 Null urls and urls without "://" have an empty host and path and fit no rule. Urls that no rule fits get `default`. Repeated urls
 get a row each; rules that occur twice count once, and of two verdicts for the same rule "block" stands. An empty table gives an
-empty result, an empty rule list leaves all to `default`.
+empty result, an empty rule list leaves all to `default`. Only id and url are read, so no other column can clash.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from fleetgauge.session import shared_folder, ship
 from .common import per_batch
 
 SEED = 42
-HEAD = "<3q"
+HEAD = "<4q"
 
 
 def canonical(rules: DataFrame) -> DataFrame:
@@ -52,16 +55,17 @@ def split_url(df: DataFrame, id_col: str, url_col: str) -> DataFrame:
 
 
 def write_index(rules: list[tuple[str, str, bool]]) -> bytes:
-    """Head, sorted digests, string offsets, packed (host length, path length, block), path lengths, strings."""
+    """Head, sorted digests, string offsets, block, path lengths, numbers of host labels, strings."""
     keys = [(xxhash.xxh64_intdigest((h + "\0" + p).encode(), SEED), h, p, b) for h, p, b in rules]
     keys.sort()
     strings = [(h + "\0" + p).encode() for _, h, p, _ in keys]
-    lengths = sorted({len(p) for _, _, p, _ in keys})
+    lengths, labels = sorted({len(p) for _, _, p, _ in keys}), sorted({h.count(".") + 1 for _, h, _, _ in keys})
     offsets = np.cumsum([0, *map(len, strings)], dtype=np.int64)
     return b"".join([
-        struct.pack(HEAD, len(keys), len(lengths), int(offsets[-1])),
+        struct.pack(HEAD, len(keys), len(lengths), len(labels), int(offsets[-1])),
         np.array([k[0] for k in keys], np.uint64).tobytes(), offsets.tobytes(),
-        np.array([k[3] for k in keys], np.int64).tobytes(), np.array(lengths, np.int64).tobytes(), b"".join(strings)])
+        np.array([k[3] for k in keys], np.int64).tobytes(), np.array(lengths, np.int64).tobytes(),
+        np.array(labels, np.int64).tobytes(), b"".join(strings)])
 
 
 class Index:
@@ -69,7 +73,7 @@ class Index:
 
     def __init__(self, path: str) -> None:
         with open(path, "rb") as head:
-            n, n_lengths, size = struct.unpack(HEAD, head.read(struct.calcsize(HEAD)))
+            n, n_lengths, n_labels, size = struct.unpack(HEAD, head.read(struct.calcsize(HEAD)))
         at = struct.calcsize(HEAD)
 
         def part(kind, count):
@@ -79,7 +83,7 @@ class Index:
             return found
 
         self.keys, self.offsets, self.block = part(np.uint64, n), part(np.int64, n + 1), part(np.int64, n)
-        self.lengths = part(np.int64, n_lengths).tolist()
+        self.lengths, self.labels = part(np.int64, n_lengths).tolist(), part(np.int64, n_labels).tolist()
         self.strings = part(np.uint8, size)
 
     def lookup(self, probes: list[bytes]) -> np.ndarray:
@@ -100,13 +104,12 @@ class Index:
         return found
 
 
-def suffixes(host: str):
-    """The host and every parent domain of it, longest first."""
-    yield host
-    at = host.find(".")
-    while at >= 0:
-        yield host[at + 1:]
-        at = host.find(".", at + 1)
+def suffixes(host: str, labels: list[int]):
+    """The host's last parts of as many labels as some rule's host has; a host of any length has no more of them than there are rule lengths."""
+    parts = host.rsplit(".", max(labels, default=0))
+    for n in labels:
+        if n <= len(parts):
+            yield ".".join(parts[-n:])
 
 
 def published(spark: SparkSession, data: bytes) -> str:
@@ -127,7 +130,7 @@ VERDICTS = "page_id bigint, host string, path string, rule string, verdict strin
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url",
-               max_index_bytes: int = 512 << 20) -> DataFrame:
+               max_index_bytes: int = 64 << 20) -> DataFrame:
     """One row per page: host, path, the rule that wins or null, and the verdict."""
     spark = pages.sparkSession
     rules = canonical(rules)
@@ -148,7 +151,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
                 if (host, path) in memo:
                     continue
                 memo[host, path] = i
-                for s in suffixes(host) if host else ():
+                for s in suffixes(host, index.labels) if host else ():
                     for n in index.lengths:
                         if n <= len(path):
                             probes.append((s + "\0" + path[:n]).encode())
@@ -170,9 +173,10 @@ def by_join(urls: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     """The same verdicts without an index on the executors: distinct (host, path) pairs are probed by a join."""
     lengths = [r["n"] for r in rules.select(F.length("path").alias("n")).distinct().collect()]
     pairs = urls.filter("host != ''").select("host", "path").distinct()
+    counts = [r["n"] for r in rules.select(F.size(F.split("host", r"\.")).alias("n")).distinct().collect()]
     labels = F.split("host", r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)),
-                          lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    parents = F.filter(F.array(*[F.when(F.size(labels) >= n, F.array_join(F.slice(labels, -n, n), ".")) for n in counts] or [F.lit(None).cast("string")]),
+                       lambda h: h.isNotNull())
     prefixes = F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths] or [F.lit(None).cast("string")])
     probes = (pairs.select("host", "path", F.explode(F.array_distinct(parents)).alias("h"), prefixes.alias("ps"))
               .select("host", "path", "h", F.explode("ps").alias("p")).filter("p IS NOT NULL"))
