@@ -173,11 +173,11 @@ def numbered(cut: DataFrame, histogram: dict[int, int]) -> DataFrame:
     salts = F.greatest(F.lit(1), F.ceil(F.col("total") / F.greatest(F.lit(float(BUCKET_ROWS)), F.sqrt("total"))))
     totals = cut.sparkSession.createDataFrame(sorted(histogram.items()), "length bigint, total bigint")
     salted = (cut.join(F.broadcast(totals), "length")                                    # at most `capacity` rows
-              .withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), salts)))
+              .withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "row"), salts)))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "start"))
+    inside = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "row"))
     return (salted.withColumn("inside", inside).join(starts, ["length", "salt"])
             .withColumn("number", F.col("before") + F.col("inside") - 1).drop("total", "salt", "inside", "before"))
 
@@ -186,7 +186,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1
          with_ids: bool = False) -> DataFrame:
     """One row per piece with the sequence it goes to and its place there."""
     spark = docs.sparkSession
-    cut = settle(pieces(docs, vocabulary, capacity, end_id, id_col, text_col, with_ids))
+    # Rows that are alike in everything, as empty texts without an id, still have a number of their own, so that their bucket splits.
+    cut = settle(pieces(docs, vocabulary, capacity, end_id, id_col, text_col, with_ids).withColumn("row", F.monotonically_increasing_id()))
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}   # at most `capacity` rows
     runs = spark.createDataFrame(plan(histogram, capacity), "length bigint, first bigint, stop bigint, sequence bigint, each bigint, base bigint")
     by_length = runs.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "stop", "sequence", "each", "base"))).alias("runs"))
