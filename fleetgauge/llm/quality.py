@@ -171,7 +171,7 @@ def score_quality(docs: DataFrame, threshold: float = 0.5, fit_rows: int = 6000,
             seen = [look(t, known) for t in batch.column("text").to_pylist()]
             return {"votes": [v for v, _, _ in seen], "at": [features(w, m).tolist() for _, w, m in seen]}
         return work
-    drawn = texts if total <= fit_rows else texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / total))
+    drawn = texts if total <= fit_rows else texts.filter(F.pmod(F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id())), F.lit(1_000_000)) < int(1_000_000 * fit_rows / total))
     sample = per_batch(drawn, example, "votes string, at array<int>").collect()      # about fit_rows rows of at most BUCKETS numbers
     weights, bias = fit([np.array(r["at"]) for r in sample], np.array([chances[r["votes"]] for r in sample]))
     shared = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias, chances))

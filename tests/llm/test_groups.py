@@ -342,3 +342,21 @@ def test_contract_twins(spark):
 
 def test_texts_hold_near_copies():
     assert len(set(texts())) < 120
+
+
+@pytest.mark.parametrize("size", [64 << 20, 0])
+def test_urls_with_very_long_hosts_and_paths(spark, size):
+    long = "a." * 100_000
+    rows = [(1, f"http://{long}example.com/en/7x"), (2, f"http://{long}org/{'es/' * 50_000}"), (3, f"http://{long}net"), (4, "http://com/en/1")]
+    rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
+    got = urls.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string"), rules, max_index_bytes=size).collect()
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in got} == {1: ("example.com/en/7", "allow"), 2: ("org/es/", "block"), 3: (None, "allow"), 4: ("com/en/", "block")}
+
+
+def test_quality_sample_is_bounded_without_ids(spark, monkeypatch):
+    taken = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda rows, chances: (taken.append(len(rows)), fit(rows, chances))[1])
+    docs = spark.createDataFrame([(None if i % 3 else i, f"some words number {i} are here.") for i in range(6000)], "doc_id bigint, text string").repartition(4)
+    assert quality.score_quality(docs, fit_rows=600).count() == 6000
+    assert 300 < taken[0] < 1200
