@@ -337,7 +337,7 @@ def test_contract_twins(spark):
         got = queries.queries()[name](spark, "/root/testdata/sf0.001")
         want = con.sql(sql)
         assert Counter(map(tuple, got.select(*want.columns).collect())) == Counter(want.fetchall()), name
-    assert set(queries.queries()) >= set(queries.oracle_sql()) and len(queries.queries()) == 10
+    assert set(queries.queries()) >= set(queries.oracle_sql()) and len(queries.queries()) == 13
 
 
 def test_texts_hold_near_copies():
