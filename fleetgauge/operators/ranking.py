@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import bin_index, digest, ratio
 from ..functions.order import exact_quantiles, known_score, score_rank, totals_in_order
-from ..session import settle
 
 # Cut-off lists (fixed values).
 DEFAULT_KS = (10, 25, 50, 100)
