@@ -49,9 +49,9 @@ def _(spark, d):
 
 
 def ladder_sql(k: int) -> str:
-    hits = ("count(*) FILTER (WHERE r.label = (n1 > n0)::INT AND split = '{s}')::DOUBLE / count(*) FILTER (WHERE split = '{s}') AS {s}_accuracy, "
-            "(count(*) FILTER (WHERE r.label = 0 AND n1 <= n0 AND split = '{s}')::DOUBLE / count(*) FILTER (WHERE r.label = 0 AND split = '{s}') + "
-            "count(*) FILTER (WHERE r.label = 1 AND n1 > n0 AND split = '{s}')::DOUBLE / count(*) FILTER (WHERE r.label = 1 AND split = '{s}')) / 2 "
+    hits = ("count(*) FILTER (WHERE r.label = (n1 > n0)::INT AND split = '{s}')::DOUBLE / nullif(count(*) FILTER (WHERE split = '{s}'), 0) AS {s}_accuracy, "
+            "(count(*) FILTER (WHERE r.label = 0 AND n1 <= n0 AND split = '{s}')::DOUBLE / nullif(count(*) FILTER (WHERE r.label = 0 AND split = '{s}'), 0) + "
+            "count(*) FILTER (WHERE r.label = 1 AND n1 > n0 AND split = '{s}')::DOUBLE / nullif(count(*) FILTER (WHERE r.label = 1 AND split = '{s}'), 0)) / 2 "
             "AS {s}_balanced_accuracy")
     return (f" SELECT {k} AS max_depth, (SELECT max(length(path)) FROM node{k}) AS depth, (SELECT count(*) FROM node{k}) AS leaves, "
             f"{hits.format(s='train')}, {hits.format(s='test')} FROM x{k} r JOIN node{k} n ON n.path = r.path")
