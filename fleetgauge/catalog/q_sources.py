@@ -407,8 +407,8 @@ def _(spark, d):
 
 
 # Windows from each drive's first day. Readings are up to three days late, and some of them up to 200 days, long after their windows were sent.
-_READ = """SELECT w.drive, w.start, {label} AS label, count(*) AS n, sum(dd.q) AS total, max(dd.q) AS peak
-   FROM {wins} w JOIN dd ON dd.drive = w.drive AND datediff('day', w.first_day, dd.day) BETWEEN w.start AND w.start + 29 GROUP BY w.drive, w.start"""
+_READ = """SELECT w.drive, w.start, {label} AS label, count(dd.drive) AS n, sum(dd.q) AS total, max(dd.q) AS peak
+   FROM {wins} w LEFT JOIN dd ON dd.drive = w.drive AND datediff('day', w.first_day, dd.day) BETWEEN w.start AND w.start + 29 GROUP BY w.drive, w.start"""
 
 
 def anchored(spark, d, stride=None):
