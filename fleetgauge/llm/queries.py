@@ -13,7 +13,7 @@ from . import bpe, covertree, langid, packing, pieces, pii, quality, radix, repa
 TOKEN_LIMIT = 4096
 SEQUENCE = 4096
 END_ID = 1
-URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"),
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"),
              ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
