@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -218,23 +219,41 @@ def best_run(runs: DataFrame, select_by: str = "val_pr_auc") -> DataFrame:
 
 
 class ExperimentLog:
-    """The log's sheets as Parquet tables under one folder, with a partition for each run.
+    """The log's sheets as Parquet tables under one folder, in `BUCKETS` partitions by a hash of the run, however many runs there are.
 
-    Adding a `variation` again replaces its partition and leaves the others alone.
+    Adding a `variation` again replaces its rows and leaves the other runs alone; only the buckets of the added runs are written anew.
     """
 
     SHEETS = ("summary", "configs", "epochs", "diagnostics", "precision_at_k", "full_test")
+    BUCKETS = 64
 
     def __init__(self, spark, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def read(self, sheet: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{sheet}").drop("run")
+        return self.spark.read.parquet(f"{self.folder}/{sheet}").drop("run_bucket")
+
+    def stored(self, sheet: str) -> DataFrame | None:
+        """The sheet with its buckets; None if nothing was put there yet."""
+        try:
+            return self.spark.read.option("mergeSchema", "true").parquet(f"{self.folder}/{sheet}")
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return None
 
     def put(self, sheet: str, rows: DataFrame) -> DataFrame:
         if sheet not in self.SHEETS:
             raise ValueError(f"unknown sheet {sheet!r}")
-        (rows.withColumn("run", F.col("variation")).hint("rebalance", F.col("run")).write.partitionBy("run")
+        fresh = rows.withColumn("run_bucket", F.pmod(F.xxhash64(F.col("variation").cast("string")), F.lit(self.BUCKETS)).cast("int"))
+        old = self.stored(sheet)
+        if old is not None:
+            fresh = settle(fresh)
+            again = fresh.select(F.col("variation").alias("_again"), "run_bucket").distinct()
+            touched = [r["run_bucket"] for r in again.select("run_bucket").distinct().collect()]          # at most BUCKETS
+            left = old.where(F.col("run_bucket").isin(touched)).join(again.drop("run_bucket"), F.col("variation").eqNullSafe(F.col("_again")), "left_anti")
+            fresh = settle(left.unionByName(fresh, allowMissingColumns=True))          # read to its end before its buckets are replaced
+        (fresh.hint("rebalance", F.col("run_bucket")).write.partitionBy("run_bucket")
          .option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{self.folder}/{sheet}"))
         return self.read(sheet)
 

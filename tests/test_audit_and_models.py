@@ -232,3 +232,16 @@ def test_log_replaces_single_runs(spark, tmp_path):
     assert sorted(map(tuple, log.read("configs").collect())) == [("a", 9), ("b", 2)]
     with pytest.raises(ValueError):
         log.put("other", rows)
+
+
+def test_log_has_few_folders_for_many_runs(spark, tmp_path):
+    log = ex.ExperimentLog(spark, str(tmp_path))
+    rows = spark.range(500).select(F.when(F.col("id") > 0, F.col("id")).alias("variation"), F.lit(1).alias("v"))
+    log.put("configs", rows)
+    again = rows.where("variation IS NULL OR variation % 7 = 3").select(F.col("variation").cast("int").alias("variation"), F.lit(2).alias("v"), F.lit("x").alias("note"))
+    log.put("configs", again)
+    log.put("configs", again.drop("note"))
+    got = {r["variation"]: r["v"] for r in log.read("configs").collect()}
+    assert log.read("configs").count() == 500
+    assert got == {i or None: 2 if i == 0 or i % 7 == 3 else 1 for i in range(500)}
+    assert len(list((tmp_path / "configs").glob("run*"))) <= log.BUCKETS
