@@ -10,7 +10,6 @@ back windows that are no more (`gone`). `current_windows` is what holds after al
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,138 +21,184 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..session import ship
 from ..settings import WindowSpec
-from .history import DAY_MS, EPOCH, day_number, on_event_days
+from .history import DAY_MS, NEVER, on_event_days
 
-BLOCK = 32                # days of a record that are one value in state
+BLOCK = 256               # days of a record, and the windows that start on them, that are one value in state
 SEQ, FAILED, VALUE = range(3)
-SENT = "first int, n int, failed int, total double, peak double, version int"
-TAKEN_BACK = -1           # as n
-OUT = "first_day date, start int, start_day date, end_day date, n int, label int, total double, peak double, version int, gone int"
+START, FIRST, N, LABEL, TOTAL, PEAK, VERSION = range(7)          # of a window that was sent
+TAKEN_BACK = -1           # as N
+SENT = "first int, at int, n int, label int, total double, peak double, version int, gone int"
+
+
+class Record:
+    """A drive's blocks while its task works on them: each is read once at most, and the changed ones are written once."""
+
+    def __init__(self, state, known: bytes):
+        self.state, self.known = state, set(np.frombuffer(known, np.int32).tolist())
+        self.days: dict[int, np.ndarray] = {}
+        self.sent: dict[int, np.ndarray] = {}
+        self.dirty: set[int] = set()
+
+    def load(self, n: int) -> None:
+        if n not in self.days:
+            days, sent = self.state.getValue((n,)) if n in self.known else (None, b"")
+            self.days[n] = np.full((BLOCK, 3), np.nan) if days is None else np.frombuffer(days).reshape(BLOCK, 3).copy()
+            self.sent[n] = np.frombuffer(sent).reshape(-1, 7).copy()
+
+    def between(self, low: int, high: int) -> np.ndarray:
+        """The days `low` to `high`, both included; a day without a reading has no number."""
+        wanted = range(low // BLOCK, high // BLOCK + 1)
+        for n in wanted:
+            self.load(n)
+        return np.concatenate([self.days[n] for n in wanted])[low - wanted[0] * BLOCK:high - wanted[0] * BLOCK + 1]
+
+    def take_in(self, days: np.ndarray, readings: np.ndarray) -> None:
+        """Readings of different days; one with a lower `seq` than the stored one does not count."""
+        for n in np.unique(days // BLOCK).tolist():
+            self.load(n)
+            mine = days // BLOCK == n
+            at, new = days[mine] % BLOCK, readings[mine]
+            counts = ~(self.days[n][at, SEQ] > new[:, SEQ])
+            self.days[n][at[counts]] = new[counts]
+            self.dirty.add(n)
+
+    def sent_from(self, n: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the block's `starts` were sent before, and their rows in `sent`."""
+        self.load(n)
+        at = np.searchsorted(self.sent[n][:, START], starts)
+        found = at < len(self.sent[n])
+        found[found] = self.sent[n][at[found], START] == starts[found]
+        return found, at[found]
+
+    def store(self) -> bytes:
+        for n in self.dirty:
+            self.state.updateValue((n,), (self.days[n].tobytes(), self.sent[n].tobytes()))
+        return np.array(sorted(self.known | self.dirty), np.int32).tobytes()
 
 
 class AnchoredWindows(StatefulProcessor):
-    """State of a drive: its days in blocks, first and last day, and what was sent of each window. Windows are known by the day they start on."""
+    """State of a drive: its days in blocks with what was sent of the windows that start there, and its first and last day. Windows are
+    known by the day they start on. A drive has one timer, for the next of its windows that event time has not passed."""
 
     def __init__(self, days: int, stride: int | None, reach: int, shortest: int):
         self.days, self.stride, self.reach, self.shortest = days, stride, reach, max(shortest, days)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.blocks = handle.getMapState("blocks", "n int", "data binary")
-        self.bounds = handle.getValueState("bounds", "first int, last int")
-        self.sent = handle.getMapState("sent", "start int", SENT)
+        self.blocks = handle.getMapState("blocks", "n int", "days binary, sent binary")
+        self.bounds = handle.getValueState("bounds", "first int, last int, passed int, alarm int, blocks binary")
 
-    def starts(self, first: int, last: int) -> set[int]:
+    def starts(self, first: int, last: int) -> np.ndarray:
         if last - first + 1 < self.shortest:
-            return set()
+            return np.empty(0, np.int64)
         final = last - self.days + 1
         if self.stride:
-            return set(range(first, final + 1, self.stride))
-        return {min(s, final) for s in range(first, last + 1, self.days)}
-
-    def block(self, n: int) -> np.ndarray:
-        known = self.blocks.getValue((n,)) if self.blocks.containsKey((n,)) else None
-        return np.full((BLOCK, 3), np.nan) if known is None else np.frombuffer(known[0]).reshape(BLOCK, 3).copy()
-
-    def between(self, low: int, high: int, cache: dict[int, np.ndarray]) -> np.ndarray:
-        """The days `low` to `high`, both included; a day without a reading has no number."""
-        wanted = range(low // BLOCK, high // BLOCK + 1)
-        for n in wanted:
-            if n not in cache:
-                cache[n] = self.block(n)
-        return np.concatenate([cache[n] for n in wanted])[low - wanted[0] * BLOCK:high - wanted[0] * BLOCK + 1]
-
-    def row(self, drive, start: int, facts: tuple, gone: int) -> tuple:
-        first, n, failed, total, peak, version = facts
-        at = EPOCH + dt.timedelta(days=start)
-        return (drive, EPOCH + dt.timedelta(days=first), start - first, at, at + dt.timedelta(days=self.days - 1), n, failed, total, peak, version, gone)
-
-    def send(self, drive, first: int, start: int, cache: dict[int, np.ndarray]) -> list[tuple]:
-        """The window's row, unless it is as it was sent before."""
-        seen = self.between(start, start + self.reach, cache)
-        mine = seen[:self.days]
-        here = ~np.isnan(mine[:, SEQ])
-        values = mine[~np.isnan(mine[:, VALUE]), VALUE]
-        facts = (first, int(here.sum()), int(np.nansum(seen[:, FAILED]) > 0), float(values.sum()) if len(values) else None, float(values.max()) if len(values) else None)
-        known = self.sent.getValue((start,)) if self.sent.containsKey((start,)) else None
-        if known is not None and tuple(known)[:5] == facts:
-            return []
-        facts = (*facts, 1 if known is None else known[5] + 1)
-        self.sent.updateValue((start,), facts)
-        return [self.row(drive, start, facts, 0)]
-
-    def take_back(self, drive, start: int) -> list[tuple]:
-        known = tuple(self.sent.getValue((start,))) if self.sent.containsKey((start,)) else None
-        if known is None or known[1] == TAKEN_BACK:
-            return []
-        facts = (*known[:5], known[5] + 1)
-        self.sent.updateValue((start,), (facts[0], TAKEN_BACK, *facts[2:]))
-        return [self.row(drive, start, facts, 1)]
-
-    def frame(self, drive, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["drive", *[c.split()[0] for c in OUT.split(", ")]])
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest: dict[int, tuple] = {}
-        for chunk in rows:
-            for r in chunk.itertuples(index=False):
-                n = day_number(r.day)
-                if n not in newest or r.seq >= newest[n][SEQ]:
-                    newest[n] = (r.seq, 0 if pd.isna(r.failure) else r.failure, np.nan if pd.isna(r.value) else r.value)
-        cache: dict[int, np.ndarray] = {}
-        for n, reading in newest.items():
-            day = self.between(n, n, cache)[0]
-            if np.isnan(day[SEQ]) or day[SEQ] <= reading[SEQ]:
-                cache[n // BLOCK][n % BLOCK] = reading
-        for n in {d // BLOCK for d in newest}:
-            self.blocks.updateValue((n,), (cache[n].tobytes(),))
+            return np.arange(first, final + 1, self.stride)
+        return np.unique(np.minimum(np.arange(first, last + 1, self.days), final))
+
+    def facts(self, record: Record, first: int, starts: np.ndarray) -> np.ndarray:
+        """Each window as it is now, as its first version."""
+        seen = np.lib.stride_tricks.sliding_window_view(record.between(starts[0], starts[-1] + self.reach), self.reach + 1, axis=0)[starts - starts[0]]
+        mine = seen[:, :, :self.days]
+        known = ~np.isnan(mine[:, VALUE])
+        some = known.any(axis=1)
+        return np.column_stack([
+            starts, np.full(len(starts), first), (~np.isnan(mine[:, SEQ])).sum(axis=1), np.nansum(seen[:, FAILED], axis=1) > 0,
+            np.where(some, np.where(known, mine[:, VALUE], 0.0).sum(axis=1), np.nan),
+            np.where(some, np.where(known, mine[:, VALUE], -np.inf).max(axis=1), np.nan), np.ones(len(starts))])
+
+    def send(self, record: Record, first: int, starts: np.ndarray) -> list[np.ndarray]:
+        """The rows of windows that are not as they were sent before."""
+        out = []
+        for n in np.unique(starts // BLOCK).tolist():
+            mine = starts[starts // BLOCK == n]
+            rows = self.facts(record, first, mine)
+            found, at = record.sent_from(n, mine)
+            before = record.sent[n][at]
+            rows[found, VERSION] = before[:, VERSION] + 1
+            fixed, was = rows[found, FIRST:VERSION], before[:, FIRST:VERSION]
+            same = found.copy()
+            same[found] = ((fixed == was) | np.isnan(fixed) & np.isnan(was)).all(axis=1)
+            if not same.all():
+                rows = rows[~same]
+                kept = record.sent[n][~np.isin(record.sent[n][:, START], rows[:, START])]
+                both = np.concatenate([kept, rows])
+                record.sent[n] = both[np.argsort(both[:, START])]
+                record.dirty.add(n)
+                out.append(np.column_stack([rows, np.zeros(len(rows))]))
+        return out
+
+    def take_back(self, record: Record, starts: np.ndarray) -> list[np.ndarray]:
+        out = []
+        for n in np.unique(starts // BLOCK).tolist():
+            _, at = record.sent_from(n, starts[starts // BLOCK == n])
+            at = at[record.sent[n][at, N] != TAKEN_BACK]
+            if len(at):
+                record.sent[n][at, VERSION] += 1
+                out.append(np.column_stack([record.sent[n][at], np.ones(len(at))]))
+                record.sent[n][at, N] = TAKEN_BACK
+                record.dirty.add(n)
+        return out
+
+    def refresh(self, drive, days: np.ndarray, readings: np.ndarray, passed: int) -> Iterator[pd.DataFrame]:
+        """Take in readings of sorted days, send and take back windows, and set the timer for the next window."""
         before = self.bounds.get()
-        first, last = min(newest), max(newest)
-        if before is not None:
-            first, last = min(first, before[0]), max(last, before[1])
-        self.bounds.update((first, last))
-        old = set() if before is None else self.starts(*before)
+        record = Record(self.blocks, b"" if before is None else before[4])
+        record.take_in(days, readings)
+        if before is None:
+            first, last, upto, alarm, old = int(days[0]), int(days[-1]), NEVER, NEVER, np.empty(0, np.int64)
+        else:
+            first, last = int(min([before[0], *days[:1]])), int(max([before[1], *days[-1:]]))
+            upto, alarm, old = before[2], before[3], self.starts(*before[:2])
         now = self.starts(first, last)
-        out = []
-        for start in sorted(old - now):
-            out += self.take_back(key[0], start)
-        changed = np.array(sorted(newest))
-        moved = before is not None and before[0] != first
-        passed = timerValues.getCurrentWatermarkInMs()
-        for start in sorted(now):
-            at = np.searchsorted(changed, start)
-            if start not in old or moved or at < len(changed) and changed[at] <= start + self.reach:
-                due = (start + self.reach + 1) * DAY_MS
-                if due <= passed:
-                    out += self.send(key[0], first, start, cache)
-                else:
-                    self.handle.registerTimer(due)
+        out = self.take_back(record, np.setdiff1d(old, now))
+        due = now[now + self.reach < passed]
+        if before is None or before[0] == first:
+            at = np.searchsorted(days, due)
+            changed = at < len(days)
+            changed[changed] = days[at[changed]] <= due[changed] + self.reach
+            due = due[changed | (due + self.reach >= upto) | ~np.isin(due, old)]
+        out += self.send(record, first, due)
+        later = now[now + self.reach >= passed]
+        if len(later) and (alarm <= passed or later[0] + self.reach + 1 < alarm):
+            alarm = int(later[0]) + self.reach + 1
+            self.handle.registerTimer(alarm * DAY_MS)
+        self.bounds.update((first, last, max(upto, passed), alarm, record.store()))
         if out:
-            yield self.frame(key[0], out)
+            rows = np.concatenate(out)
+            yield pd.DataFrame({"drive": [drive] * len(rows), "first": rows[:, FIRST].astype(np.int32), "at": rows[:, START].astype(np.int32),
+                                "n": rows[:, N].astype(np.int32), "label": rows[:, LABEL].astype(np.int32), "total": rows[:, TOTAL],
+                                "peak": rows[:, PEAK], "version": rows[:, VERSION].astype(np.int32), "gone": rows[:, -1].astype(np.int32)})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        got = np.concatenate([chunk[["day", "seq", "failure", "value"]].to_numpy(float) for chunk in rows])
+        got = got[np.lexsort((got[:, 1], got[:, 0]))]
+        got = got[np.append(got[1:, 0] != got[:-1, 0], True)]          # of a day the last with the highest seq
+        yield from self.refresh(key[0], got[:, 0].astype(np.int64), got[:, 1:], timerValues.getCurrentWatermarkInMs() // DAY_MS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        first, last = self.bounds.get()
-        start = expiredTimerInfo.getExpiryTimeInMs() // DAY_MS - self.reach - 1
-        if start in self.starts(first, last):
-            out = self.send(key[0], first, start, {})
-            if out:
-                yield self.frame(key[0], out)
+        yield from self.refresh(key[0], np.empty(0, np.int64), np.empty((0, 3)), timerValues.getCurrentWatermarkInMs() // DAY_MS)
 
     def close(self) -> None:
         pass
 
 
 def anchored_windows(readings: DataFrame, spec: WindowSpec, stride: int | None = None, late: str = "3 days") -> DataFrame:
-    """Stream of OUT per drive from a stream of drive, day, seq, failure, value: tiles, or windows each `stride` days.
+    """Stream of drive, first_day, start, start_day, end_day, n, label, total, peak, version, gone from a stream of drive, day, seq, failure,
+    value: tiles, or windows each `stride` days.
 
     n, total and peak are over the days with a reading; `start` is the position of the first day in the record, which counts from `first_day`.
     """
     proc = AnchoredWindows(spec.days, stride, spec.reach, spec.shortest_record)
-    rows = on_event_days(readings, late).select("drive", "day", F.col("seq").cast("double").alias("seq"), F.col("failure").cast("double").alias("failure"),
-                                                F.col("value").cast("double").alias("value"))
-    schema = T.StructType([T.StructField("drive", readings.schema["drive"].dataType), *T._parse_datatype_string(OUT).fields])
-    return rows.groupBy("drive").transformWithStateInPandas(
+    rows = on_event_days(readings, late).select(
+        "drive", F.unix_date("day").alias("day"), F.coalesce(F.col("seq").cast("double"), F.lit(float("-inf"))).alias("seq"),
+        F.coalesce(F.col("failure").cast("double"), F.lit(0.0)).alias("failure"), F.col("value").cast("double").alias("value"))
+    schema = T.StructType([T.StructField("drive", readings.schema["drive"].dataType), *T._parse_datatype_string(SENT).fields])
+    sent = rows.groupBy("drive").transformWithStateInPandas(
         statefulProcessor=proc, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    return sent.select("drive", F.date_from_unix_date("first").alias("first_day"), (F.col("at") - F.col("first")).alias("start"),
+                       F.date_from_unix_date("at").alias("start_day"), F.date_from_unix_date(F.col("at") + spec.days - 1).alias("end_day"),
+                       "n", "label", "total", "peak", "version", "gone")
 
 
 def current_windows(sent: DataFrame) -> DataFrame:
