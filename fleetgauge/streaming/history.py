@@ -10,7 +10,6 @@ Rows without a drive are heartbeats: they move event time and nothing else.
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -24,8 +23,8 @@ from ..operators.rowlevel import risk_action, risk_band
 from ..session import ship
 
 KEEP = 60
-EPOCH = dt.date(1970, 1, 1)
 DAY_MS = 86_400_000
+NEVER = -2 ** 31
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -40,68 +39,65 @@ def on_event_days(readings: DataFrame, late: str) -> DataFrame:
     return timed.where(F.when(F.col("drive").isNotNull(), F.col("_at")).isNotNull()).drop("_at")
 
 
-def day_number(day: dt.date) -> int:
-    return (day - EPOCH).days
-
-
 class DriveHistory(StatefulProcessor):
+    """State of a drive: the days that wait, the folded ones and the time of its timer, which is for the first of its waiting days, as one value."""
+
     def __init__(self, attrs: Sequence[str], days_ago: int, slack: int, keep: int):
         self.attrs, self.days_ago, self.slack, self.keep = list(attrs), days_ago, slack, keep
+        self.kind = np.dtype([("n", "<i8"), ("seq", "<i8"), ("v", "<f8", (len(self.attrs),))])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        values = [T.StructField(a, T.DoubleType()) for a in self.attrs]
-        self.waiting = handle.getMapState("waiting", "n int", T.StructType([T.StructField("seq", T.LongType()), *values]))
-        self.folded = handle.getValueState("folded", T.StructType([T.StructField("days", T.BinaryType())]))
+        self.record = handle.getValueState("record", "waiting binary, folded binary, alarm int")
 
-    def fold(self, drive, rows: list[tuple[int, tuple]]) -> pd.DataFrame:
+    def fold(self, history: dict[int, list[float]], due: np.ndarray) -> list[tuple]:
         """Take in readings by day, and compare each with the stored one nearest to `days_ago` days before."""
-        stored = self.folded.get()
-        history = {int(r[0]): r[1:] for r in np.frombuffer(stored[0] if stored else b"").reshape(-1, 1 + len(self.attrs))}
         out = []
-        for n, values in sorted(rows):
+        for n, now in zip(due["n"].tolist(), due["v"].tolist()):
             near = range(n - self.days_ago - self.slack, n - self.days_ago + self.slack + 1)
             at = min((d for d in near if d in history), key=lambda d: (abs(d - (n - self.days_ago)), d), default=None)
-            now = [None if v is None or np.isnan(v) else float(v) for v in values]
-            before = [None] * len(now) if at is None else [None if np.isnan(v) else float(v) for v in history[at]]
-            delta = [None if a is None or b is None else a - b for a, b in zip(now, before)]
-            out.append((drive, EPOCH + dt.timedelta(days=n), None if at is None else EPOCH + dt.timedelta(days=at), *now, *delta))
-            history[n] = np.array([np.nan if v is None else v for v in now])
+            before = [np.nan] * len(now) if at is None else history[at]
+            out.append((n, at, *now, *[a - b for a, b in zip(now, before)]))
+            history[n] = now
             if len(history) > self.keep:
                 del history[min(history)]
-        self.folded.update((np.array([[d, *v] for d, v in sorted(history.items())], float).tobytes(),))
-        return pd.DataFrame(out, columns=self.columns())
+        return out
+
+    def refresh(self, drive, new: np.ndarray, passed: int) -> Iterator[pd.DataFrame]:
+        """Let `new` readings of sorted days wait, fold those that event time has passed, and set the timer for the next one."""
+        known = self.record.get()
+        waiting, folded, alarm = (np.empty(0, self.kind), b"", NEVER) if known is None else (np.frombuffer(known[0], self.kind), known[1], known[2])
+        both = np.concatenate([waiting, new])
+        both = both[np.lexsort((both["seq"], both["n"]))]
+        both = both[np.append(both["n"][1:] != both["n"][:-1], True)[:len(both)]]          # of a day the last with the highest seq
+        due, waiting = both[both["n"] < passed], both[both["n"] >= passed]
+        out = []
+        if len(due):
+            stored = np.frombuffer(folded).reshape(-1, 1 + len(self.attrs))
+            history = dict(zip(stored[:, 0].astype(int).tolist(), stored[:, 1:].tolist()))
+            out = self.fold(history, due)
+            folded = np.array([[d, *v] for d, v in sorted(history.items())], float).tobytes()
+        if len(waiting) and (alarm <= passed or waiting["n"][0] + 1 < alarm):
+            alarm = int(waiting["n"][0]) + 1
+            self.handle.registerTimer(alarm * DAY_MS)
+        self.record.update((waiting.tobytes(), folded, alarm))
+        if out:
+            columns = dict(zip(self.columns(), zip(*out)))
+            yield pd.DataFrame({"drive": [drive] * len(out), "day": columns.pop("day"), "prior_day": pd.array(columns.pop("prior_day"), "Int32"), **columns})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest: dict[int, tuple] = {}
-        for chunk in rows:
-            for r in chunk.itertuples(index=False):
-                n = day_number(r.day)
-                if n not in newest or r.seq >= newest[n][0]:
-                    newest[n] = (int(r.seq), *[None if pd.isna(v) else float(v) for v in (getattr(r, a) for a in self.attrs)])
-        passed = timerValues.getCurrentWatermarkInMs()
-        for n, reading in newest.items():
-            known = self.waiting.getValue((n,)) if self.waiting.containsKey((n,)) else None
-            if known is None or known[0] <= reading[0]:
-                self.waiting.updateValue((n,), reading)
-            if (n + 1) * DAY_MS > passed:
-                self.handle.registerTimer((n + 1) * DAY_MS)
-        if any((n + 1) * DAY_MS <= passed for n in newest):
-            yield from self.fold_due(key[0], passed)
+        chunks = list(rows)
+        new = np.empty(sum(map(len, chunks)), self.kind)
+        new["n"] = np.concatenate([c["day"].to_numpy() for c in chunks])
+        new["seq"] = np.concatenate([c["seq"].to_numpy() for c in chunks])
+        new["v"] = np.concatenate([c[[f"a{i}" for i in range(len(self.attrs))]].to_numpy(float) for c in chunks])
+        yield from self.refresh(key[0], new, timerValues.getCurrentWatermarkInMs() // DAY_MS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """A drive's first timer of a batch folds all of its days that are due; the others find nothing."""
-        yield from self.fold_due(key[0], timerValues.getCurrentWatermarkInMs())
-
-    def fold_due(self, drive, passed: int) -> Iterator[pd.DataFrame]:
-        due = [(n, tuple(values)) for (n,), values in self.waiting.iterator() if (n + 1) * DAY_MS <= passed]
-        for n, _ in due:
-            self.waiting.removeKey((n,))
-        if due:
-            yield self.fold(drive, [(n, values[1:]) for n, values in due])
+        yield from self.refresh(key[0], np.empty(0, self.kind), timerValues.getCurrentWatermarkInMs() // DAY_MS)
 
     def columns(self) -> list[str]:
-        return ["drive", "day", "prior_day", *self.attrs, *[f"{a}_delta{self.days_ago}" for a in self.attrs]]
+        return ["day", "prior_day", *self.attrs, *[f"{a}_delta{self.days_ago}" for a in self.attrs]]
 
     def close(self) -> None:
         pass
@@ -111,12 +107,15 @@ def history_deltas(readings: DataFrame, attrs: Sequence[str], days_ago: int = 7,
                    keep: int = KEEP, late: str = "3 days") -> DataFrame:
     """Stream of (drive, day, prior_day, attributes, deltas) from a stream of drive, day, seq, attributes."""
     proc = DriveHistory(attrs, days_ago, slack, keep)
-    rows = on_event_days(readings, late).select("drive", "day", F.col("seq").cast("bigint").alias("seq"), *[F.col(a).cast("double").alias(a) for a in attrs])
-    schema = T.StructType([T.StructField("drive", readings.schema["drive"].dataType), T.StructField("day", T.DateType()),
-                           T.StructField("prior_day", T.DateType())]
-                          + [T.StructField(c, T.DoubleType()) for c in proc.columns()[3:]])
-    return rows.groupBy("drive").transformWithStateInPandas(
+    rows = on_event_days(readings, late).select(
+        "drive", F.unix_date("day").alias("day"), F.coalesce(F.col("seq").cast("bigint"), F.lit(-2 ** 63).cast("bigint")).alias("seq"),
+        *[F.col(a).cast("double").alias(f"a{i}") for i, a in enumerate(attrs)])
+    schema = T.StructType([T.StructField("drive", readings.schema["drive"].dataType), T.StructField("day", T.IntegerType()),
+                           T.StructField("prior_day", T.IntegerType())]
+                          + [T.StructField(c, T.DoubleType()) for c in proc.columns()[2:]])
+    out = rows.groupBy("drive").transformWithStateInPandas(
         statefulProcessor=proc, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    return out.withColumn("day", F.date_from_unix_date("day")).withColumn("prior_day", F.date_from_unix_date("prior_day"))
 
 
 def with_band(scored: DataFrame, score: str, threshold: float) -> DataFrame:

@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from fleetgauge.operators.calendar import census
@@ -92,3 +94,54 @@ def test_windows_after_corrections_are_the_batch_windows(spark, small_chunks, tm
         want[w["drive"], w["start"]] = (w["label"], len(mine), float(sum(mine)) if mine else None, max(mine, default=None))
     assert got == want
     assert sent.where("gone = 1").count() > 0 and sent.where("version > 1 AND gone = 0").count() > 0
+
+
+class CountedState:
+    """A drive's state and timers in a dictionary, with the number of calls that a worker would send to its executor."""
+
+    def __init__(self):
+        self.values, self.calls = {}, 0
+
+    def getMapState(self, name, key, value):
+        return self
+
+    def getValueState(self, name, schema):
+        return self
+
+    def call(self):
+        self.calls += 1
+
+    def get(self):
+        self.call()
+        return self.values.get("own")
+
+    def update(self, value):
+        self.call()
+        self.values["own"] = value
+
+    def containsKey(self, key):
+        self.call()
+        return key in self.values
+
+    def getValue(self, key):
+        self.call()
+        return self.values.get(key)
+
+    def updateValue(self, key, value):
+        self.call()
+        self.values[key] = value
+
+    def registerTimer(self, ms):
+        self.call()
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+@pytest.mark.parametrize("processor", [windows.AnchoredWindows(30, 15, 59, 30), windows.AnchoredWindows(30, None, 59, 30), history.DriveHistory(["a0"], 7, 1, 60)])
+def test_state_calls_do_not_grow_with_the_days(processor):
+    state = CountedState()
+    processor.init(state)
+    days = pd.DataFrame({"day": np.arange(20_000, 20_500), "seq": 0, "failure": 0.0, "value": 1.0, "a0": 1.0})
+    assert list(processor.handleInputRows((1,), iter([days]), state)) == []
+    assert state.calls < 12
