@@ -181,3 +181,13 @@ def test_metadata_shuffles_the_calendar_once(spark):
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "ReusedExchange" not in line]
     assert len(exchanges) == 2           # raw rows by (supplier, day), and their sums by drive
     assert "Join" not in plan
+
+
+def test_parts_of_the_days_grow_with_the_table(spark, sf_dir, monkeypatch):
+    from fleetgauge.catalog import views
+    few = {make: make(spark, sf_dir) for make in (views.supply_days, views.events_days)}
+    monkeypatch.setattr(views, "PART_ROWS", 50)
+    for make, want in few.items():
+        got = make(spark, sf_dir)
+        assert got.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
