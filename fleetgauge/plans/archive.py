@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import leakage, models, ranking, timeline
-from ..operators.calendar import census, dedupe_days, densify
+from ..operators.calendar import census, dedupe_days, densify, in_parts
 from ..operators.features import window_aggregates
 from ..operators.scaling import Contract, fit_window_scaling
 from ..operators.splits import grouped_split, train_probe
@@ -30,15 +30,26 @@ class ArchiveResult:
     precision: DataFrame
 
 
-def window_table(readings: DataFrame, split: DataFrame, spec: WindowSpec, exact: bool = True, cover: str = "tile"):
-    """(scaling, scaled window features with split). Scaling is fitted on observed training days only."""
-    dense = densify(dedupe_days(readings), spec, carry=("model",))
+def days_in_parts(readings: DataFrame) -> DataFrame:
+    """One row per (drive, day), settled, and by drive in parts whose number grows with the days."""
+    days = settle(dedupe_days(readings))                        # read by the fit and by the windows
+    return in_parts(days, days.count())
+
+
+def features_of_days(days: DataFrame, split: DataFrame, spec: WindowSpec, exact: bool = True, cover: str = "tile"):
+    """`window_table` of readings that hold one row per (drive, day)."""
+    dense = densify(days, spec, carry=("model",))
     tagged = dense.join(split.select("drive", "split"), "drive")
     scaling = fit_window_scaling(tagged.where("split = 'train'"), spec, exact)
     feats = window_aggregates(scaling.apply(tagged), spec, cover, carry=("model", "split"))
     return scaling, feats
 
 
+def window_table(readings: DataFrame, split: DataFrame, spec: WindowSpec, exact: bool = True, cover: str = "tile"):
+    """(scaling, scaled window features with split). Scaling is fitted on observed training days only."""
+    return features_of_days(dedupe_days(readings), split, spec, exact, cover)
+
+
 def run_archive(readings: DataFrame, spec: WindowSpec, rules: LeakageRules = LeakageRules(),
                 categorical: Sequence[str] = (), select: bool = True, exact_medians: bool = False, cover: str = "tile",
                 **boosting) -> ArchiveResult:
@@ -51,7 +62,7 @@ def run_archive(readings: DataFrame, spec: WindowSpec, rules: LeakageRules = Lea
         spec = replace(spec, attrs=tuple(chosen), log_attrs=tuple(a for a in spec.log_attrs if a in chosen))
     leakage.assert_unblocked(spec.channels, report.blocklist)
     split = settle(grouped_split(census(readings).where(F.col("n_days") >= spec.shortest_record)))
-    scaling, feats = window_table(readings, split, spec, exact_medians, cover)
+    scaling, feats = features_of_days(days_in_parts(readings), split, spec, exact_medians, cover)
     table = settle(feats)                                       # read by the fit, the threshold and the test
     parts = {s: table.where(F.col("split") == s) for s in ("train", "val", "test")}
     probe = parts["train"].join(train_probe(split).select("drive"), "drive", "left_semi")

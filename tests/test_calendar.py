@@ -191,3 +191,18 @@ def test_parts_of_the_days_grow_with_the_table(spark, sf_dir, monkeypatch):
         got = make(spark, sf_dir)
         assert got.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
         assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_parts_of_the_archive_run_grow_with_the_days(spark, sf_dir, monkeypatch):
+    """The calendar of settled readings is sorted in parts by the number of days, not in parts joined by the size of what is read."""
+    from fleetgauge.catalog import views
+    from fleetgauge.plans import archive
+    from fleetgauge.session import settle
+    days = settle(views.supply_days(spark, sf_dir))
+    split = days.select("drive").distinct().withColumn("split", F.lit("train"))
+    columns = ["drive", "start", "label", "n_real", F.round("q__max", 6).alias("peak")]
+    few = archive.window_table(days, split, views.SUPPLY_SPEC)[1].select(*columns).collect()
+    monkeypatch.setattr(cal, "PART_ROWS", 50)
+    table = archive.features_of_days(archive.days_in_parts(days), split, views.SUPPLY_SPEC)[1].select(*columns)
+    assert table.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    assert sorted(map(repr, table.collect())) == sorted(map(repr, few))
