@@ -36,22 +36,35 @@ SYMBOL = re.compile(r"[#$%&*|~^=<>{}\[\]\\_@+]")
 PLAIN = re.compile(r"[\"'(]?[^\W\d_]+(?:['-][^\W\d_]+)*[.,;:!?)\"']?")
 DOUBLED = re.compile(r"[!?]{2,}")
 END = re.compile(r"[.!?][\"')\]]*$")
-FIELD = 32
+CLOSING = ".,;:!?)\"'"
+ODD, PLAINLY, ENDS, TWICE = 1, 2, 4, 8
+HOLDING = [bytes(code for code in range(16) if code & mark) for mark in (ODD, PLAINLY, ENDS, TWICE)]
+
+
+def word_code(word: str) -> int:
+    """Which of four marks a word has: holds a symbol, is plain, ends a sentence, doubles its marks."""
+    if word.isalpha():
+        return PLAINLY
+    if word[-1] in CLOSING and word[:-1].isalpha():
+        return PLAINLY | ENDS if word[-1] in ".!?" else PLAINLY
+    return (ODD * bool(SYMBOL.search(word)) | PLAINLY * bool(PLAIN.fullmatch(word)) | ENDS * bool(END.search(word))
+            | TWICE * bool(DOUBLED.search(word)))
 
 
 class Words(dict):
-    """Word to four packed counters: holds a symbol, is plain, ends a sentence, doubles its marks. Emptied when it holds MEMO words."""
+    """Word that is not all letters to the code of its marks. Emptied when it holds MEMO words."""
 
     def __missing__(self, word: str) -> int:
-        marks_ = (SYMBOL.search(word), PLAIN.fullmatch(word), END.search(word), DOUBLED.search(word))
-        value = self[word] = sum(1 << FIELD * i for i, m in enumerate(marks_) if m)
+        value = self[word] = word_code(word)
         return value
 
     def shares(self, words: list[str]) -> list[float]:
         if len(self) > MEMO:
             self.clear()
-        total = sum(map(self.__getitem__, words))
-        return [(total >> FIELD * i & (1 << FIELD) - 1) / len(words) for i in range(4)]
+        rest = [w for w in words if not w.isalpha()]             # the others are plain and nothing else
+        codes = bytes(map(self.__getitem__, rest))
+        odd, plain, ends, doubled = (len(codes) - len(codes.translate(None, marked)) for marked in HOLDING)
+        return [n / len(words) for n in (odd, plain + len(words) - len(rest), ends, doubled)]
 
 
 def known_words() -> Words:
@@ -99,10 +112,6 @@ def look(text: str, known: Words) -> tuple[str, list[str], list[str]]:
     return found, words, [f"\0{k}{min(9, int(v * 50))}" for k, v in parts.items()]
 
 
-def bucket(word: str) -> int:
-    return zlib.crc32(word.encode()) % BUCKETS
-
-
 def estimate(counts: dict[str, int], rounds: int = 100) -> tuple[dict[str, float], np.ndarray]:
     """The chance of "good" for each vote pattern, and [labeller, truth, vote] rates. Starts from the majority vote."""
     patterns = sorted(counts)
@@ -126,7 +135,9 @@ def estimate(counts: dict[str, int], rounds: int = 100) -> tuple[dict[str, float
 
 
 def features(words: list[str], marks: list[str]) -> np.ndarray:
-    return np.unique([bucket(w) for w in set(words)] + [bucket(m) for m in marks])
+    """The distinct buckets of the words and marks, in order. No word holds a line break."""
+    kinds = "\n".join(set(words).union(marks)).encode().split(b"\n")
+    return np.unique(np.fromiter(map(zlib.crc32, kinds), np.uint32, len(kinds)) % BUCKETS)
 
 
 def fit(rows: list[np.ndarray], target: np.ndarray, steps: int = 60, rate: float = 2.0, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -178,18 +189,13 @@ def score_quality(docs: DataFrame, threshold: float = 0.5, fit_rows: int = 6000,
 
     def score():
         table, start, chance = shared.value
-        known, memo = known_words(), {}
+        known = known_words()
 
         def work(batch):
             out = {"doc_id": batch.column("doc_id"), "votes": [], "good_chance": [], "score": []}
             for text in batch.column("text").to_pylist():
                 found, words, marks = look(text, known)
-                if len(memo) > MEMO:
-                    memo.clear()
-                kinds = set(words)
-                for w in kinds.difference(memo):
-                    memo[w] = bucket(w)
-                at = np.unique([memo[w] for w in kinds] + [bucket(m) for m in marks])
+                at = features(words, marks)
                 margin = float(table[at].sum()) / np.sqrt(len(at)) + start
                 out["votes"].append(found)
                 out["good_chance"].append(chance[found])

@@ -371,3 +371,13 @@ def test_quality_sample_is_bounded_without_ids(spark, monkeypatch):
     docs = spark.createDataFrame([(None if i % 3 else i, f"some words number {i} are here.") for i in range(6000)], "doc_id bigint, text string").repartition(4)
     assert quality.score_quality(docs, fit_rows=600).count() == 6000
     assert 300 < taken[0] < 1200
+
+
+def test_words_of_letters_take_no_room_in_the_table_of_marks():
+    words = "Plain ok, end. no! wait?! a_b c# it's 'quoted' x²y ² 3rd e.g. -dash semi; (par) İ don't!! ...".split()
+    tests = (quality.SYMBOL.search, quality.PLAIN.fullmatch, quality.END.search, quality.DOUBLED.search)
+    known = quality.Words()
+    assert known.shares(words) == [sum(bool(t(w)) for w in words) / len(words) for t in tests]
+    assert known and not any(w.isalpha() for w in known)
+    marks = ["\0odd3", "\0empty"]
+    assert quality.features(words, marks).tolist() == sorted({zlib.crc32(w.encode()) % quality.BUCKETS for w in words + marks})
