@@ -206,3 +206,14 @@ def test_parts_of_the_archive_run_grow_with_the_days(spark, sf_dir, monkeypatch)
     table = archive.features_of_days(archive.days_in_parts(days), split, views.SUPPLY_SPEC)[1].select(*columns)
     assert table.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
     assert sorted(map(repr, table.collect())) == sorted(map(repr, few))
+
+
+def test_a_few_parts_are_kept_apart_as_well(spark, sf_dir, monkeypatch):
+    """Days that fill more than one part, but no more than there are cores, are not joined into one task by the size of what is read."""
+    from fleetgauge.catalog import views
+    want = views.supply_dense(spark, sf_dir, diffs=True)
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    monkeypatch.setattr(views, "PART_ROWS", rows // 3)
+    got = views.supply_dense(spark, sf_dir, diffs=True)
+    assert got.rdd.getNumPartitions() >= 3
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
