@@ -145,3 +145,35 @@ def test_state_calls_do_not_grow_with_the_days(processor):
     days = pd.DataFrame({"day": np.arange(20_000, 20_500), "seq": 0, "failure": 0.0, "value": 1.0, "a0": 1.0})
     assert list(processor.handleInputRows((1,), iter([days]), state)) == []
     assert state.calls < 12
+
+
+@pytest.mark.parametrize("stride", [None, 15])
+def test_drives_of_a_group_share_their_state_calls(stride):
+    """400 drives in two chunks of packed readings need no more calls than one drive."""
+    state = CountedState()
+    processor = windows.AnchoredWindows(30, stride, 59, 30)
+    processor.init(state)
+    packed = [(0, np.repeat(np.arange(n, n + 200), 100), np.tile(np.arange(20_000, 20_100, dtype=np.int32), 200), *np.zeros((3, 20_000))) for n in (0, 200)]
+    chunks = [pd.DataFrame([p], columns=["group", "drive", "day", "seq", "failure", "value"]) for p in packed]
+    assert list(processor.handleInputRows((0,), iter(chunks), state)) == []
+    assert state.calls < 12
+    state.getCurrentWatermarkInMs = lambda: 21_000 * history.DAY_MS
+    sent = pd.concat(processor.handleExpiredTimer((0,), state, None))
+    assert state.calls < 12 and sorted(set(sent["drive"])) == list(range(400)) and set(sent["n"]) == {30}
+    assert len(sent) == 400 * (5 if stride else 4)
+
+
+@pytest.mark.parametrize("stride", [None, 3])
+def test_windows_do_not_depend_on_the_groups(spark, monkeypatch, tmp_path, stride):
+    monkeypatch.setattr(windows, "PACK", 11)
+    spec = WindowSpec(attrs=("value",), days=7, horizon=3, stride=stride or 1, min_days=7)
+    rows = drive_days(12, 40, 5)
+    random.Random(6).shuffle(rows)
+    found = [streamed(spark, tmp_path / str(groups), [rows[::2], rows[1::2]], lambda s: windows.anchored_windows(s, spec, stride, late="0 days", groups=groups))
+             for groups in (1, 5, 512)]
+    one, *more = [sorted(map(str, sent.collect())) for sent in found]
+    assert len(one) > 12 and all(other == one for other in more)
+    days = spark.createDataFrame([(d, day, f, v) for d, day, _, f, v in rows], "drive bigint, day date, failure int, value double")
+    batch = (enumerate_windows if stride else tile_windows)(census(days), spec)
+    got = sorted(map(tuple, windows.current_windows(found[0]).select("drive", "start", "label").collect()))
+    assert got == sorted((w["drive"], w["start"], w["label"]) for w in batch.collect())
