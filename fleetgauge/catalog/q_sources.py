@@ -331,17 +331,26 @@ _T3 = f"""{WITH}, c AS (SELECT a.drive, a.day, b.day AS prior_day, a.n_click, a.
             FROM dd a LEFT JOIN dd b ON b.drive = a.drive AND datediff('day', b.day, a.day) BETWEEN 6 AND 8)"""
 
 
+FILE_ROWS = 1 << 18       # about, in a file of a replayed stream
+
+
 def replay(spark, days, shuffled: F.Column, batches: int = 6, beat: int = 400):
-    """The drive-days as a stream of a few files, each with the days of one span of arrival in no order, and a heartbeat long after all of them."""
+    """The drive-days as a stream of a few spans of arrival, each with its days in no order in as many files as the others have, and a heartbeat
+    long after all of them."""
     folder = work_folder(spark)
-    arrival = F.unix_date("day") + shuffled
-    low, high = days.agg(F.min(arrival), F.max(arrival)).first()
-    part = F.floor((arrival - low) * batches / (high - low + 1)).cast("int")
+    hashed = settle(days.withColumn("_arrival", F.unix_date("day") + shuffled).withColumn("_mixed", F.crc32(F.concat_ws(":", "drive", "day"))))
+    low, high, n = hashed.agg(F.min("_arrival"), F.max("_arrival"), F.count(F.lit(1))).first()
+    files = -(-n // (batches * FILE_ROWS))
+    part = F.floor((F.col("_arrival") - low) * batches / (high - low + 1)).cast("int")
     end = spark.createDataFrame([(None,)], days.select("drive").schema).withColumn("day", F.date_add(F.lit("1970-01-01").cast("date"), high + beat))
-    rows = days.withColumn("part", part).unionByName(end.withColumn("part", F.lit(batches)), allowMissingColumns=True)
-    for i in range(batches + 1):          # one file after the other, so that their order is the order of their times
-        rows.where(F.col("part") == i).drop("part").orderBy(F.crc32(F.concat_ws(":", "drive", "day"))).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return spark.readStream.schema(days.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder
+    rows = hashed.withColumn("_part", part).unionByName(end.withColumn("_part", F.lit(batches)), allowMissingColumns=True)
+    for i in range(batches + 1):          # one span after the other, so that the order of the files' times is the spans'
+        span = rows.where(F.col("_part") == i).repartition(files, "_mixed").sortWithinPartitions("_mixed").select(*days.columns)
+        span.write.mode("append").parquet(f"{folder}/in")
+        if i < batches:
+            for _ in range((i + 1) * files - len(spark.read.schema(days.schema).parquet(f"{folder}/in").inputFiles())):          # a part without a day has no file
+                span.limit(0).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(days.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in"), folder
 
 
 def kept(spark, out, folder):

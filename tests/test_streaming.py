@@ -6,7 +6,9 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from fleetgauge.catalog import q_sources
 from fleetgauge.operators.calendar import census
 from fleetgauge.operators.windows import enumerate_windows, tile_windows
 from fleetgauge.settings import WindowSpec
@@ -177,3 +179,15 @@ def test_windows_do_not_depend_on_the_groups(spark, monkeypatch, tmp_path, strid
     batch = (enumerate_windows if stride else tile_windows)(census(days), spec)
     got = sorted(map(tuple, windows.current_windows(found[0]).select("drive", "start", "label").collect()))
     assert got == sorted((w["drive"], w["start"], w["label"]) for w in batch.collect())
+
+
+def test_each_span_of_a_replay_is_one_batch_of_several_files(spark, monkeypatch, tmp_path):
+    """Large spans aren't written and read by one task; a short one and one without a day have as many files."""
+    monkeypatch.setattr(q_sources, "FILE_ROWS", 5, raising=False)
+    spans = [30, 2, 0, 40]
+    rows = [(d, DAY + dt.timedelta(days=10 * i)) for i, n in enumerate(spans) for d in range(n)] + [(99, DAY + dt.timedelta(days=39))]
+    stream, folder = q_sources.replay(spark, spark.createDataFrame(rows, "drive bigint, day date"), F.lit(0), batches=4)
+    query = stream.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [p["numInputRows"] for p in query.recentProgress] == [30, 2, 0, 41, 1]
+    assert len(spark.read.parquet(f"{folder}/in").inputFiles()) > 4 * 4
