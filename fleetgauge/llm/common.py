@@ -94,7 +94,7 @@ def without_later(rows: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFr
     grouped = settle(groups.join(rows.select(F.col("rid").alias("vertex"), "id"), "vertex").select(F.col("vertex").alias("rid"), "root", "id"))
     best = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "rid")).alias("best"))
     gone = settle(grouped.join(best, "root").filter(F.col("rid") != F.col("best.rid")).select("rid"))
-    kept = rows.join(gone.hint("merge"), "rid", "left_anti")
+    kept = rows.join(gone, "rid", "left_anti")
     return kept.select(*[F.col("payload")[c].alias(c) for c in docs.columns])
 
 
